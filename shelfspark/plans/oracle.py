@@ -167,9 +167,14 @@ login_attempts AS (
 
 
 def with_types(body: str, columns: list[tuple[str, str]], extra_ctes: str = "") -> str:
-    """WITH <adapter> [, extra] SELECT CAST(col AS type) ... FROM (body)."""
+    """WITH <adapter> [, extra] SELECT CAST(col AS type) ... FROM (body).
+
+    Extra CTEs may be recursive (a fold written as WITH RECURSIVE)."""
     casts = ",\n  ".join(f"CAST(q.{c} AS {t}) AS {c}" for c, t in columns)
     ctes = ADAPTER_SQL.strip()
+    head = "WITH"
     if extra_ctes.strip():
         ctes += ",\n" + extra_ctes.strip()
-    return f"WITH {ctes}\nSELECT\n  {casts}\nFROM (\n{body}\n) AS q"
+        if "RECURSIVE" in extra_ctes.split("\n", 1)[0].upper() or "UNION ALL" in extra_ctes.upper():
+            head = "WITH RECURSIVE"
+    return f"{head} {ctes}\nSELECT\n  {casts}\nFROM (\n{body}\n) AS q"
