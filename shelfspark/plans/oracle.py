@@ -178,3 +178,90 @@ def with_types(body: str, columns: list[tuple[str, str]], extra_ctes: str = "")
         if "RECURSIVE" in extra_ctes.split("\n", 1)[0].upper() or "UNION ALL" in extra_ctes.upper():
             head = "WITH RECURSIVE"
     return f"{head} {ctes}\nSELECT\n  {casts}\nFROM (\n{body}\n) AS q"
+
+
+def _date_text(d: str, k: str) -> str:
+    return (f"CASE WHEN {d} IS NULL THEN '' WHEN {k} % 3 = 0 THEN strftime({d}, '%-m/%-d/%Y') "
+            f"WHEN {k} % 3 = 1 THEN strftime({d}, '%-d-%b-%Y') ELSE strftime({d}, '%Y-%m-%d') END")
+
+
+# Twin of shelfspark.sources.raw (raw legacy text frames).
+RAW_SQL = f"""
+raw_suppliers AS (
+  SELECT supplier_code AS Supplier_ID, supplier_name AS Supplier_Name,
+         COALESCE(contact_person, '') AS Contact_Person, COALESCE(phone, '') AS Phone,
+         COALESCE(email, '') AS Email, COALESCE(address, '') AS Address,
+         COALESCE(payment_terms, '') AS Payment_Terms, COALESCE(notes, '') AS Notes
+  FROM suppliers
+),
+raw_inventory AS (
+  SELECT i.item_code AS Item_ID, i.category AS Category, i.item_name AS Item_Name, i.description AS Description,
+         CASE WHEN i.item_id % 29 = 0 THEN 'N/A'
+              WHEN i.item_id % 23 = 0 THEN CAST(i.quantity_in_stock AS VARCHAR) || '.0'
+              ELSE CAST(i.quantity_in_stock AS VARCHAR) END AS Quantity_In_Stock,
+         CASE WHEN i.item_id % 19 = 0 THEN ''
+              WHEN i.item_id % 7 = 0 THEN '$' || CAST(i.cost_price AS VARCHAR)
+              ELSE CAST(i.cost_price AS VARCHAR) END AS Cost_Price,
+         CASE WHEN i.item_id % 11 = 0 THEN '฿' || CAST(i.selling_price AS VARCHAR)
+              ELSE CAST(i.selling_price AS VARCHAR) END AS Selling_Price,
+         CASE WHEN s.supplier_name IS NOT NULL THEN s.supplier_name
+              WHEN i.item_id % 20 = 0 THEN 'Walk-in Vendor ' || CAST(i.item_id % 7 AS VARCHAR)
+              ELSE '' END AS Supplier_Name,
+         {_date_text('i.date_added', 'i.item_id')} AS Date_Added,
+         CASE WHEN i.item_id % 5 = 0 THEN '' ELSE strftime(i.last_restocked, '%Y-%m-%d') END AS Last_Restocked,
+         CAST(i.min_stock_level AS VARCHAR) AS Min_Stock_Level,
+         i.sku AS SKU
+  FROM inventory i LEFT JOIN suppliers s ON i.supplier_id = s.supplier_id
+),
+raw_users AS (
+  SELECT user_code AS User_ID, username AS Username, email AS Email, password_hash AS Password_Hash,
+         role AS Role, '' AS Created_Date, '' AS Last_Login, account_status AS Account_Status,
+         CASE WHEN created_by IS NULL THEN '' ELSE printf('USR%03d', created_by + 1) END AS Created_By,
+         CASE WHEN user_id % 7 = 0 THEN 'night shift' ELSE '' END AS Notes
+  FROM users
+),
+raw_sales AS (
+  SELECT CASE WHEN (s.transaction_id + s.line_no) % 5 = 0 THEN strftime(s.sale_date, '%-m/%-d/%Y')
+              ELSE strftime(s.sale_date, '%Y-%m-%d') END AS Date,
+         s.sale_time AS Time,
+         CASE WHEN (s.transaction_id + s.line_no) % 31 = 0 THEN '' ELSE COALESCE(i.item_code, '') END AS Item_ID,
+         COALESCE(i.item_name, '') AS Item_Name,
+         CASE WHEN (s.transaction_id + s.line_no) % 13 = 0 THEN CAST(s.quantity_sold AS VARCHAR) || '.0'
+              ELSE CAST(s.quantity_sold AS VARCHAR) END AS Quantity_Sold,
+         CASE WHEN (s.transaction_id + s.line_no) % 7 = 0 THEN '$' || CAST(s.unit_price AS VARCHAR)
+              ELSE CAST(s.unit_price AS VARCHAR) END AS Unit_Price,
+         CASE WHEN (s.transaction_id + s.line_no) % 17 = 0 THEN '' ELSE CAST(s.total_amount AS VARCHAR) END
+           AS Total_Amount,
+         CASE WHEN (s.transaction_id + s.line_no) % 19 = 0 THEN '' ELSE s.payment_method END AS Payment_Method,
+         CASE WHEN s.sold_by IS NULL THEN '' ELSE printf('USR%03d', s.sold_by + 1) END AS Sold_By,
+         s.transaction_code AS Transaction_ID
+  FROM sales_log s LEFT JOIN inventory i ON s.item_id = i.item_id
+),
+raw_orders AS (
+  SELECT o.order_code AS Order_ID, {_date_text('o.date_ordered', 'o.order_id')} AS Date_Ordered,
+         COALESCE(s.supplier_name, '') AS Supplier_Name, COALESCE(i.item_code, '') AS Item_ID,
+         COALESCE(i.item_name, '') AS Item_Name, CAST(o.quantity_ordered AS VARCHAR) AS Quantity_Ordered,
+         CAST(o.cost_per_unit AS VARCHAR) AS Cost_Per_Unit, strftime(o.expected_delivery, '%Y-%m-%d') AS Expected_Delivery,
+         o.status AS Status,
+         CASE WHEN o.date_received IS NULL THEN '' ELSE strftime(o.date_received, '%Y-%m-%d') END AS Date_Received
+  FROM restock_orders o LEFT JOIN inventory i ON o.item_id = i.item_id
+  LEFT JOIN suppliers s ON o.supplier_id = s.supplier_id
+)
+"""
+
+
+def clean_int_sql(x: str) -> str:
+    d = f"TRY_CAST(trim({x}) AS DOUBLE)"
+    return f"(CASE WHEN isfinite({d}) AND abs({d}) < 2147483648 THEN CAST(trunc({d}) AS INTEGER) ELSE 0 END)"
+
+
+def clean_money_sql(x: str, dtype: str = "DECIMAL(10,2)") -> str:
+    s = f"trim(regexp_replace({x}, '[$฿,]', '', 'g'))"
+    return (f"COALESCE(CASE WHEN isfinite(TRY_CAST({s} AS DOUBLE)) THEN "
+            f"TRY_CAST(TRY_CAST({s} AS DECIMAL(20,4)) AS {dtype}) END, CAST(0 AS {dtype}))")
+
+
+def clean_date_sql(x: str) -> str:
+    pats = ["%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%Y/%m/%d", "%d-%b-%Y"]
+    tries = ", ".join(f"TRY_STRPTIME({x}, '{p}')" for p in pats)
+    return f"(CASE WHEN {x} IS NULL OR {x} = '' OR {x} = 'N/A' THEN NULL ELSE CAST(COALESCE({tries}) AS DATE) END)"

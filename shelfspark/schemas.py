@@ -3,6 +3,8 @@ operators must agree on (domains, defaults, header names)."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(10, 2)
@@ -11,8 +13,19 @@ MONEY_WIDE = T.DecimalType(18, 2)
 MONEY_SUM = T.DecimalType(38, 2)
 
 
+_SIMPLE = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "date": T.DateType(),
+    "timestamp": T.TimestampNTZType(), "boolean": T.BooleanType(), "double": T.DoubleType(),
+}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T._parse_datatype_string(spec)  # noqa: SLF001 - public DDL parser
+    """'name type, ...' -> StructType (types used here only; no session needed)."""
+    fields = []
+    for name, typ, p, s in re.findall(r"(\w+) (\w+)(?:\((\d+),(\d+)\))?", spec):
+        dtype = T.DecimalType(int(p), int(s)) if typ == "decimal" else _SIMPLE[typ]
+        fields.append(T.StructField(name, dtype, True))
+    return T.StructType(fields)
 
 
 # Typed layer. Keys are long in the adapter (they come from integer keys of
