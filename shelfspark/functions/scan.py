@@ -33,24 +33,29 @@ PID = "_pid"
 RID = "_rid"
 
 
-def _local_running(keys: list[str], value: str, out: str):
+_FLOOR = np.iinfo("int64").min
+
+
+def _local_running(keys: list[str], value: str, out: str, op: str = "sum"):
     def fn(batches):
         carry_key = None
-        carry = 0
+        carry = 0 if op == "sum" else _FLOOR
         for pdf in batches:
             if pdf.empty:
                 pdf[out] = pd.Series([], dtype="int64")
                 yield pdf
                 continue
-            v = pdf[value].fillna(0).to_numpy(dtype="int64")
+            v = pdf[value].fillna(0 if op == "sum" else _FLOOR).to_numpy(dtype="int64")
             kd = pdf[keys].astype(object).where(pdf[keys].notna(), "\0null")
             first = tuple(kd.iloc[0])
             changed = (kd != kd.shift()).any(axis=1).to_numpy()
             changed[0] = first != carry_key
             grp = np.cumsum(changed)
-            cs = pd.Series(v).groupby(grp).cumsum().to_numpy(dtype="int64")
+            g = pd.Series(v).groupby(grp)
+            cs = (g.cumsum() if op == "sum" else g.cummax()).to_numpy(dtype="int64")
             if not changed[0]:
-                cs[grp == grp[0]] += carry
+                head = grp == grp[0]
+                cs[head] = cs[head] + carry if op == "sum" else np.maximum(cs[head], carry)
             carry_key = tuple(kd.iloc[-1])
             carry = int(cs[-1])
             pdf[out] = cs
@@ -97,7 +102,7 @@ def range_sorted(df: DataFrame, sort_cols: list[str], partitions: int | None = N
 
 def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
                   partitions: int | None = None, row_id: bool = False,
-                  presorted: bool = False) -> DataFrame:
+                  presorted: bool = False, op: str = "sum") -> DataFrame:
     """Inclusive running sum of ``value`` per ``keys`` in ``order``.
 
     ``presorted``: ``df`` is already the output of `range_sorted` on
@@ -106,14 +111,69 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
     """
     parts = df if presorted else range_sorted(df, keys + order, partitions, row_id)
     schema = T.StructType(parts.schema.fields + [T.StructField(out, T.LongType(), True)])
-    local = parts.mapInPandas(_local_running(keys, value, out), schema)
-    tot = parts.groupBy(PID, *keys).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("_tot"))
+    local = parts.mapInPandas(_local_running(keys, value, out, op), schema)
     w = Window.partitionBy(*keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    offs = (
-        tot.withColumn("_off", F.sum("_tot").over(w))
-        .where(F.col("_off").isNotNull() & (F.col("_off") != 0))
-        .select(PID, *keys, "_off")
-    )
+    if op == "sum":
+        tot = parts.groupBy(PID, *keys).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("_tot"))
+        offs = tot.withColumn("_off", F.sum("_tot").over(w)).where(F.col("_off").isNotNull() & (F.col("_off") != 0))
+    else:
+        tot = parts.groupBy(PID, *keys).agg(F.max(F.col(value)).alias("_tot"))
+        offs = tot.withColumn("_off", F.max("_tot").over(w)).where(F.col("_off").isNotNull())
+    offs = offs.select(PID, *keys, "_off")
     # <= one row per partition (the partition's first key): bounded broadcast.
     j = local.join(F.broadcast(offs), [PID, *keys], "left")
-    return j.withColumn(out, F.col(out) + F.coalesce(F.col("_off"), F.lit(0))).drop("_off")
+    if op == "sum":
+        return j.withColumn(out, F.col(out) + F.coalesce(F.col("_off"), F.lit(0))).drop("_off")
+    best = F.greatest(F.col(out), F.coalesce(F.col("_off"), F.lit(_FLOOR)))
+    return j.withColumn(out, F.when(best == F.lit(_FLOOR), F.lit(None)).otherwise(best)).drop("_off")
+
+
+def _local_previous(keys: list[str], col: str, out: str):
+    def fn(batches):
+        carry_key = None
+        carry = None
+        first_seen = False
+        for pdf in batches:
+            if pdf.empty:
+                pdf[out] = pd.Series([], dtype="int64")
+                pdf["_first"] = pd.Series([], dtype="bool")
+                yield pdf
+                continue
+            kd = pdf[keys].astype(object).where(pdf[keys].notna(), "\0null")
+            v = pdf[col].astype("float64")
+            same = ~(kd != kd.shift()).any(axis=1).to_numpy()
+            prev = v.shift().to_numpy()
+            first = np.zeros(len(pdf), dtype=bool)
+            same[0] = carry_key is not None and tuple(kd.iloc[0]) == carry_key
+            prev[0] = carry if same[0] else np.nan
+            if not first_seen:
+                first[0] = True
+                first_seen = True
+            prev = np.where(same, prev, np.nan)
+            pdf[out] = pd.Series(prev, index=pdf.index).astype("Int64")
+            pdf["_first"] = first
+            carry_key = tuple(kd.iloc[-1])
+            carry = float(v.iloc[-1])
+            yield pdf
+
+    return fn
+
+
+def with_previous(parts: DataFrame, keys: list[str], order: list[str], col: str, out: str) -> DataFrame:
+    """On `range_sorted` output: ``out`` = ``col`` of the previous row of the
+    same key (NULL for a key's first row). ``col`` is a long. Rows that
+    start a partition take it from the previous partition's last row,
+    through a table of at most one row per partition (broadcast)."""
+    schema = T.StructType(parts.schema.fields + [T.StructField(out, T.LongType(), True),
+                                                 T.StructField("_first", T.BooleanType(), False)])
+    local = parts.mapInPandas(_local_previous(keys, col, out), schema)
+    sort_struct = F.struct(*[F.col(c) for c in keys + order])
+    last = parts.groupBy(PID).agg(F.max_by(F.struct(*[F.col(k).alias(f"_lk{i}") for i, k in enumerate(keys)],
+                                                    F.col(col).alias("_lv")), sort_struct).alias("_last"))
+    bound = last.select((F.col(PID) + 1).alias(PID), "_last.*")
+    j = local.join(F.broadcast(bound), PID, "left")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & (F.col(k) == F.col(f"_lk{i}"))
+    fixed = F.when(F.col("_first") & same, F.col("_lv")).otherwise(F.col(out))
+    return j.withColumn(out, fixed).drop("_first", "_lv", *[f"_lk{i}" for i in range(len(keys))])
