@@ -34,6 +34,17 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A driver table as a file stream (schema taken from the files). File
+    sources watch a folder; the table's file is picked by name. On a real
+    feed each new file of the folder becomes part of the next micro-batch."""
+    schema = _read(spark, sf_dir, name).schema
+    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    if files_per_trigger:
+        r = r.option("maxFilesPerTrigger", files_per_trigger)
+    return r.parquet(sf_dir)
+
+
 def _count_of(spark: SparkSession, sf_dir: str, name: str) -> Column:
     # Scalar subquery: planned as a separate tiny aggregate, not a join.
     return _read(spark, sf_dir, name).select(F.count(F.lit(1))).scalar()
@@ -106,11 +117,12 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sales_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sales_log(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """One sale per kept line item. Items with partkey % 13 == 0 never sell;
-    partkey % 17 == 0 sell only single units (slow movers)."""
+    partkey % 17 == 0 sell only single units (slow movers). ``lineitem`` may
+    be a streaming frame (then this is a stream-static join with orders)."""
     pk = F.col("l_partkey")
-    li = _read(spark, sf_dir, "lineitem").where(
+    li = (lineitem if lineitem is not None else _read(spark, sf_dir, "lineitem")).where(
         (pk % 13 != 0) & ((pk % 17 != 0) | (F.col("l_quantity") == 1))
     )
     od = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
@@ -199,10 +211,11 @@ EVENT_ACTIONS = {
 }
 
 
-def activity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def activity_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Audit rows. Sales and restocks carry their quantity and item code only
-    in the details text, as the web paths of the reference write them."""
-    e = _read(spark, sf_dir, "events")
+    in the details text, as the web paths of the reference write them.
+    ``events`` may be a streaming frame."""
+    e = events if events is not None else _read(spark, sf_dir, "events")
     n_items = _count_of(spark, sf_dir, "part")
     et = F.col("event_type")
     action = F.lit("OTHER")
@@ -229,10 +242,10 @@ def activity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def login_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def login_attempts(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Login attempts (signup = success, error = failure) with the username
-    typed, as the lockout rule keys on it."""
-    e = _read(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "error"))
+    typed, as the lockout rule keys on it. ``events`` may be streaming."""
+    e = (events if events is not None else _read(spark, sf_dir, "events")).where(F.col("event_type").isin("signup", "error"))
     c = _read(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return e.join(c, e.user_id == c.c_custkey, "inner").select(
         F.col("event_id").alias("attempt_id"),
