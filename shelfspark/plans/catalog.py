@@ -71,4 +71,4 @@ MS = "DECIMAL(38,2)"
 MA = "DECIMAL(18,2)"
 
 # Importing the query modules fills REGISTRY.
-from shelfspark.plans import q_access, q_ledger, q_more, q_raw, q_reports, q_stream  # noqa: E402,F401
+from shelfspark.plans import q_access, q_io, q_ledger, q_more, q_raw, q_reports, q_stream  # noqa: E402,F401
