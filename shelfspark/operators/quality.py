@@ -152,6 +152,8 @@ def reference_violations(tables: dict[str, DataFrame]) -> DataFrame:
     for child, col, parent, pkey, _mode in REFERENCES:
         if child not in tables or parent not in tables:
             continue
+        if col not in tables[child].columns or pkey not in tables[parent].columns:
+            continue
         c = tables[child]
         p = tables[parent].select(F.col(pkey).alias("_pk")).distinct()
         orphans = c.where(F.col(col).isNotNull()).join(p, F.col(col) == F.col("_pk"), "left_anti")
@@ -159,14 +161,16 @@ def reference_violations(tables: dict[str, DataFrame]) -> DataFrame:
                                     F.lit(col).alias("column_name"),
                                     F.col(KEYS[child]).cast("string").alias("row_key"),
                                     F.col(col).cast("string").alias("value")))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def validate(tables: dict[str, DataFrame]) -> DataFrame:
     """All violations of DQ-1..7 over the given tables."""
     parts = [row_violations(t, df) for t, df in tables.items()]
     parts += [u for u in (unique_violations(t, df) for t, df in tables.items()) if u is not None]
-    parts.append(reference_violations(tables))
+    refs = reference_violations(tables)
+    if refs is not None:
+        parts.append(refs)
     return reduce(DataFrame.unionByName, parts)
 
 
