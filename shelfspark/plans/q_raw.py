@@ -311,15 +311,20 @@ def q_repair_suppliers(spark, d):
     "username_conflicts",
     [("username", "VARCHAR"), ("conflict", "VARCHAR")],
     """
+WITH n AS (
+  SELECT upper(username) AS username FROM users WHERE user_id % 3 IN (0, 1)
+  UNION ALL SELECT lower(username) FROM users WHERE user_id % 6 = 0
+)
 SELECT n.username, CASE WHEN e.lk IS NOT NULL THEN 'exists' ELSE 'duplicate in batch' END AS conflict
-FROM (SELECT upper(username) AS username, lower(username) AS lk FROM users WHERE user_id % 3 = 0) n
-LEFT JOIN (SELECT DISTINCT lower(username) AS lk FROM users WHERE user_id % 3 <> 0) e ON n.lk = e.lk
-LEFT JOIN (SELECT lower(username) AS lk, COUNT(*) AS c FROM users WHERE user_id % 3 = 0 GROUP BY 1) d ON n.lk = d.lk
+FROM n
+LEFT JOIN (SELECT DISTINCT lower(username) AS lk FROM users WHERE user_id % 3 <> 0) e ON lower(n.username) = e.lk
+LEFT JOIN (SELECT lower(username) AS lk, COUNT(*) AS c FROM n GROUP BY 1) d ON lower(n.username) = d.lk
 WHERE e.lk IS NOT NULL OR d.c > 1""",
-    notes="ETL-6: one third of users re-submitted in upper case against the rest",
+    notes="ETL-6: a batch re-submitting users in other letter case, against the existing users",
 )
 def q_username_conflicts(spark, d):
     u = A.users(spark, d)
-    new = u.where(F.col("user_id") % 3 == 0).select(F.upper("username").alias("username"))
+    new = u.where((F.col("user_id") % 3).isin(0, 1)).select(F.upper("username").alias("username")).unionByName(
+        u.where(F.col("user_id") % 6 == 0).select(F.lower("username").alias("username")))
     existing = u.where(F.col("user_id") % 3 != 0)
     return E.username_conflicts(new, existing)
