@@ -96,49 +96,160 @@ def last_login(log: DataFrame, user: str = "user_id", ts: str = "created_at", lo
 # ---------------------------------------------------------------------------
 # ST-4 batch twin: login lockout
 # ---------------------------------------------------------------------------
-LOCKOUT_SCHEMA = T.StructType([
-    T.StructField("attempt_id", T.LongType()),
-    T.StructField("outcome", T.StringType()),
-    T.StructField("failures", T.IntegerType()),
-])
+# State between attempts: (count, until_us); until_us is None when unlocked.
+# While locked the count stays at n (as the reference keeps it).
 
 
-def _lockout_fold(n: int, lock_us: int):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", "attempt_id"], kind="mergesort")
-        us = pdf["_us"].to_numpy(dtype="int64")
-        ok = pdf["success"].to_numpy(dtype=bool)
-        active = pdf["_active"].to_numpy(dtype=bool)
-        out = np.empty(len(pdf), dtype=object)
-        fails = np.zeros(len(pdf), dtype=np.int32)
+def _step(state, us, ok, active, n, lock_us):
+    """One attempt: (outcome, failures after, new state)."""
+    count, until = state
+    if until is not None and us < until:
+        return "refused", count, state
+    if until is not None:
         count, until = 0, None
-        for i in range(len(pdf)):
-            if until is not None and us[i] < until:
-                out[i] = "refused"
-                fails[i] = count
-                continue
-            if until is not None:
-                count, until = 0, None
-            if not active[i]:
-                out[i] = "inactive"
-            elif ok[i]:
-                count = 0
-                out[i] = "success"
-            else:
-                count += 1
-                if count >= n:
-                    until = us[i] + lock_us
-                    out[i] = "locked"
-                else:
-                    out[i] = "failure"
-            fails[i] = count
-        return pd.DataFrame({"attempt_id": pdf["attempt_id"].to_numpy(dtype="int64"), "outcome": out,
-                             "failures": fails})
-
-    return fold
-
-
-def lockouts(attempts: DataFrame, n: int = LOCK_AFTER, lock_s: int = LOCK_SECONDS) -> DataFrame:
+    if not active:
+        return "inactive", count, (count, None)
+    if ok:
+        return "success", 0, (0, None)
+    count += 1
+    if count >= n:
+        return "locked", count, (count, us + lock_us)
+    return "failure", count, (count, None)
+
+
+def _run(us, ok, active, start, n, lock_us, lo=0, hi=None):
+    st = start
+    for i in range(lo, len(us) if hi is None else hi):
+        st = _step(st, int(us[i]), bool(ok[i]), bool(active[i]), n, lock_us)[2]
+    return st
+
+
+def _trajectory(us, ok, active, start, n, lock_us, lo, hi):
+    """States before each attempt lo..hi-1, and the end state."""
+    traj, st = [], start
+    for i in range(lo, hi):
+        traj.append(st)
+        st = _step(st, int(us[i]), bool(ok[i]), bool(active[i]), n, lock_us)[2]
+    return traj, st
+
+
+def _end_merging(us, ok, active, start, n, lock_us, lo, hi, ref_traj, ref_lo, ref_end):
+    """End state from ``start`` at ``lo``; stops as soon as the run meets the
+    reference trajectory (same state at the same attempt): from there on the
+    two runs are identical. Keeps the summary linear in practice."""
+    st = start
+    for i in range(lo, hi):
+        if st == ref_traj[i - ref_lo]:
+            return ref_end
+        st = _step(st, int(us[i]), bool(ok[i]), bool(active[i]), n, lock_us)[2]
+    return st
+
+
+def _segments(users):
+    """[(start, end)) index ranges of equal consecutive users."""
+    cuts = [0] + [i for i in range(1, len(users)) if users[i] != users[i - 1]] + [len(users)]
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
+SUMMARY_SCHEMA = T.StructType([
+    T.StructField("pid", T.IntegerType()),
+    T.StructField("first_user", T.StringType()),
+    T.StructField("last_user", T.StringType()),
+    T.StructField("single", T.BooleanType()),
+    # end state of the first segment for incoming unlocked counts 0..n-1
+    T.StructField("out_by_count", T.ArrayType(T.ArrayType(T.LongType()))),
+    # (time, end state when the segment restarts clean at that attempt) for
+    # attempts an incoming lock can expire at (first lock window + one)
+    T.StructField("restart_us", T.ArrayType(T.LongType())),
+    T.StructField("restart_out", T.ArrayType(T.ArrayType(T.LongType()))),
+    # end state of the last segment when it starts clean (not single)
+    T.StructField("last_clean", T.ArrayType(T.LongType())),
+])
+
+
+def _enc(st):
+    return [int(st[0]), -1 if st[1] is None else int(st[1])]
+
+
+def _dec(v):
+    return (int(v[0]), None if v[1] < 0 else int(v[1]))
+
+
+def _lock_summary(n: int, lock_us: int):
+    def fn(batches):
+        pdf = pd.concat(list(batches), ignore_index=True)
+        if pdf.empty:
+            return
+        us, ok, act = pdf["_us"].to_numpy(), pdf["success"].to_numpy(), pdf["_active"].to_numpy()
+        users = pdf["_user"].tolist()
+        segs = _segments(users)
+        a, b = segs[0]
+        ref, ref_end = _trajectory(us, ok, act, (0, None), n, lock_us, a, b)
+        out_by = [_enc(ref_end)] + [
+            _enc(_end_merging(us, ok, act, (c, None), n, lock_us, a, b, ref, a, ref_end)) for c in range(1, n)]
+        horizon = int(us[a]) + lock_us
+        r_us, r_out = [], []
+        for j in range(a, b):
+            r_us.append(int(us[j]))
+            r_out.append(_enc(_end_merging(us, ok, act, (0, None), n, lock_us, j, b, ref, a, ref_end)))
+            if int(us[j]) >= horizon:
+                break
+        last = _enc(_run(us, ok, act, (0, None), n, lock_us, *segs[-1])) if len(segs) > 1 else None
+        yield pd.DataFrame([{
+            "pid": int(pdf["_pid"].iloc[0]), "first_user": users[a], "last_user": users[-1],
+            "single": len(segs) == 1, "out_by_count": out_by, "restart_us": r_us, "restart_out": r_out,
+            "last_clean": last,
+        }])
+
+    return fn
+
+
+def _resolve(summaries: list, n: int) -> dict[int, tuple]:
+    """Incoming state of every partition's first segment, chained over the
+    partitions in order (one small row per partition)."""
+    incoming: dict[int, tuple] = {}
+    prev_user, prev_out = None, None
+    for r in sorted(summaries, key=lambda r: r["pid"]):
+        st = prev_out if (prev_user is not None and r["first_user"] == prev_user) else (0, None)
+        incoming[r["pid"]] = st
+        count, until = st
+        if until is None:
+            out_first = _dec(r["out_by_count"][min(count, n - 1)])
+        else:
+            nxt = [k for k, t in enumerate(r["restart_us"]) if t >= until]
+            out_first = _dec(r["restart_out"][nxt[0]]) if nxt else st
+        if r["single"]:
+            prev_out = out_first
+        else:
+            prev_out = _dec(r["last_clean"])
+        prev_user = r["last_user"]
+    return incoming
+
+
+def _lock_replay(n: int, lock_us: int):
+    def fn(batches):
+        pdf = pd.concat(list(batches), ignore_index=True)
+        if pdf.empty:
+            return
+        us, ok, act = pdf["_us"].to_numpy(), pdf["success"].to_numpy(), pdf["_active"].to_numpy()
+        users = pdf["_user"].tolist()
+        c0, u0 = pdf["_in_count"].iloc[0], pdf["_in_until"].iloc[0]
+        first = (int(c0), None if pd.isna(u0) else int(u0)) if not pd.isna(c0) else (0, None)
+        outs, fails = [], []
+        for k, (a, b) in enumerate(_segments(users)):
+            st = first if k == 0 else (0, None)
+            for i in range(a, b):
+                o, f, st = _step(st, int(us[i]), bool(ok[i]), bool(act[i]), n, lock_us)
+                outs.append(o)
+                fails.append(f)
+        yield pd.DataFrame({"attempt_id": pdf["attempt_id"].astype("int64"), "outcome": outs,
+                            "failures": np.asarray(fails, dtype="int32")})
+
+    return fn
+
+
+def lockouts(attempts: DataFrame, n: int = LOCK_AFTER, lock_s: int = LOCK_SECONDS,
+             partitions: int | None = None) -> DataFrame:
     """Outcome of every login attempt under the lockout rule, keyed by the
     lower-cased username: the ``n``-th failure in a row locks for
     ``lock_s``; attempts while locked are refused and not counted; the first
@@ -146,10 +257,32 @@ def lockouts(attempts: DataFrame, n: int = LOCK_AFTER, lock_s: int = LOCK_SECOND
     attempts on a non-Active account ('inactive') change nothing.
 
     ``attempts``: attempt_id, ts, username, success, active.
-    The fold is sequential per username (grouped map, Arrow batches)."""
+
+    The fold is sequential per username, but a username is not one task:
+    attempts are range-partitioned by (username, time); each partition
+    summarises how its first username segment maps an incoming state to an
+    outgoing one (n unlocked counts, plus restarts inside one lock window
+    for an incoming lock). The driver chains those summaries - one row per
+    partition - and a second pass replays each partition from its resolved
+    incoming state (broadcast, one row per partition)."""
+    spark = attempts.sparkSession
+    lock_us = lock_s * 1_000_000
     a = attempts.select(
         "attempt_id", F.lower("username").alias("_user"), _micros("ts").alias("_us"), "success",
         F.coalesce(F.col("active"), F.lit(True)).alias("_active"),
-    )
-    res = a.groupBy("_user").applyInPandas(_lockout_fold(n, lock_s * 1_000_000), LOCKOUT_SCHEMA)
+    ).where(F.col("_user").isNotNull() & F.col("_us").isNotNull())
+    parts = range_sorted(a, ["_user", "_us", "attempt_id"], partitions)
+    summaries = [r.asDict() for r in parts.mapInPandas(_lock_summary(n, lock_us), SUMMARY_SCHEMA).collect()]
+    incoming = _resolve(summaries, n)
+    inc = spark.createDataFrame([(pid, st[0], st[1]) for pid, st in incoming.items()],
+                                "_pid int, _in_count int, _in_until long")
+    j = parts.join(F.broadcast(inc), PID, "left")
+    res = j.mapInPandas(_lock_replay(n, lock_us), LOCKOUT_SCHEMA)
     return attempts.join(res, "attempt_id", "inner")
+
+
+LOCKOUT_SCHEMA = T.StructType([
+    T.StructField("attempt_id", T.LongType()),
+    T.StructField("outcome", T.StringType()),
+    T.StructField("failures", T.IntegerType()),
+])

@@ -61,3 +61,29 @@ def test_quality_rules_one_violation_each(spark):
     clean = {r.order_code for r in Q.quarantine(o, Q.validate({"restock_orders": o, "inventory": inv,
                                                                 "suppliers": sup}), "restock_orders").collect()}
     assert clean == set()
+
+
+def test_lockout_hot_user_across_partitions_matches_sequential(spark):
+    """One username with most attempts, spread over many range partitions,
+    including locks that are still running at partition borders."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(5)
+    rows, t = [], T0
+    for i in range(1500):
+        t = t + dt.timedelta(minutes=rnd.choice([1, 1, 2, 3, 7, 15]))
+        user = "Hot" if rnd.random() < 0.7 else f"u{rnd.randint(1, 9)}"
+        rows.append((i, t, user if i % 3 else user.upper(), rnd.random() < 0.2, rnd.random() > 0.05))
+    df = spark.createDataFrame(rows, "attempt_id long, ts timestamp_ntz, username string, success boolean, "
+                                     "active boolean")
+    got = {r.attempt_id: (r.outcome, r.failures) for r in S.lockouts(df, lock_s=600, partitions=9).collect()}
+    want, state = {}, {}
+    for i, ts, user, ok, active in sorted(rows, key=lambda r: (r[2].lower(), r[1], r[0])):
+        us = int(ts.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
+        o, f, st = S._step(state.get(user.lower(), (0, None)), us, ok, active, 5, 600_000_000)
+        state[user.lower()] = st
+        want[i] = (o, f)
+    assert got == want
+    assert "refused" in {o for o, _ in got.values()}
