@@ -177,7 +177,10 @@ def _dec(v):
 
 def _lock_summary(n: int, lock_us: int):
     def fn(batches):
-        pdf = pd.concat(list(batches), ignore_index=True)
+        parts = list(batches)
+        if not parts:
+            return
+        pdf = pd.concat(parts, ignore_index=True)
         if pdf.empty:
             return
         us, ok, act = pdf["_us"].to_numpy(), pdf["success"].to_numpy(), pdf["_active"].to_numpy()
@@ -228,7 +231,10 @@ def _resolve(summaries: list, n: int) -> dict[int, tuple]:
 
 def _lock_replay(n: int, lock_us: int):
     def fn(batches):
-        pdf = pd.concat(list(batches), ignore_index=True)
+        parts = list(batches)
+        if not parts:
+            return
+        pdf = pd.concat(parts, ignore_index=True)
         if pdf.empty:
             return
         us, ok, act = pdf["_us"].to_numpy(), pdf["success"].to_numpy(), pdf["_active"].to_numpy()
