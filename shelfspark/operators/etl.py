@@ -35,6 +35,14 @@ def _present(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
+def _codes_complete(raw: DataFrame, col: str) -> bool:
+    """Every raw row carries a code: then no numbering is needed. A scan of
+    one column (pruned), instead of checking the loaded frame."""
+    if col not in raw.columns:
+        return False
+    return raw.where(~_present(F.col(col))).select(col).isEmpty()
+
+
 def _split(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     """(rows with NULL reason, rows with a reason)."""
     tagged = df.withColumn("reject_reason", reason)
@@ -53,6 +61,7 @@ def assign_codes(
     prefix: str,
     order: list[str],
     day: Column | None = None,
+    complete: bool | None = None,
 ) -> DataFrame:
     """Fill blank ``code_col`` with prefix + (max numeric suffix + n), n the
     row's position among rows lacking a code in ``order``; 3-digit pad, never
@@ -61,9 +70,11 @@ def assign_codes(
 
     Numbering is a skew-safe running count (range partitioned, no
     single-partition window), so one hot day or a global sequence is fine."""
+    if complete:
+        return rows
     need = rows.where(~_present(F.col(code_col)))
     have = rows.where(_present(F.col(code_col)))
-    if need.isEmpty():
+    if complete is None and need.isEmpty():
         return rows
     if day is None:
         base = existing_codes.select(F.max(code_number(F.col(code_col), prefix)).alias("_m"))
@@ -132,7 +143,8 @@ def load_suppliers(raw: DataFrame, existing: DataFrame | None = None, seq: str =
         "_seq",
     )
     ex = existing if existing is not None else typed.where(F.lit(False))
-    typed = assign_codes(typed, "supplier_code", ex.select("supplier_code"), "SUP", ["_seq"])
+    typed = assign_codes(typed, "supplier_code", ex.select("supplier_code"), "SUP", ["_seq"],
+                         complete=_codes_complete(raw, "Supplier_ID"))
     return typed.withColumn("supplier_id", F.col("supplier_code")), bad
 
 
@@ -171,7 +183,8 @@ def load_inventory(raw: DataFrame, suppliers: DataFrame, as_of: dt.date, seq: st
         clean_date(_cell(good, "Last_Restocked", "")).alias("last_restocked"),
         "_seq",
     )
-    typed = assign_codes(typed, "item_code", typed.where(F.lit(False)), "ITM", ["_seq"])
+    typed = assign_codes(typed, "item_code", typed.where(F.lit(False)), "ITM", ["_seq"],
+                         complete=_codes_complete(raw, "Item_ID"))
     return typed.withColumn("item_id", F.col("item_code")), bad
 
 
@@ -195,7 +208,8 @@ def load_users(raw: DataFrame, seq: str = "User_ID") -> tuple[DataFrame, DataFra
         F.coalesce(_cell(good, "Notes", ""), F.lit("")).alias("notes"),
         "_seq",
     )
-    typed = assign_codes(typed, "user_code", typed.where(F.lit(False)), "USR", ["_seq"])
+    typed = assign_codes(typed, "user_code", typed.where(F.lit(False)), "USR", ["_seq"],
+                         complete=_codes_complete(raw, "User_ID"))
     return typed.withColumn("user_id", F.col("user_code")), bad
 
 
@@ -235,7 +249,7 @@ def load_sales(raw: DataFrame, inventory: DataFrame, users: DataFrame, as_of: dt
     )
     typed = assign_codes(
         typed, "transaction_code", typed.where(F.lit(False)).select("transaction_code"), "TXN",
-        ["sale_date", "sale_time", "item_id"], day=F.lit(as_of),
+        ["sale_date", "sale_time", "item_id"], day=F.lit(as_of), complete=_codes_complete(raw, "Transaction_ID"),
     )
     return typed, bad
 
@@ -273,7 +287,7 @@ def load_orders(raw: DataFrame, suppliers: DataFrame, inventory: DataFrame, as_o
     )
     typed = assign_codes(
         typed, "order_code", typed.where(F.lit(False)).select("order_code"), "PO",
-        ["date_ordered", "item_id"], day=F.lit(as_of),
+        ["date_ordered", "item_id"], day=F.lit(as_of), complete=_codes_complete(raw, "Order_ID"),
     )
     return typed, bad
 
