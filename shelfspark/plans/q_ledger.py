@@ -74,17 +74,5 @@ GROUP BY i.item_id, i.item_code, i.quantity_in_stock""",
     notes="LED-1 item level: stock after applying every sale in order",
 )
 def q_closing_stock(spark, d):
-    inv = A.inventory(spark, d)
-    led = L.apply_sales(inv, A.sales_log(spark, d))
-    per = led.where(F.col("item_id").isNotNull()).groupBy("item_id").agg(
-        F.sum(F.col("accepted").cast("int")).alias("accepted_sales"),
-        F.sum((~F.col("accepted")).cast("int")).alias("refused_sales"),
-        F.sum(F.when(F.col("accepted"), F.col("quantity_sold")).otherwise(0)).alias("units_sold"),
-    )
-    i = inv.select("item_id", "item_code", F.col("quantity_in_stock").cast("long").alias("opening"))
-    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return i.join(per, "item_id", "left").select(
-        "item_code", "opening", z("accepted_sales").alias("accepted_sales"),
-        z("refused_sales").alias("refused_sales"), z("units_sold").alias("units_sold"),
-        (F.col("opening") - z("units_sold")).alias("closing"),
-    )
+    s = L.stock_summary(A.inventory(spark, d), A.sales_log(spark, d))
+    return s.select("item_code", "opening", "accepted_sales", "refused_sales", "units_sold", "closing")

@@ -47,11 +47,12 @@ def spread(df: DataFrame) -> DataFrame:
     fewer splits than that. On a cluster the input has thousands of splits
     and this is a no-op; it only fixes inputs of a few unsplittable files.
     (Decided from the planned split count: metadata, no data is read.)"""
-    sc = df.sparkSession.sparkContext
-    want = sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD API: leave the scan as is
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
