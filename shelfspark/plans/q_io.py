@@ -75,3 +75,20 @@ FROM raw_sales""",
 def q_aligned_sales(spark, d):
     s = W.raw_sales(spark, d).drop("Transaction_ID").withColumn("Cashier_Note", F.lit("x"))
     return IO.append_aligned(s, RAW_HEADERS["SALES_LOG"])
+
+
+@register(
+    "materialized_sales_range",
+    [("transaction_code", "VARCHAR"), ("item_id", "BIGINT"), ("sale_date", "DATE"), ("quantity_sold", "INTEGER")],
+    """
+SELECT transaction_code, item_id, sale_date, quantity_sold FROM sales_log
+WHERE sale_date BETWEEN DATE '1997-01-01' AND DATE '1997-03-31'""",
+    notes="SRC-2 typed scan of the month-partitioned model (partition pruning on sale_month)",
+)
+def q_materialized_sales_range(spark, d):
+    root = f"{checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex[:12]}"
+    paths = IO.materialize_model(spark, d, root)
+    s = IO.read_table(spark, paths["sales_log"], "sales_log")
+    s = s.where(F.col("sale_month").between("1997-01", "1997-03"))  # prunes month folders
+    s = s.where(F.col("sale_date").between(dt.date(1997, 1, 1), dt.date(1997, 3, 31)))
+    return s.select("transaction_code", "item_id", "sale_date", "quantity_sold")

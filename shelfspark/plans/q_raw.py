@@ -328,3 +328,25 @@ def q_username_conflicts(spark, d):
         u.where(F.col("user_id") % 6 == 0).select(F.lower("username").alias("username")))
     existing = u.where(F.col("user_id") % 3 != 0)
     return E.username_conflicts(new, existing)
+
+
+@register(
+    "assign_item_codes",
+    [("SKU", "VARCHAR"), ("item_code", "VARCHAR")],
+    """
+WITH ex AS (SELECT max(TRY_CAST(substr(Item_ID, 4) AS BIGINT)) AS m FROM raw_inventory
+            WHERE starts_with(Item_ID, 'ITM') AND NOT ((TRY_CAST(substr(Item_ID, 4) AS BIGINT) - 1) % 7 = 0))
+SELECT SKU, CASE WHEN (TRY_CAST(substr(Item_ID, 4) AS BIGINT) - 1) % 7 = 0
+                 THEN printf('ITM%03d', (SELECT m FROM ex) + row_number() OVER (
+                        PARTITION BY (TRY_CAST(substr(Item_ID, 4) AS BIGINT) - 1) % 7 = 0 ORDER BY SKU))
+                 ELSE Item_ID END AS item_code
+FROM raw_inventory""",
+    extra_ctes=RAW_SQL,
+    notes="ETL-4: items arriving without a code (every 7th) numbered after the highest existing code, in SKU order",
+)
+def q_assign_item_codes(spark, d):
+    raw = W.raw_inventory(spark, d)
+    num = F.substring("Item_ID", 4, 20).try_cast("long")
+    batch = raw.select("SKU", F.when((num - 1) % 7 == 0, F.lit("")).otherwise(F.col("Item_ID")).alias("item_code"))
+    existing = batch.where(F.col("item_code") != "").select("item_code")
+    return E.assign_codes(batch, "item_code", existing, "ITM", ["SKU"])

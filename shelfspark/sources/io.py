@@ -43,8 +43,14 @@ def read_raw(spark: SparkSession, path: str, table: str | None = None) -> DataFr
 
 # SRC-2
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Typed table scan; projection and filters reach the Parquet reader."""
-    return spark.read.schema(TYPED[table]).parquet(path)
+    """Typed table scan: the table's columns with their typed types, plus
+    any partition columns of the folder layout (e.g. sale_month). Column
+    pruning, pushed filters and partition pruning happen in the reader."""
+    df = spark.read.parquet(path)
+    typed = TYPED[table]
+    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in typed.fields if f.name in df.columns]
+    extra = [c for c in df.columns if c not in typed.fieldNames()]
+    return df.select(*cols, *extra)
 
 
 def _fs(spark: SparkSession, path: str):
