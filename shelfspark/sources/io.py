@@ -48,7 +48,10 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     pruning, pushed filters and partition pruning happen in the reader."""
     df = spark.read.parquet(path)
     typed = TYPED[table]
-    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in typed.fields if f.name in df.columns]
+    have = {f.name: f.dataType for f in df.schema.fields}
+    # Cast only where the stored type differs, so filters stay pushable.
+    cols = [F.col(f.name) if have[f.name] == f.dataType else F.col(f.name).cast(f.dataType).alias(f.name)
+            for f in typed.fields if f.name in have]
     extra = [c for c in df.columns if c not in typed.fieldNames()]
     return df.select(*cols, *extra)
 
