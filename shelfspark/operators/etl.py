@@ -114,14 +114,21 @@ def key_table(dim: DataFrame, id_col: str, key_cols: list[str], seq: str) -> Dat
 
 def resolve_keys(raw: DataFrame, keys: DataFrame, lookups: list[str], out: str) -> DataFrame:
     """Add ``out`` = id of the first of ``lookups`` (raw columns, in order)
-    whose text is a key of ``keys``; NULL when none is."""
-    df = raw
-    ids = []
+    whose text is a key of ``keys``; NULL when none is.
+
+    Each fallback joins only the rows the previous lookups missed, so the
+    second (name) lookup shuffles the misses, not the whole fact table."""
+    pending = raw
+    resolved = None
     for i, c in enumerate(lookups):
-        k = keys.select(F.col("_k").alias(f"_k{i}"), F.col("_id").alias(f"_id{i}"))
-        df = df.join(k, df[c] == k[f"_k{i}"], "left").drop(f"_k{i}")
-        ids.append(F.col(f"_id{i}"))
-    return df.withColumn(out, F.coalesce(*ids)).drop(*[f"_id{i}" for i in range(len(lookups))])
+        k = keys.select(F.col("_k").alias("_lk"), F.col("_id").alias(out))
+        j = pending.join(k, F.col(c) == F.col("_lk"), "left").drop("_lk")
+        last = i == len(lookups) - 1
+        hit = j if last else j.where(F.col(out).isNotNull())
+        resolved = hit if resolved is None else resolved.unionByName(hit)
+        if not last:
+            pending = j.where(F.col(out).isNull()).drop(out)
+    return resolved
 
 
 # ---------------------------------------------------------------------------
