@@ -158,9 +158,11 @@ SUMMARY_SCHEMA = T.StructType([
     T.StructField("single", T.BooleanType()),
     # end state of the first segment for incoming unlocked counts 0..n-1
     T.StructField("out_by_count", T.ArrayType(T.ArrayType(T.LongType()))),
-    # (time, end state when the segment restarts clean at that attempt) for
-    # attempts an incoming lock can expire at (first lock window + one)
-    T.StructField("restart_us", T.ArrayType(T.LongType())),
+    # End state when the segment restarts clean at an attempt an incoming
+    # lock can expire before (first lock window + one), run-length encoded:
+    # runs of consecutive attempts (first time, last time) with one end state.
+    T.StructField("restart_first_us", T.ArrayType(T.LongType())),
+    T.StructField("restart_last_us", T.ArrayType(T.LongType())),
     T.StructField("restart_out", T.ArrayType(T.ArrayType(T.LongType()))),
     # end state of the last segment when it starts clean (not single)
     T.StructField("last_clean", T.ArrayType(T.LongType())),
@@ -191,16 +193,22 @@ def _lock_summary(n: int, lock_us: int):
         out_by = [_enc(ref_end)] + [
             _enc(_end_merging(us, ok, act, (c, None), n, lock_us, a, b, ref, a, ref_end)) for c in range(1, n)]
         horizon = int(us[a]) + lock_us
-        r_us, r_out = [], []
+        r_first, r_last, r_out = [], [], []
         for j in range(a, b):
-            r_us.append(int(us[j]))
-            r_out.append(_enc(_end_merging(us, ok, act, (0, None), n, lock_us, j, b, ref, a, ref_end)))
+            out = _enc(_end_merging(us, ok, act, (0, None), n, lock_us, j, b, ref, a, ref_end))
+            if r_out and r_out[-1] == out:
+                r_last[-1] = int(us[j])
+            else:
+                r_first.append(int(us[j]))
+                r_last.append(int(us[j]))
+                r_out.append(out)
             if int(us[j]) >= horizon:
                 break
         last = _enc(_run(us, ok, act, (0, None), n, lock_us, *segs[-1])) if len(segs) > 1 else None
         yield pd.DataFrame([{
             "pid": int(pdf["_pid"].iloc[0]), "first_user": users[a], "last_user": users[-1],
-            "single": len(segs) == 1, "out_by_count": out_by, "restart_us": r_us, "restart_out": r_out,
+            "single": len(segs) == 1, "out_by_count": out_by, "restart_first_us": r_first,
+            "restart_last_us": r_last, "restart_out": r_out,
             "last_clean": last,
         }])
 
@@ -219,7 +227,9 @@ def _resolve(summaries: list, n: int) -> dict[int, tuple]:
         if until is None:
             out_first = _dec(r["out_by_count"][min(count, n - 1)])
         else:
-            nxt = [k for k, t in enumerate(r["restart_us"]) if t >= until]
+            # the first attempt at or after the expiry lies in the first run
+            # whose last attempt is at or after it
+            nxt = [k for k, t in enumerate(r["restart_last_us"]) if t >= until]
             out_first = _dec(r["restart_out"][nxt[0]]) if nxt else st
         if r["single"]:
             prev_out = out_first
