@@ -81,13 +81,16 @@ def range_sorted(df: DataFrame, sort_cols: list[str], partitions: int | None = N
     partition id (and optionally a stable row id)."""
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The range bounds are sampled from the input and the checkpoint write
     # re-reads its input, so both are cached for the duration (spilling to
     # local disk; a lost cache block is recomputed from lineage).
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # Without an explicit count the number of ranges follows
+    # spark.sql.shuffle.partitions and AQE may coalesce adjacent ranges to
+    # its advisory size - still contiguous ranges, so the passes stay exact.
+    ranged = src.repartitionByRange(partitions, *sort_cols) if partitions else src.repartitionByRange(*sort_cols)
     parts = (
-        src.repartitionByRange(n, *sort_cols)
+        ranged
         .sortWithinPartitions(*sort_cols)
         .withColumn(PID, F.spark_partition_id())
     )
