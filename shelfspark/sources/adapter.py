@@ -9,9 +9,10 @@ plain column expressions, so everything stays in whole-stage codegen.
 The same rules, written as SQL, are the oracle's CTEs
 (`shelfspark.plans.oracle.ADAPTER_SQL`); keep the two in step.
 
-On a cluster you would run `materialize` once and let the reports read the
-written tables (sales partitioned by month of sale_date), instead of
-re-deriving sales from lineitem x orders for every report.
+On a cluster, run `shelfspark.sources.io.materialize_model` once and let
+the reports read the written tables (sales partitioned by month of
+sale_date, read back with `io.read_table`), instead of re-deriving sales
+from lineitem x orders for every report.
 """
 
 from __future__ import annotations
