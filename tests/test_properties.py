@@ -15,7 +15,7 @@ from shelfspark.operators import quality as Q
 cents = st.integers(min_value=-10_000_000, max_value=10_000_000)
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=10, deadline=None)
 @given(st.lists(st.lists(cents, min_size=1, max_size=12), min_size=1, max_size=6))
 def test_avg_money_is_exact_half_away_from_zero(spark, groups):
     rows = [(g, Decimal(c).scaleb(-2)) for g, vals in enumerate(groups) for c in vals]
@@ -28,7 +28,7 @@ def test_avg_money_is_exact_half_away_from_zero(spark, groups):
         assert got[g] == want, (vals, got[g], want)
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=10, deadline=None)
 @given(st.lists(st.integers(min_value=0, max_value=10**9), min_size=1, max_size=5))
 def test_share_pct_is_exact(spark, parts):
     total = sum(parts)
