@@ -50,11 +50,6 @@ def clean_date(col: Column | str) -> Column:
     return F.when((c.isNull()) | (c == "") | (c == "N/A"), F.lit(None).cast("date")).otherwise(F.coalesce(*parsed))
 
 
-def blank_to_null(col: Column | str) -> Column:
-    c = _c(col)
-    return F.when(c == "", F.lit(None).cast("string")).otherwise(c)
-
-
 def format_code(prefix: str, n: Column) -> Column:
     """prefix + number zero-padded to 3 digits, never truncated (ITM1000)."""
     return F.format_string(prefix + "%03d", n.cast("long"))

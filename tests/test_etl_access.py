@@ -93,3 +93,11 @@ def test_legacy_names_and_dedup(spark):
     df = spark.createDataFrame([("k", 1, "old"), ("k", 3, "new"), ("k", 2, "mid"), ("j", 1, "only")],
                                "key string, ts int, v string")
     assert {(r.key, r.v) for r in X.dedup_latest(df, "key", "ts").collect()} == {("k", "new"), ("j", "only")}
+
+
+def test_generated_columns(spark):
+    from decimal import Decimal
+    inv = spark.createDataFrame([(Decimal("3.50"), Decimal("5.00"))], "cost_price decimal(10,2), selling_price decimal(10,2)")
+    assert X.with_generated(inv, "inventory").first().profit_margin == Decimal("1.50")
+    s = spark.createDataFrame([(3, Decimal("2.25"))], "quantity_sold int, unit_price decimal(10,2)")
+    assert X.with_generated(s, "sales_log").first().total_amount == Decimal("6.75")
