@@ -26,9 +26,25 @@ RUNTIME_CONF = {
 }
 
 
+def ship_code() -> None:
+    """Make the library's functions travel by value to Python workers.
+
+    The pandas functions run in executor-side Python processes, which need
+    not have this package installed or on their path (e.g. when the entry
+    file is loaded from elsewhere, or on a cluster). Pickling the package's
+    functions by value ships their code with each task, with no files to
+    distribute."""
+    from pyspark import cloudpickle
+
+    import shelfspark
+
+    cloudpickle.register_pickle_by_value(shelfspark)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship_code()
     return spark
 
 
