@@ -134,29 +134,30 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
 def _local_previous(keys: list[str], col: str, out: str):
     def fn(batches):
         carry_key = None
-        carry = None
+        carry = pd.NA
         first_seen = False
         for pdf in batches:
             if pdf.empty:
-                pdf[out] = pd.Series([], dtype="int64")
+                pdf[out] = pd.Series([], dtype="Int64")
                 pdf["_first"] = pd.Series([], dtype="bool")
                 yield pdf
                 continue
             kd = pdf[keys].astype(object).where(pdf[keys].notna(), "\0null")
-            v = pdf[col].astype("float64")
+            v = pdf[col].astype("Int64")  # nullable int64: exact for any long
             same = ~(kd != kd.shift()).any(axis=1).to_numpy()
-            prev = v.shift().to_numpy()
-            first = np.zeros(len(pdf), dtype=bool)
             same[0] = carry_key is not None and tuple(kd.iloc[0]) == carry_key
-            prev[0] = carry if same[0] else np.nan
+            prev = v.shift()
+            prev.iloc[0] = carry if same[0] else pd.NA
+            prev[~same] = pd.NA
+            first = np.zeros(len(pdf), dtype=bool)
             if not first_seen:
                 first[0] = True
                 first_seen = True
-            prev = np.where(same, prev, np.nan)
-            pdf[out] = pd.Series(prev, index=pdf.index).astype("Int64")
+            pdf[out] = prev.to_numpy()
+            pdf[out] = pdf[out].astype("Int64")
             pdf["_first"] = first
             carry_key = tuple(kd.iloc[-1])
-            carry = float(v.iloc[-1])
+            carry = v.iloc[-1]
             yield pdf
 
     return fn
