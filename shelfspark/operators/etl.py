@@ -212,6 +212,8 @@ def load_users(raw: DataFrame, seq: str = "User_ID") -> tuple[DataFrame, DataFra
         F.coalesce(_cell(good, "Password_Hash", "pending_migration"), F.lit("")).alias("password_hash"),
         role.alias("role"),
         status.alias("account_status"),
+        F.try_to_timestamp(F.when(_present(_cell(good, "Last_Login", "")), _cell(good, "Last_Login", "")))
+        .cast("timestamp_ntz").alias("last_login"),
         F.coalesce(_cell(good, "Notes", ""), F.lit("")).alias("notes"),
         "_seq",
     )

@@ -101,3 +101,11 @@ def test_generated_columns(spark):
     assert X.with_generated(inv, "inventory").first().profit_margin == Decimal("1.50")
     s = spark.createDataFrame([(3, Decimal("2.25"))], "quantity_sold int, unit_price decimal(10,2)")
     assert X.with_generated(s, "sales_log").first().total_amount == Decimal("6.75")
+
+
+def test_load_users_keeps_last_login(spark):
+    raw = spark.createDataFrame([("USR001", "ann", "2026-01-17 08:30:00"), ("USR002", "bob", "")],
+                                "User_ID string, Username string, Last_Login string")
+    users, bad = E.load_users(raw)
+    got = {r.username: r.last_login for r in users.collect()}
+    assert got == {"ann": dt.datetime(2026, 1, 17, 8, 30), "bob": None} and bad.count() == 0
