@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import partitions_for, text_of, written
@@ -73,15 +73,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for every row; ``fp`` is the fingerprint as a signed long."""
+def fingerprint_of(text: Column, shingle: int = SHINGLE) -> Column:
+    """Fingerprints of a text column as signed longs."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            fps = np.array([fingerprint(t, shingle) for t in rows["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "fp": fps.view(np.int64)})
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64)
+        return pd.Series(fps.view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return run(text_of(text))
 
 
 def _syndrome(x: np.ndarray) -> np.ndarray:
@@ -191,18 +191,33 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     return plain.unionByName(_by_key(finer)).distinct()
 
 
+def _classes(distinct: DataFrame) -> DataFrame:
+    """``distinct`` (one row per fingerprint) with the class its fingerprint is linked into."""
+    labels = components(links(distinct.select("fp")))  # (node, root) of linked fingerprints
+    return distinct.join(labels, distinct["fp"] == labels["node"], "left").withColumn(
+        "class", F.coalesce("root", "fp")).drop("node", "root")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text)."""
-    fps = written(fingerprints(docs, shingle), "simhash-fps")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    labels = components(links(distinct.select("fp")))  # (node, root) of linked fingerprints
-    classes = distinct.join(labels, distinct["fp"] == labels["node"], "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("class"))
+    fps = written(docs.select(F.col("doc_id").cast("long"), fingerprint_of(F.col("text"), shingle).alias("fp")), "simhash-fps")
+    classes = written(_classes(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))), "simhash-classes")
     smallest = classes.groupBy("class").agg(F.min("first_id").alias("component_id"))
     by_fp = classes.join(smallest, "class").select(F.col("fp").alias("_fp"), "component_id")
     return fps.join(by_fp, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
 
 
+def deduplicate(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """One document of each component, the one of the smallest doc_id, with all its columns."""
+    rows = written(docs.select(
+        F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), fingerprint_of(F.col("text"), shingle).alias("fp"),
+        F.monotonically_increasing_id().alias("_uid")), "simhash-rows")
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_uid")).alias("first")
+    classes = _classes(rows.groupBy("fp").agg(first))
+    keep = classes.groupBy("class").agg(F.min("first").alias("first")).select(F.col("first._uid").alias("_uid"))
+    return rows.join(keep, "_uid", "left_semi").select("_row.*")
+
+
 def simhash_report(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Fingerprint in hexadecimal and component per document."""
     return near_duplicates(docs, shingle).select(
