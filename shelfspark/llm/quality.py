@@ -152,8 +152,8 @@ def group_fences(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
     s = named(fences(fine, ["_lang", "_source"]), "s")
     g = named(fences(by_lang, ["_lang"]), "l").withColumnRenamed("_lang", "_l")
-    a = named(fences(every, ["_all"]), "a").drop("_all")
-    joined = s.join(g, F.col("_lang").eqNullSafe(F.col("_l")), "left").join(F.broadcast(a))  # one row
+    a = named(fences(every, ["_all"]), "a")
+    joined = s.withColumn("_all", F.lit(1)).join(g, F.col("_lang").eqNullSafe(F.col("_l")), "left").join(a, "_all")
     pick = [
         F.when(F.col("s_n_docs") >= min_docs, F.col(f"s_{c}"))
         .when(F.col("l_n_docs") >= min_docs, F.col(f"l_{c}"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import common, packing, pieces, pii, quality, simhash, suffix, tokencount
+from shelfspark.llm import common, html, lm, packing, pieces, pii, quality, simhash, suffix, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir, "doc_id", "text")
     return pieces.encode_documents(docs, tokenizer_path("piece_bpe_32k.model")).drop("ids")
+
+
+@query("op4_html_extraction")
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+@query("op7_lm_scores")
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(common.documents(spark, sf_dir, "doc_id", "text"))
