@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import common, html, lm, packing, pieces, pii, quality, simhash, suffix, tokencount
+from shelfspark.llm import ann, common, html, lm, packing, pieces, pii, quality, simhash, suffix, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,9 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_lm_scores")
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(common.documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query("op1_nearest_neighbours")
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return ann.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"))
