@@ -196,3 +196,59 @@ def quality_report(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judge(docs, [F.col("doc_id")], min_docs).select(
         "doc_id", *[F.col("_m")[c].alias(c) for c in counts], "base_failed", "kept")
+
+
+def report_sql(min_docs: int = MIN_DOCS) -> str:
+    """DuckDB SQL for ``quality_report`` over the documents table."""
+    metric = {"symbols": "n_symbols * 1000 // n_words", "dup_lines": "n_dup_lines * 1000 // n_lines",
+              "repeats": "n_repeat_words * 1000 // n_words", "word_length": "word_chars * 100 // n_words"}
+    limits = [f"{n}_high" for n in FENCES] + [f"{n}_low" for n, f in FENCES.items() if f[4] == "both"]
+
+    def level(name: str, keys: str) -> str:
+        group, also = (f"{keys}, ", f"PARTITION BY {keys}, metric") if keys else ("", "PARTITION BY metric")
+        columns = []
+        for n, (low, high, spreads, least, sides) in FENCES.items():
+            q = [f"min(bin) FILTER (WHERE metric = '{n}' AND upto * 100 >= total * {p})" for p in (low, high)]
+            reach = f"greatest(({q[1]} - {q[0]}) * {spreads}, {least})"
+            columns.append(f"{q[1]} + {reach} AS {n}_high")
+            if sides == "both":
+                columns.append(f"{q[0]} - {reach} AS {n}_low")
+        tail = f"GROUP BY {keys}" if keys else ""
+        return f"""{name} AS (SELECT {group}max(total) AS n_docs, {", ".join(columns)} FROM (
+          SELECT {group}metric, bin, sum(n) OVER ({also} ORDER BY bin) AS upto, sum(n) OVER ({also}) AS total
+          FROM (SELECT {group}metric, bin, sum(n) AS n FROM sketch GROUP BY {group}metric, bin)) {tail})"""
+
+    picks = ", ".join(f"CASE WHEN f.n_docs >= {min_docs} THEN f.{c} WHEN g.n_docs >= {min_docs} THEN g.{c} "
+                      f"ELSE (SELECT {c} FROM by_all) END AS {c}" for c in limits)
+    rules = " AND ".join([f"coalesce({n} <= {n}_high, true)" for n in FENCES]
+                         + [f"coalesce({n} >= {n}_low, true)" for n, f in FENCES.items() if f[4] == "both"])
+    values = ", ".join(f"CASE WHEN {'n_lines' if n == 'dup_lines' else 'n_words'} > 0 THEN {e} END AS {n}" for n, e in metric.items())
+    longs = " UNION ALL ".join(f"SELECT lang, source, '{n}' AS metric, {n} AS v FROM valued" for n in metric)
+    space = r"[\x20\x09-\x0D]+"
+    return f"""
+    WITH split AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t,
+        list_filter(string_split_regex(coalesce(text, ''), '{space}'), lambda x: x <> '') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '{space}', '', 'g') <> '') AS lines
+      FROM documents),
+    places AS (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM split WHERE len(w) >= 3),
+    windows AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, concat_ws(' ', w[i], w[i + 1], w[i + 2])) AS c FROM places),
+    covered AS (SELECT rid, count(DISTINCT p) AS n FROM (
+        SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE c > 1) GROUP BY rid),
+    counted AS (SELECT rid, doc_id, lang, source, len(w) AS n_words,
+        length(regexp_replace(t, '{space}', '', 'g')) AS word_chars,
+        length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
+        coalesce(covered.n, 0) AS n_repeat_words FROM split LEFT JOIN covered USING (rid)),
+    valued AS (SELECT *, {values} FROM counted),
+    longs AS ({longs}),
+    sketch AS (SELECT lang, source, metric, bin, count(*) AS n FROM (
+        SELECT lang, source, metric, (v >> s) << s AS bin FROM (
+          SELECT *, greatest(length(bin(v)) - 7, 0)::BIGINT AS s FROM longs WHERE v IS NOT NULL)) GROUP BY ALL),
+    {level("by_source", "lang, source")}, {level("by_lang", "lang")}, {level("by_all", "")},
+    limits AS (SELECT f.lang, f.source, {picks} FROM by_source f LEFT JOIN by_lang g ON f.lang IS NOT DISTINCT FROM g.lang),
+    judged AS (SELECT v.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+        {rules} AS passes FROM valued v LEFT JOIN limits l
+        ON v.lang IS NOT DISTINCT FROM l.lang AND v.source IS NOT DISTINCT FROM l.source)
+    SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+        NOT base_failed AND passes AS kept FROM judged"""

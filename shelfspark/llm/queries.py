@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op9_quality_rules")
+@query("op9_quality_rules", quality.report_sql())
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(common.documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
 
