@@ -132,6 +132,14 @@ SELECT_POLICY = [
     ("users", "Admin", "all"), ("users", "Staff", "own"),
     ("activity_log", "Admin", "all"), ("activity_log", "Staff", "own"),
 ]
+# (table, action, role, scope) for writes; '*' is any role, even none. Admins may write all tables.
+WRITE_POLICY = [
+    ("inventory", "INSERT", "Staff", "all"), ("inventory", "UPDATE", "Staff", "all"),
+    ("sales_log", "INSERT", "Staff", "all"),
+    ("restock_orders", "INSERT", "Staff", "all"), ("restock_orders", "UPDATE", "Staff", "all"),
+    ("users", "UPDATE", "Staff", "own"),
+    ("activity_log", "INSERT", "*", "own"),
+]
 OWNER_COLUMN = {"users": "user_id", "activity_log": "user_id"}
 
 
@@ -153,6 +161,21 @@ def visible_rows(df: DataFrame, table: str, usr: DataFrame, uid) -> DataFrame:
     return df.where(cond)
 
 
+def write_allowed(requests: DataFrame, table: str, action: str, usr: DataFrame) -> DataFrame:
+    """``requests`` (rows of ``table`` with the requesting user in ``by_user``)
+    with ``allowed``: whether the user's role, or owning the row, permits
+    ``action`` (INSERT, UPDATE or DELETE). Unknown users may only insert
+    their own audit rows."""
+    roles = usr.select(F.col("user_id").alias("_uid"), F.col("role").alias("_role"))
+    ok = F.col("_role") == "Admin"
+    for t, a, role, scope in WRITE_POLICY:
+        if (t, a) == (table, action):
+            mine = F.lit(True) if scope == "all" else F.col(OWNER_COLUMN[table]).eqNullSafe(F.col("by_user")) & F.col("by_user").isNotNull()
+            ok = ok | (mine if role == "*" else mine & (F.col("_role") == role))
+    joined = requests.join(roles, F.col("by_user") == F.col("_uid"), "left")
+    return joined.withColumn("allowed", F.coalesce(ok, F.lit(False))).drop("_uid", "_role")
+
+
 def visible_counts(df: DataFrame, table: str, usr: DataFrame) -> DataFrame:
     """For every user: how many rows of ``table`` they may see. 'all' is the
     table count (scalar), 'own' the per-owner count (one aggregate) - no

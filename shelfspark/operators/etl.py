@@ -51,6 +51,25 @@ def _split(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
+def _load_seq(raw: DataFrame, code: str) -> Column:
+    """Load sequence as sortable text: an explicit ``_row`` column, else the
+    code's number (so ITM2000 comes after ITM999), then the code."""
+    if "_row" in raw.columns:
+        return F.lpad(F.col("_row").cast("string"), 20, "0")
+    if code not in raw.columns:
+        return F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")
+    return F.concat(F.lpad(F.regexp_extract(code, "([0-9]+)[^0-9]*$", 1), 20, "0"), F.col(code))
+
+
+def _first_of_code(rows: DataFrame, code: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, repeats): of the rows that share a non-blank ``code`` the first
+    in ``order`` stays, as a unique key would have it. An aggregate carries
+    the whole row, so a code that many rows share costs one row per task."""
+    coded = rows.where(_present(F.col(code)))
+    first = coded.groupBy(code).agg(F.min_by(F.struct(*rows.columns), F.struct(*order, *rows.columns)).alias("_first")).select("_first.*")
+    return first.unionByName(rows.where(~_present(F.col(code)))), coded.exceptAll(first)
+
+
 # ---------------------------------------------------------------------------
 # ETL-4 sequential codes
 # ---------------------------------------------------------------------------
@@ -134,9 +153,32 @@ def resolve_keys(raw: DataFrame, keys: DataFrame, lookups: list[str], out: str)
 # ---------------------------------------------------------------------------
 # ETL-3 loaders
 # ---------------------------------------------------------------------------
+REASON_DUPLICATE = "duplicate code"
+
+
+def _coded(typed: DataFrame, bad: DataFrame, raw: DataFrame, code: str, raw_code: str, prefix: str,
+           existing: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Repeated codes go to the rejects; blank codes continue after the
+    highest code of the target table (``existing``) and of the batch."""
+    typed, repeats = _first_of_code(typed, code, ["_seq"])
+    if raw_code in raw.columns:
+        again = repeats.select(F.col(code).alias(raw_code), F.lit(REASON_DUPLICATE).alias("reject_reason"))
+        bad = bad.unionByName(again, allowMissingColumns=True)
+    known = typed.select(code) if existing is None else existing.select(code).unionByName(typed.select(code))
+    return assign_codes(typed, code, known, prefix, ["_seq"], complete=_codes_complete(raw, raw_code)), bad
+
+
+def _refuse_repeats(good: DataFrame, bad: DataFrame, code: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The first row of each code in the raw columns' ``order``; the others are rejected whole."""
+    if code not in good.columns:
+        return good, bad
+    good, repeats = _first_of_code(good, code, [c for c in order if c in good.columns])
+    return good, bad.unionByName(repeats.withColumn("reject_reason", F.lit(REASON_DUPLICATE)))
+
+
 def load_suppliers(raw: DataFrame, existing: DataFrame | None = None, seq: str = "Supplier_ID") -> tuple[DataFrame, DataFrame]:
     name = _cell(raw, "Supplier_Name")
-    df = raw.withColumn("_seq", F.col(seq) if seq in raw.columns else F.monotonically_increasing_id())
+    df = raw.withColumn("_seq", _load_seq(raw, seq))
     good, bad = _split(df, F.when(~_present(name), F.lit("missing supplier name")))
     typed = good.select(
         F.coalesce(F.when(_present(_cell(good, "Supplier_ID")), _cell(good, "Supplier_ID")), F.lit("")).alias("supplier_code"),
@@ -149,17 +191,16 @@ def load_suppliers(raw: DataFrame, existing: DataFrame | None = None, seq: str =
         F.coalesce(_cell(good, "Notes", ""), F.lit("")).alias("notes"),
         "_seq",
     )
-    ex = existing if existing is not None else typed.where(F.lit(False))
-    typed = assign_codes(typed, "supplier_code", ex.select("supplier_code"), "SUP", ["_seq"],
-                         complete=_codes_complete(raw, "Supplier_ID"))
+    typed, bad = _coded(typed, bad, raw, "supplier_code", "Supplier_ID", "SUP", existing)
     return typed.withColumn("supplier_id", F.col("supplier_code")), bad
 
 
-def load_inventory(raw: DataFrame, suppliers: DataFrame, as_of: dt.date, seq: str = "Item_ID") -> tuple[DataFrame, DataFrame]:
+def load_inventory(raw: DataFrame, suppliers: DataFrame, as_of: dt.date, seq: str = "Item_ID",
+                   existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Typed inventory; supplier looked up by name only (NULL when unknown);
     defaults apply when a column is absent, not when a cell is blank."""
     sup_keys = key_table(suppliers, "supplier_id", ["supplier_code", "supplier_name"], "_seq")
-    df = raw.withColumn("_seq", F.col(seq) if seq in raw.columns else F.monotonically_increasing_id())
+    df = raw.withColumn("_seq", _load_seq(raw, seq))
     df = resolve_keys(df, sup_keys, ["Supplier_Name"], "_res_supplier") if "Supplier_Name" in raw.columns \
         else df.withColumn("_res_supplier", F.lit(None).cast("string"))
     cat = _cell(df, "Category", "Other")
@@ -190,13 +231,12 @@ def load_inventory(raw: DataFrame, suppliers: DataFrame, as_of: dt.date, seq: st
         clean_date(_cell(good, "Last_Restocked", "")).alias("last_restocked"),
         "_seq",
     )
-    typed = assign_codes(typed, "item_code", typed.where(F.lit(False)), "ITM", ["_seq"],
-                         complete=_codes_complete(raw, "Item_ID"))
+    typed, bad = _coded(typed, bad, raw, "item_code", "Item_ID", "ITM", existing)
     return typed.withColumn("item_id", F.col("item_code")), bad
 
 
-def load_users(raw: DataFrame, seq: str = "User_ID") -> tuple[DataFrame, DataFrame]:
-    df = raw.withColumn("_seq", F.col(seq) if seq in raw.columns else F.monotonically_increasing_id())
+def load_users(raw: DataFrame, seq: str = "User_ID", existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    df = raw.withColumn("_seq", _load_seq(raw, seq))
     role = _cell(df, "Role", "Staff")
     status = _cell(df, "Account_Status", "Active")
     reason = (
@@ -217,16 +257,18 @@ def load_users(raw: DataFrame, seq: str = "User_ID") -> tuple[DataFrame, DataFra
         F.coalesce(_cell(good, "Notes", ""), F.lit("")).alias("notes"),
         "_seq",
     )
-    typed = assign_codes(typed, "user_code", typed.where(F.lit(False)), "USR", ["_seq"],
-                         complete=_codes_complete(raw, "User_ID"))
+    typed, bad = _coded(typed, bad, raw, "user_code", "User_ID", "USR", existing)
     return typed.withColumn("user_id", F.col("user_code")), bad
 
 
-def load_sales(raw: DataFrame, inventory: DataFrame, users: DataFrame, as_of: dt.date) -> tuple[DataFrame, DataFrame]:
+def load_sales(raw: DataFrame, inventory: DataFrame, users: DataFrame, as_of: dt.date,
+               existing: DataFrame | None = None, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Item by old code, else by name (later duplicate names win); seller by
     user code or username, else NULL. Sales without an item are rejected;
     so are rows the typed table would refuse (quantity <= 0, negative
-    price, payment method or time that the column does not accept)."""
+    price, payment method or time that the column does not accept, a code
+    that an earlier row has; ``order`` is the load sequence, by default the
+    cells' own order)."""
     item_keys = key_table(inventory, "item_id", ["item_code", "item_name"], "_seq")
     user_keys = key_table(users, "user_id", ["user_code", "username"], "_seq")
     df = resolve_keys(raw, item_keys, ["Item_ID", "Item_Name"], "_res_item")
@@ -243,6 +285,7 @@ def load_sales(raw: DataFrame, inventory: DataFrame, users: DataFrame, as_of: dt
         .when(~tm.rlike(r"^\d{1,2}:\d{2}(:\d{2})?$"), "invalid time")
     )
     good, bad = _split(df, reason)
+    good, bad = _refuse_repeats(good, bad, "Transaction_ID", order or ["Date", "Time", "Item_ID", "Item_Name", "Quantity_Sold", "Unit_Price"])
     typed = good.select(
         F.coalesce(F.when(_present(_cell(good, "Transaction_ID")), _cell(good, "Transaction_ID")), F.lit("")).alias(
             "transaction_code"
@@ -256,14 +299,16 @@ def load_sales(raw: DataFrame, inventory: DataFrame, users: DataFrame, as_of: dt
         pay.alias("payment_method"),
         F.col("_res_seller").alias("sold_by"),
     )
+    known = typed if existing is None else existing.select("transaction_code").unionByName(typed.select("transaction_code"))
     typed = assign_codes(
-        typed, "transaction_code", typed.where(F.lit(False)).select("transaction_code"), "TXN",
+        typed, "transaction_code", known.select("transaction_code"), "TXN",
         ["sale_date", "sale_time", "item_id"], day=F.lit(as_of), complete=_codes_complete(raw, "Transaction_ID"),
     )
     return typed, bad
 
 
-def load_orders(raw: DataFrame, suppliers: DataFrame, inventory: DataFrame, as_of: dt.date) -> tuple[DataFrame, DataFrame]:
+def load_orders(raw: DataFrame, suppliers: DataFrame, inventory: DataFrame, as_of: dt.date,
+                existing: DataFrame | None = None, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Supplier by name only, item by code else name; orders missing either
     are skipped. Received iff date_received is set (else refused)."""
     sup_keys = key_table(suppliers, "supplier_id", ["supplier_code", "supplier_name"], "_seq")
@@ -282,6 +327,7 @@ def load_orders(raw: DataFrame, suppliers: DataFrame, inventory: DataFrame, as_o
         .when((status == "Received") != received.isNotNull(), "received date does not match status")
     )
     good, bad = _split(df, reason)
+    good, bad = _refuse_repeats(good, bad, "Order_ID", order or ["Date_Ordered", "Item_ID", "Quantity_Ordered"])
     typed = good.select(
         F.coalesce(F.when(_present(_cell(good, "Order_ID")), _cell(good, "Order_ID")), F.lit("")).alias("order_code"),
         F.coalesce(clean_date(_cell(good, "Date_Ordered", "")), F.lit(as_of)).alias("date_ordered"),
@@ -294,8 +340,9 @@ def load_orders(raw: DataFrame, suppliers: DataFrame, inventory: DataFrame, as_o
         status.alias("status"),
         received.alias("date_received"),
     )
+    known = typed if existing is None else existing.select("order_code").unionByName(typed.select("order_code"))
     typed = assign_codes(
-        typed, "order_code", typed.where(F.lit(False)).select("order_code"), "PO",
+        typed, "order_code", known.select("order_code"), "PO",
         ["date_ordered", "item_id"], day=F.lit(as_of), complete=_codes_complete(raw, "Order_ID"),
     )
     return typed, bad

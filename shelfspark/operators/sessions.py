@@ -117,32 +117,69 @@ def _step(state, us, ok, active, n, lock_us):
     return "failure", count, (count, None)
 
 
-def _run(us, ok, active, start, n, lock_us, lo=0, hi=None):
-    st = start
-    for i in range(lo, len(us) if hi is None else hi):
-        st = _step(st, int(us[i]), bool(ok[i]), bool(active[i]), n, lock_us)[2]
-    return st
-
-
-def _trajectory(us, ok, active, start, n, lock_us, lo, hi):
-    """States before each attempt lo..hi-1, and the end state."""
-    traj, st = [], start
-    for i in range(lo, hi):
-        traj.append(st)
-        st = _step(st, int(us[i]), bool(ok[i]), bool(active[i]), n, lock_us)[2]
-    return traj, st
-
-
-def _end_merging(us, ok, active, start, n, lock_us, lo, hi, ref_traj, ref_lo, ref_end):
-    """End state from ``start`` at ``lo``; stops as soon as the run meets the
-    reference trajectory (same state at the same attempt): from there on the
-    two runs are identical. Keeps the summary linear in practice."""
-    st = start
-    for i in range(lo, hi):
-        if st == ref_traj[i - ref_lo]:
-            return ref_end
-        st = _step(st, int(us[i]), bool(ok[i]), bool(active[i]), n, lock_us)[2]
-    return st
+class _Fold:
+    """The rule over one username's attempts from any clean start, in linear time.
+
+    From a clean start the next lock is the n-th failure since the start or
+    since a later success; the attempt that first finds the lock expired is
+    a clean start again. So each start leads to one later start or to a final
+    state, and the final states follow from right to left."""
+
+    def __init__(self, us, ok, active, n: int, lock_us: int):
+        self.us, self.n, self.lock_us = us, n, lock_us
+        failed = active & ~ok
+        self.fails = np.flatnonzero(failed)
+        m = len(self.fails)
+        self.wins = np.cumsum(active & ok)  # successes up to each attempt
+        streak = self.wins[self.fails]
+        nth = np.arange(m) + n - 1
+        long_enough = (nth < m) & (streak[np.minimum(nth, m - 1)] == streak) if m else np.zeros(0, dtype=bool)
+        first = np.concatenate(([True], streak[1:] != streak[:-1])) if m else np.zeros(0, dtype=bool)
+        self.starts = np.flatnonzero(first & long_enough)  # streaks that lock, by their first failure
+        self.next_streak = np.searchsorted(streak, streak, side="right")
+        self.streak, self.long_enough = streak, long_enough
+        lock = self._lock_after(np.searchsorted(self.fails, np.arange(len(us))))
+        self.end = [self._open_end(j) if at < 0 else (n, int(us[at]) + lock_us) for j, at in enumerate(lock.tolist())]
+        again = np.searchsorted(us, us[np.maximum(lock, 0)] + lock_us, side="left")
+        for j in range(len(us) - 1, -1, -1):
+            if lock[j] >= 0 and again[j] < len(us):
+                self.end[j] = self.end[int(again[j])]
+
+    def _lock_after(self, k):
+        """Attempt that locks when counting starts with failure number k (-1: none does)."""
+        m = len(self.fails)
+        inside = np.minimum(k, max(m - 1, 0))
+        at = np.full(len(k), -1, dtype=np.int64)
+        if m:
+            here = (k < m) & self.long_enough[inside]
+            at[here] = self.fails[k[here] + self.n - 1]
+            later = np.searchsorted(self.starts, self.next_streak[inside])
+            there = ~here & (k < m) & (later < len(self.starts))
+            at[there] = self.fails[self.starts[later[there]] + self.n - 1]
+        return at
+
+    def _open_end(self, j: int):
+        """Final state from a clean start without any lock: the failures since the last success."""
+        since = np.searchsorted(self.streak, self.wins[-1]) if len(self.fails) else 0
+        return (len(self.fails) - max(int(np.searchsorted(self.fails, j)), int(since)), None)
+
+    def from_count(self, c: int):
+        """Final state when the first attempt finds c failures counted, unlocked."""
+        if c == 0:
+            return self.end[0]
+        need = self.n - c - 1  # this many failures more before the one that locks
+        m = len(self.fails)
+        if need < m and self.streak[need] == 0 and self.fails[need] >= 0:
+            return self._locked_at(int(self.fails[need]))
+        wins = np.flatnonzero(np.diff(np.concatenate(([0], self.wins))) > 0)
+        if len(wins):  # the first success clears the count: a clean start behind it
+            return self.end[int(wins[0])]
+        return (c + m, None)
+
+    def _locked_at(self, at: int):
+        until = int(self.us[at]) + self.lock_us
+        again = int(np.searchsorted(self.us, until, side="left"))
+        return self.end[again] if again < len(self.us) else (self.n, until)
 
 
 def _segments(users):
@@ -189,13 +226,12 @@ def _lock_summary(n: int, lock_us: int):
         users = pdf["_user"].tolist()
         segs = _segments(users)
         a, b = segs[0]
-        ref, ref_end = _trajectory(us, ok, act, (0, None), n, lock_us, a, b)
-        out_by = [_enc(ref_end)] + [
-            _enc(_end_merging(us, ok, act, (c, None), n, lock_us, a, b, ref, a, ref_end)) for c in range(1, n)]
+        fold = _Fold(us[a:b], ok[a:b].astype(bool), act[a:b].astype(bool), n, lock_us)
+        out_by = [_enc(fold.from_count(c)) for c in range(n)]
         horizon = int(us[a]) + lock_us
         r_first, r_last, r_out = [], [], []
         for j in range(a, b):
-            out = _enc(_end_merging(us, ok, act, (0, None), n, lock_us, j, b, ref, a, ref_end))
+            out = _enc(fold.end[j - a])
             if r_out and r_out[-1] == out:
                 r_last[-1] = int(us[j])
             else:
@@ -204,7 +240,8 @@ def _lock_summary(n: int, lock_us: int):
                 r_out.append(out)
             if int(us[j]) >= horizon:
                 break
-        last = _enc(_run(us, ok, act, (0, None), n, lock_us, *segs[-1])) if len(segs) > 1 else None
+        c, d = segs[-1]
+        last = _enc(_Fold(us[c:d], ok[c:d].astype(bool), act[c:d].astype(bool), n, lock_us).end[0]) if len(segs) > 1 else None
         yield pd.DataFrame([{
             "pid": int(pdf["_pid"].iloc[0]), "first_user": users[a], "last_user": users[-1],
             "single": len(segs) == 1, "out_by_count": out_by, "restart_first_us": r_first,

@@ -2,7 +2,7 @@
 
 `ADAPTER_SQL` is the SQL twin of `shelfspark.sources.adapter`: CTEs named
 after the retail tables, over the driver's pre-registered views. Each
-report's oracle is the reference's own view text on top of these CTEs,
+query's oracle is written from the semantics on top of these CTEs and
 wrapped in an outer SELECT that casts every column to the type the Spark
 side produces (see `with_types`).
 
@@ -59,7 +59,9 @@ suppliers AS (
          printf('+%02d-%07d', s_nationkey, s_suppkey) AS phone,
          CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS address,
          CAST(NULL AS VARCHAR) AS payment_terms, CAST(NULL AS VARCHAR) AS notes
-  FROM supplier
+  FROM (SELECT s_suppkey, s_name, s_nationkey FROM supplier
+        UNION ALL SELECT s_suppkey + 1000000000000, 'Dormant ' || s_name, s_nationkey FROM supplier
+        WHERE s_suppkey % 9 = 0) every_supplier
 ),
 inventory AS (
   SELECT p_partkey AS item_id,
@@ -82,7 +84,9 @@ inventory AS (
          CAST(DATE '1995-01-01' + CAST(p_partkey % 2000 AS INTEGER) AS DATE) AS date_added,
          CAST(DATE '1995-01-01' + CAST(p_partkey % 2000 AS INTEGER) + CAST(p_partkey % 97 AS INTEGER) AS DATE)
            AS last_restocked
-  FROM part
+  FROM (SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part
+        UNION ALL SELECT p_partkey + 1000000000000, 'Unsold ' || p_name, p_brand, p_type, p_size, p_retailprice
+        FROM part WHERE p_partkey % 13 = 0) every_part
 ),
 sales_log AS (
   SELECT l_orderkey AS transaction_id,
@@ -105,7 +109,6 @@ sales_log AS (
          CAST(NULL AS VARCHAR) AS notes,
          l_linenumber AS line_no
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_partkey % 13 <> 0 AND (l_partkey % 17 <> 0 OR l_quantity = 1)
 ),
 restock_orders AS (
   SELECT l_orderkey * 100 + l_linenumber AS order_id,
@@ -123,7 +126,6 @@ restock_orders AS (
               THEN CAST(CAST(o_orderdate AS DATE) + CAST(l_quantity AS INTEGER) AS DATE) END AS date_received,
          CAST(NULL AS VARCHAR) AS notes
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-  WHERE l_linenumber = 1 AND l_suppkey % 9 <> 0
 ),
 users AS (
   SELECT c_custkey AS user_id,

@@ -106,7 +106,8 @@ def q_visible_activity_counts(spark, d):
     return X.visible_counts(A.activity_log(spark, d), "activity_log", A.users(spark, d))
 
 
-_ACTION_PERMISSION = {"RESTOCK": "restock", "VIEW_REPORT": "view_reports", "RECORD_SALE": "edit_item"}
+_ACTION_PERMISSION = {"RESTOCK": "restock", "VIEW_REPORT": "view_reports", "RECORD_SALE": "edit_item",
+                      "LOGIN": "delete_item", "LOGIN_FAILED": "manage_users"}
 
 
 @register(
@@ -117,10 +118,11 @@ SELECT a.log_id, a.user_id, a.permission,
        COALESCE((u.role = 'Admin') OR (u.role = 'Staff' AND a.permission IN ('add_item', 'edit_item', 'restock',
                                                                          'view_reports')), false) AS allowed
 FROM (SELECT log_id, user_id, CASE action WHEN 'RESTOCK' THEN 'restock' WHEN 'VIEW_REPORT' THEN 'view_reports'
-                                          WHEN 'RECORD_SALE' THEN 'edit_item' END AS permission
-      FROM activity_log WHERE action IN ('RESTOCK', 'VIEW_REPORT', 'RECORD_SALE')) a
+                                          WHEN 'RECORD_SALE' THEN 'edit_item' WHEN 'LOGIN' THEN 'delete_item'
+                                          WHEN 'LOGIN_FAILED' THEN 'manage_users' END AS permission
+      FROM activity_log WHERE action IN ('RESTOCK', 'VIEW_REPORT', 'RECORD_SALE', 'LOGIN', 'LOGIN_FAILED')) a
 LEFT JOIN users u ON a.user_id = u.user_id""",
-    notes="FLT-9: audit actions checked against the role's permissions",
+    notes="FLT-9: audit actions, two of them reserved to admins, checked against the role's permissions",
 )
 def q_permission_checks(spark, d):
     log = A.activity_log(spark, d).where(F.col("action").isin(*_ACTION_PERMISSION))
@@ -293,3 +295,67 @@ def q_login_lockouts(spark, d):
     act = A.users(spark, d).select("user_id", (F.col("account_status") == "Active").alias("active"))
     att = att.join(act, "user_id", "left")
     return S.lockouts(att, lock_s=LOCK_S).select("attempt_id", "username", "success", "outcome", "failures")
+
+
+_WRITES = [("inventory", "UPDATE"), ("suppliers", "INSERT"), ("sales_log", "INSERT"), ("sales_log", "DELETE"),
+           ("restock_orders", "UPDATE"), ("users", "UPDATE"), ("activity_log", "INSERT"), ("activity_log", "UPDATE")]
+
+
+@register(
+    "write_checks",
+    [("table_name", "VARCHAR"), ("action", "VARCHAR"), ("log_id", "BIGINT"), ("allowed", "BOOLEAN")],
+    """
+WITH asked AS (
+  SELECT a.log_id, a.user_id AS row_owner, CASE WHEN a.log_id % 3 = 0 THEN a.user_id + 1 ELSE a.user_id END AS by_user
+  FROM activity_log a
+), named AS (
+  SELECT q.*, u.role, row_owner = by_user AS own FROM asked q LEFT JOIN users u ON u.user_id = q.by_user
+), wanted AS (
+  SELECT unnest(['inventory/UPDATE', 'suppliers/INSERT', 'sales_log/INSERT', 'sales_log/DELETE', 'restock_orders/UPDATE',
+                 'users/UPDATE', 'activity_log/INSERT', 'activity_log/UPDATE']) AS w
+)
+SELECT split_part(w, '/', 1) AS table_name, split_part(w, '/', 2) AS action, log_id,
+       coalesce(role = 'Admin', false)
+       OR (coalesce(role = 'Staff', false) AND w IN ('inventory/UPDATE', 'sales_log/INSERT', 'restock_orders/UPDATE'))
+       OR (coalesce(role = 'Staff', false) AND w = 'users/UPDATE' AND coalesce(own, false))
+       OR (w = 'activity_log/INSERT' AND coalesce(own, false)) AS allowed
+FROM named, wanted""",
+    notes="FLT-8 writes: every audit row as a request on each table, a third of them on another user's row",
+)
+def q_write_checks(spark, d):
+    asked = A.activity_log(spark, d).select(
+        "log_id", "user_id", F.when(F.col("log_id") % 3 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("by_user"))
+    users = A.users(spark, d)
+    parts = [X.write_allowed(asked, t, a, users).select(F.lit(t).alias("table_name"), F.lit(a).alias("action"), "log_id", "allowed")
+             for t, a in _WRITES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register(
+    "visible_activity",
+    [("log_id", "BIGINT"), ("user_id", "BIGINT"), ("viewer", "BIGINT")],
+    """
+SELECT a.log_id, a.user_id, v.viewer
+FROM activity_log a, (SELECT unnest([1, 2, 3, -1]) AS viewer) v
+WHERE (SELECT max(role) FROM users u WHERE u.user_id = v.viewer) = 'Admin'
+   OR ((SELECT max(role) FROM users u WHERE u.user_id = v.viewer) = 'Staff' AND a.user_id = v.viewer)""",
+    notes="FLT-8: the audit rows that three users and an unknown one may read",
+)
+def q_visible_activity(spark, d):
+    log, users = A.activity_log(spark, d).select("log_id", "user_id"), A.users(spark, d)
+    parts = [X.visible_rows(log, "activity_log", users, v).withColumn("viewer", F.lit(v)) for v in (1, 2, 3, -1)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@register(
+    "generated_columns",
+    [("transaction_id", "BIGINT"), ("line_no", "INTEGER"), ("total_amount", "DECIMAL(12,2)")],
+    """SELECT transaction_id, line_no, CAST(quantity_sold * (unit_price + 1) AS DECIMAL(12,2)) AS total_amount FROM sales_log""",
+    notes="PRJ-2: totals recomputed after a price change",
+)
+def q_generated_columns(spark, d):
+    changed = A.sales_log(spark, d).withColumn("unit_price", (F.col("unit_price") + 1).cast("decimal(10,2)"))
+    return X.with_generated(changed, "sales_log").select("transaction_id", "line_no", "total_amount")

@@ -270,3 +270,66 @@ def q_dq_clean_orders(spark, d):
     tables = {"restock_orders": o, "suppliers": A.suppliers(spark, d), "inventory": A.inventory(spark, d)}
     viol = Q.validate(tables)
     return Q.quarantine(o, viol, "restock_orders").select("order_code", "status", "quantity_ordered")
+
+
+def _dirty_orders(spark, d):
+    """Restock orders with every rule broken on some rows, by the order's number."""
+    o, k = A.restock_orders(spark, d), F.col("order_id")
+    return o.withColumns({
+        "status": F.when(k % 97 == 0, "Lost").when(k % 83 == 0, "Pending").otherwise(F.col("status")),
+        "quantity_ordered": F.when(k % 89 == 0, 0).otherwise(F.col("quantity_ordered")),
+        "cost_per_unit": F.when(k % 79 == 0, -F.col("cost_per_unit")).otherwise(F.col("cost_per_unit")).cast("decimal(10,2)"),
+        "date_ordered": F.when(k % 73 != 0, F.col("date_ordered")),
+        "supplier_id": F.when(k % 71 == 0, -1).otherwise(F.col("supplier_id")),
+        "order_code": F.when(k % 67 == 0, F.repeat(F.col("order_code"), 3)).otherwise(F.col("order_code")),
+    })
+
+
+@register(
+    "dq_every_rule",
+    [("rule_id", "VARCHAR"), ("column_name", "VARCHAR"), ("row_key", "VARCHAR"), ("value", "VARCHAR")],
+    """
+WITH dirty AS (
+  SELECT order_id, item_id, date_received,
+         CASE WHEN order_id % 97 = 0 THEN 'Lost' WHEN order_id % 83 = 0 THEN 'Pending' ELSE status END AS status,
+         CASE WHEN order_id % 89 = 0 THEN 0 ELSE quantity_ordered END AS quantity,
+         CAST(CASE WHEN order_id % 79 = 0 THEN -cost_per_unit ELSE cost_per_unit END AS DECIMAL(10,2)) AS cost,
+         CASE WHEN order_id % 73 <> 0 THEN date_ordered END AS ordered,
+         CASE WHEN order_id % 71 = 0 THEN -1 ELSE supplier_id END AS supplier,
+         CASE WHEN order_id % 67 = 0 THEN repeat(order_code, 3) ELSE order_code END AS code
+  FROM restock_orders
+)
+SELECT 'DQ-1' AS rule_id, 'status' AS column_name, code AS row_key, status AS value FROM dirty
+WHERE status NOT IN ('Pending', 'Received', 'Cancelled')
+UNION ALL SELECT 'DQ-2', 'quantity_ordered', code, CAST(quantity AS VARCHAR) FROM dirty WHERE quantity <= 0
+UNION ALL SELECT 'DQ-2', 'cost_per_unit', code, CAST(cost AS VARCHAR) FROM dirty WHERE cost < 0
+UNION ALL SELECT 'DQ-3', 'date_received', code, CAST(date_received AS VARCHAR) FROM dirty
+WHERE (status = 'Received' AND date_received IS NULL) OR (status <> 'Received' AND date_received IS NOT NULL)
+UNION ALL SELECT 'DQ-4', 'date_ordered', code, NULL FROM dirty WHERE ordered IS NULL
+UNION ALL SELECT 'DQ-5', 'order_code', code, CAST(count(*) AS VARCHAR) FROM dirty GROUP BY code HAVING count(*) > 1
+UNION ALL SELECT 'DQ-6', 'supplier_id', code, CAST(supplier AS VARCHAR) FROM dirty
+WHERE supplier NOT IN (SELECT supplier_id FROM suppliers)
+UNION ALL SELECT 'DQ-7', 'order_code', code, code FROM dirty WHERE length(code) > 30""",
+    notes="DQ-1..7 on orders of which some break each rule",
+)
+def q_dq_every_rule(spark, d):
+    tables = {"restock_orders": _dirty_orders(spark, d), "suppliers": A.suppliers(spark, d), "inventory": A.inventory(spark, d)}
+    v = Q.validate(tables).where(F.col("table_name") == "restock_orders")
+    return v.select("rule_id", "column_name", "row_key", "value")
+
+
+@register(
+    "parent_delete_effects",
+    [("child", "VARCHAR"), ("row_key", "VARCHAR"), ("supplier_id", "BIGINT")],
+    """
+SELECT 'inventory' AS child, item_code AS row_key, CASE WHEN supplier_id % 5 <> 0 THEN supplier_id END AS supplier_id
+FROM inventory
+UNION ALL SELECT 'restock_orders', order_code, supplier_id FROM restock_orders WHERE supplier_id % 5 = 0""",
+    notes="DQ-6: deleting every fifth supplier sets items' keys to NULL and is blocked by orders",
+)
+def q_parent_delete_effects(spark, d):
+    gone = A.suppliers(spark, d).where(F.col("supplier_id") % 5 == 0).select("supplier_id")
+    items = Q.on_parent_delete(A.inventory(spark, d), "supplier_id", gone, "SET NULL")
+    blocked = Q.on_parent_delete(A.restock_orders(spark, d), "supplier_id", gone, "RESTRICT")
+    return items.select(F.lit("inventory").alias("child"), F.col("item_code").alias("row_key"), "supplier_id").unionByName(
+        blocked.select(F.lit("restock_orders").alias("child"), F.col("order_code").alias("row_key"), "supplier_id"))

@@ -137,7 +137,7 @@ def _loaded(spark, d):
 LOAD_CTES = RAW_SQL.strip() + f""",
 loaded_suppliers AS (
   SELECT Supplier_ID AS supplier_id, Supplier_ID AS supplier_code, Supplier_Name AS supplier_name,
-         Supplier_ID AS seq
+         lpad(regexp_extract(Supplier_ID, '([0-9]+)[^0-9]*$', 1), 20, '0') || Supplier_ID AS seq
   FROM raw_suppliers WHERE COALESCE(Supplier_Name, '') <> ''
 ),
 sup_keys AS (
@@ -155,7 +155,7 @@ inv_typed AS (
          sk.id AS supplier_id,
          COALESCE({clean_date_sql('r.Date_Added')}, {AS_OF_SQL}) AS date_added,
          {clean_date_sql('r.Last_Restocked')} AS last_restocked,
-         r.Item_ID AS seq
+         lpad(regexp_extract(r.Item_ID, '([0-9]+)[^0-9]*$', 1), 20, '0') || r.Item_ID AS seq
   FROM raw_inventory r LEFT JOIN sup_keys sk ON r.Supplier_Name = sk.k
 ),
 loaded_inventory AS (
@@ -170,7 +170,7 @@ item_keys AS (
   WHERE COALESCE(k, '') <> '' GROUP BY k
 ),
 loaded_users AS (
-  SELECT User_ID AS user_code, Username AS username, User_ID AS seq FROM raw_users
+  SELECT User_ID AS user_code, Username AS username, lpad(regexp_extract(User_ID, '([0-9]+)[^0-9]*$', 1), 20, '0') || User_ID AS seq FROM raw_users
   WHERE COALESCE(Username, '') <> '' AND Role IN ('Admin', 'Staff')
     AND Account_Status IN ('Active', 'Suspended', 'Locked')
 ),
@@ -188,14 +188,21 @@ sales_resolved AS (
   LEFT JOIN item_keys k2 ON r.Item_Name = k2.k
   LEFT JOIN user_keys u ON r.Sold_By = u.k
 ),
-sales_checked AS (
+sales_ruled AS (
   SELECT *, CASE WHEN res_item IS NULL THEN 'item not found'
                  WHEN qty <= 0 THEN 'invalid quantity'
                  WHEN price < 0 THEN 'negative price'
                  WHEN Payment_Method NOT IN ('Cash', 'Card', 'Bank Transfer', 'Other') THEN 'invalid payment method'
                  WHEN NOT regexp_full_match(Time, '[0-9]{{1,2}}:[0-9]{{2}}(:[0-9]{{2}})?') THEN 'invalid time'
-            END AS reject_reason
+            END AS rule
   FROM sales_resolved
+),
+sales_checked AS (
+  SELECT *, CASE WHEN rule IS NOT NULL THEN rule
+                 WHEN row_number() OVER (PARTITION BY Transaction_ID, rule IS NULL ORDER BY Date, Time, Item_ID, Item_Name,
+                        Quantity_Sold, Unit_Price, Total_Amount, Payment_Method, Sold_By) > 1
+                 THEN 'duplicate code' END AS reject_reason
+  FROM sales_ruled
 )"""
 
 
@@ -263,7 +270,8 @@ SELECT Order_ID AS order_code, COALESCE({clean_date_sql('Date_Ordered')}, {AS_OF
        res_supplier AS supplier_id, res_item AS item_id, qty AS quantity_ordered, cost AS cost_per_unit,
        CAST(qty * cost AS DECIMAL(12,2)) AS total_cost, {clean_date_sql('Expected_Delivery')} AS expected_delivery,
        Status AS status, rec AS date_received
-FROM (
+FROM (SELECT *, row_number() OVER (PARTITION BY Order_ID ORDER BY Date_Ordered, Item_ID, Quantity_Ordered,
+        Supplier_Name, Item_Name, Cost_Per_Unit, Expected_Delivery, Status, Date_Received) AS nth FROM (
   SELECT r.*, s.id AS res_supplier, COALESCE(k1.id, k2.id) AS res_item,
          {clean_int_sql('r.Quantity_Ordered')} AS qty, {clean_money_sql('r.Cost_Per_Unit')} AS cost,
          {clean_date_sql('r.Date_Received')} AS rec
@@ -273,7 +281,8 @@ FROM (
   LEFT JOIN item_keys k2 ON r.Item_Name = k2.k
 ) x
 WHERE res_supplier IS NOT NULL AND res_item IS NOT NULL AND qty > 0 AND cost >= 0
-  AND Status IN ('Pending', 'Received', 'Cancelled') AND ((Status = 'Received') = (rec IS NOT NULL))""",
+  AND Status IN ('Pending', 'Received', 'Cancelled') AND ((Status = 'Received') = (rec IS NOT NULL))) y
+WHERE nth = 1""",
     extra_ctes=LOAD_CTES,
     notes="ETL-3 restock orders: supplier by name, item by code else name",
 )
@@ -312,22 +321,22 @@ def q_repair_suppliers(spark, d):
     [("username", "VARCHAR"), ("conflict", "VARCHAR")],
     """
 WITH n AS (
-  SELECT upper(username) AS username FROM users WHERE user_id % 3 IN (0, 1)
-  UNION ALL SELECT lower(username) FROM users WHERE user_id % 6 = 0
+  SELECT CASE user_id % 3 WHEN 0 THEN upper(username) WHEN 1 THEN username || '-2' ELSE 'Shared Login' END AS username
+  FROM users
 )
 SELECT n.username, CASE WHEN e.lk IS NOT NULL THEN 'exists' ELSE 'duplicate in batch' END AS conflict
 FROM n
-LEFT JOIN (SELECT DISTINCT lower(username) AS lk FROM users WHERE user_id % 3 <> 0) e ON lower(n.username) = e.lk
+LEFT JOIN (SELECT DISTINCT lower(username) AS lk FROM users) e ON lower(n.username) = e.lk
 LEFT JOIN (SELECT lower(username) AS lk, COUNT(*) AS c FROM n GROUP BY 1) d ON lower(n.username) = d.lk
 WHERE e.lk IS NOT NULL OR d.c > 1""",
-    notes="ETL-6: a batch re-submitting users in other letter case, against the existing users",
+    notes="ETL-6: every user submitted again: in capitals (exists), renamed (fine) or under one shared name (duplicate)",
 )
 def q_username_conflicts(spark, d):
     u = A.users(spark, d)
-    new = u.where((F.col("user_id") % 3).isin(0, 1)).select(F.upper("username").alias("username")).unionByName(
-        u.where(F.col("user_id") % 6 == 0).select(F.lower("username").alias("username")))
-    existing = u.where(F.col("user_id") % 3 != 0)
-    return E.username_conflicts(new, existing)
+    third = F.col("user_id") % 3
+    new = u.select(F.when(third == 0, F.upper("username")).when(third == 1, F.concat("username", F.lit("-2")))
+                   .otherwise("Shared Login").alias("username"))
+    return E.username_conflicts(new, u)
 
 
 @register(

@@ -31,40 +31,28 @@ AS_OF = dt.date(2001, 8, 2)
 MODEL_TABLES = ["suppliers", "inventory", "users", "sales_log", "restock_orders", "activity_log"]
 
 
-# Fact-sized driver tables: spread over the cores when the files give too
-# few splits (a single-row-group file is read by one task).
-SPREAD_TABLES = {"lineitem", "orders", "events"}
+# Items nobody bought and suppliers nobody ordered from: the driver's tables
+# have none, so some are derived from theirs under ids beyond all keys.
+EXTRA_ID = 10**12
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in SPREAD_TABLES:
-        df = spread(df)
-    return df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the default parallelism when the scan has
-    fewer splits than that. On a cluster the input has thousands of splits
-    and this is a no-op; it only fixes inputs of a few unsplittable files.
-    (Decided from the planned split count: metadata, no data is read.)"""
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD API: leave the scan as is
-        return df
-    return df.repartition(want) if have < want else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A driver table as a file stream (schema taken from the files). File
-    sources watch a folder; the table's file is picked by name. On a real
-    feed each new file of the folder becomes part of the next micro-batch."""
+    """A driver table as a file stream, schema taken from the files. A table
+    stored as a folder is watched itself (each new file is part of a later
+    micro-batch); a single file is picked by name from its folder. A missing
+    table raises when the schema is read."""
     schema = _read(spark, sf_dir, name).schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop_path).isDirectory()
+    r = spark.readStream.schema(schema)
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
-    return r.parquet(sf_dir)
+    return r.parquet(path) if folder else r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def _count_of(spark: SparkSession, sf_dir: str, name: str) -> Column:
@@ -94,6 +82,9 @@ def category_expr(p_type: Column) -> Column:
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _read(spark, sf_dir, "supplier")
+    dormant = s.where(F.col("s_suppkey") % 9 == 0).withColumns(
+        {"s_suppkey": F.col("s_suppkey") + EXTRA_ID, "s_name": F.concat(F.lit("Dormant "), F.col("s_name"))})
+    s = s.unionByName(dormant)
     k = F.col("s_suppkey")
     return s.select(
         k.alias("supplier_id"),
@@ -110,6 +101,9 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part")
+    unsold = p.where(F.col("p_partkey") % 13 == 0).withColumns(
+        {"p_partkey": F.col("p_partkey") + EXTRA_ID, "p_name": F.concat(F.lit("Unsold "), F.col("p_name"))})
+    p = p.unionByName(unsold)
     k = F.col("p_partkey")
     n_sup = _count_of(spark, sf_dir, "supplier")
     selling = selling_price_expr(F.col("p_retailprice"))
@@ -140,13 +134,10 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sales_log(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
-    """One sale per kept line item. Items with partkey % 13 == 0 never sell;
-    partkey % 17 == 0 sell only single units (slow movers). ``lineitem`` may
-    be a streaming frame (then this is a stream-static join with orders)."""
+    """One sale per line item. ``lineitem`` may be a streaming frame (then
+    this is a stream-static join with orders)."""
     pk = F.col("l_partkey")
-    li = (lineitem if lineitem is not None else _read(spark, sf_dir, "lineitem")).where(
-        (pk % 13 != 0) & ((pk % 17 != 0) | (F.col("l_quantity") == 1))
-    )
+    li = lineitem if lineitem is not None else _read(spark, sf_dir, "lineitem")
     od = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     j = li.join(od, li.l_orderkey == od.o_orderkey, "inner")
     qty = F.col("l_quantity").cast("int")
@@ -176,7 +167,8 @@ def sales_log(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = Non
 
 
 def restock_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _read(spark, sf_dir, "lineitem").where((F.col("l_linenumber") == 1) & (F.col("l_suppkey") % 9 != 0))
+    """One restock order per line item."""
+    li = _read(spark, sf_dir, "lineitem")
     part = _read(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
     od = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     j = li.join(od, li.l_orderkey == od.o_orderkey).join(part, li.l_partkey == part.p_partkey)

@@ -20,11 +20,13 @@ from shelfspark.schemas import RAW_HEADERS, TYPED, raw_schema
 SNAPSHOT_PREFIX = "snapshot_ts="
 # Empty cells stay empty strings (not NULL), as a CSV DictReader sees them.
 _NULL_TOKEN = "\u0000"
+# Quotes inside a cell are doubled and blanks kept, as any CSV reader expects.
+CSV_QUOTES = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def _csv_reader(spark: SparkSession):
     return (spark.read.option("header", True).option("inferSchema", False)
-            .option("nullValue", _NULL_TOKEN).option("emptyValue", "").option("multiLine", False))
+            .option("nullValue", _NULL_TOKEN).option("emptyValue", "").options(**CSV_QUOTES).option("multiLine", True))
 
 
 # SRC-1
@@ -87,7 +89,7 @@ def export_snapshot(tables: dict[str, DataFrame], root: str, ts: dt.datetime) ->
         if df.isEmpty():
             continue
         (df.write.mode("overwrite").option("header", True).option("nullValue", "")
-         .option("emptyValue", "").csv(f"{base}/{name}"))
+         .option("emptyValue", "").options(**CSV_QUOTES).csv(f"{base}/{name}"))
     return base
 
 

@@ -109,3 +109,48 @@ def test_load_users_keeps_last_login(spark):
     users, bad = E.load_users(raw)
     got = {r.username: r.last_login for r in users.collect()}
     assert got == {"ann": dt.datetime(2026, 1, 17, 8, 30), "bob": None} and bad.count() == 0
+
+
+def test_loader_codes_continue_and_repeats_are_rejected(spark):
+    """Blank codes are numbered after the batch and the target; a repeated code keeps its first row."""
+    from shelfspark.operators import etl as E
+
+    raw = spark.createDataFrame(
+        [("ITM001", "a"), ("ITM002", "b"), ("", "c"), ("ITM002", "d"), ("ITM2000", "e"), ("ITM999", "e")],
+        "Item_ID string, Item_Name string").selectExpr(
+        "Item_ID", "Item_Name", "'Bags' AS Category", "'1' AS Quantity_In_Stock", "'1' AS Cost_Price", "'1' AS Selling_Price")
+    sup = spark.createDataFrame([], "supplier_id string, supplier_code string, supplier_name string, _seq string")
+    target = spark.createDataFrame([("ITM3000",)], "item_code string")
+    good, bad = E.load_inventory(raw, sup, dt.date(2026, 1, 1), existing=target)
+    got = {r.item_name: r.item_code for r in good.collect() if r.item_name != "e"}
+    assert got["a"] == "ITM001" and got["c"] == "ITM3001" and len(got) == 3
+    assert [(r.Item_ID, r.reject_reason) for r in bad.collect()] == [("ITM002", "duplicate code")]
+    keys = {r._k: r._id for r in E.key_table(good, "item_id", ["item_name"], "_seq").collect()}
+    assert keys["e"] == "ITM2000"  # the later number wins, not the later text
+
+
+def test_csv_cells_round_trip(spark, tmp_path):
+    """Quotes, commas, line ends and blanks in a cell survive; a standard reader agrees."""
+    import csv
+    import glob
+
+    from shelfspark.sources import io
+
+    cells = [('say "hi", ok', "x"), ("two\nlines", " padded "), ("plain", "")]
+    df = spark.createDataFrame(cells, "A string, B string").coalesce(1)
+    base = io.export_snapshot({"T": df}, str(tmp_path), dt.datetime(2026, 1, 1))
+    assert sorted(tuple(r) for r in io.read_raw(spark, f"{base}/T").collect()) == sorted(cells)
+    with open(glob.glob(f"{base}/T/part-*")[0], newline="", encoding="utf-8") as f:
+        assert sorted(tuple(r) for r in list(csv.reader(f))[1:]) == sorted(cells)
+
+
+def test_conflicting_updates(spark):
+    import pytest
+
+    from shelfspark.operators import ledger as L
+
+    base = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "k long, name string, n int")
+    changes = spark.createDataFrame([(1, "x", None, 1), (1, "y", 9, 2), (1, None, 8, 3)], "k long, name string, n int, at int")
+    assert sorted(tuple(r) for r in L.apply_updates(base, changes, "k", order="at").collect()) == [(1, "y", 8), (2, "b", 6)]
+    with pytest.raises(Exception, match="several changes"):
+        L.apply_updates(base, changes.drop("at"), "k").collect()

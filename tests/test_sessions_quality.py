@@ -87,3 +87,32 @@ def test_lockout_hot_user_across_partitions_matches_sequential(spark):
         want[i] = (o, f)
     assert got == want
     assert "refused" in {o for o, _ in got.values()}
+
+
+def test_lockout_fold_is_exact_and_linear():
+    """Final states from every clean start and count equal a step-by-step run; a long attack stays fast."""
+    import random
+    import time
+
+    import numpy as np
+
+    from shelfspark.operators import sessions as S
+
+    rng = random.Random(1)
+    for _ in range(300):
+        m, n, lock = rng.randrange(1, 25), rng.randrange(1, 5), rng.randrange(1, 12)
+        us = np.sort(np.array([rng.randrange(40) for _ in range(m)], dtype=np.int64))
+        ok = np.array([rng.random() < 0.25 for _ in range(m)])
+        active = np.array([rng.random() < 0.85 for _ in range(m)])
+        fold = S._Fold(us, ok, active, n, lock)
+
+        def run(state, start):
+            for i in range(start, m):
+                state = S._step(state, int(us[i]), bool(ok[i]), bool(active[i]), n, lock)[2]
+            return state
+
+        assert fold.end == [run((0, None), j) for j in range(m)]
+        assert [fold.from_count(c) for c in range(n)] == [run((c, None), 0) for c in range(n)]
+    began = time.time()
+    S._Fold(np.arange(100_000, dtype=np.int64), np.zeros(100_000, bool), np.ones(100_000, bool), 5, 10**9)
+    assert time.time() - began < 20
