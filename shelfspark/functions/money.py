@@ -64,3 +64,9 @@ def share_pct(part_cents: Column, total_cents: Column) -> Column:
 def ratio_2dp(num: Column, den: Column) -> Column:
     """ROUND(num::numeric / den, 2) for integral num and den > 0; decimal(18,2)."""
     return cents_to_money(round_ratio(num.cast(_INT) * 100, den))
+
+
+def currency_text(col: Column | str, symbol: str = "$") -> Column:
+    """Money as text: symbol, thousands separators, two decimals (sign first)."""
+    c = _c(col)
+    return F.concat(F.when(c < 0, "-").otherwise(""), F.lit(symbol), F.format_number(F.abs(c), 2))

@@ -92,3 +92,23 @@ def q_materialized_sales_range(spark, d):
     s = s.where(F.col("sale_month").between("1997-01", "1997-03"))  # prunes month folders
     s = s.where(F.col("sale_date").between(dt.date(1997, 1, 1), dt.date(1997, 3, 31)))
     return s.select("transaction_code", "item_id", "sale_date", "quantity_sold")
+
+
+@register(
+    "append_readback",
+    [(h, "VARCHAR") for h in RAW_HEADERS["SALES_LOG"]],
+    """
+SELECT Date, Time, Item_ID, Item_Name, Quantity_Sold, Unit_Price, Total_Amount, Payment_Method, Sold_By, Transaction_ID
+FROM raw_sales
+UNION ALL SELECT Date, Time, Item_ID, 'say "' || Item_Name || '", ok', Quantity_Sold, Unit_Price, Total_Amount,
+       Payment_Method, '', Transaction_ID FROM raw_sales""",
+    extra_ctes=RAW_SQL,
+    notes="SNK-2: two appends to one CSV folder, the second with quoted cells and without Sold_By, read back whole",
+)
+def q_append_readback(spark, d):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/sales-csv-{uuid.uuid4().hex[:12]}"
+    s, headers = W.raw_sales(spark, d), RAW_HEADERS["SALES_LOG"]
+    IO.append_csv(s, path, headers)
+    quoted = F.concat(F.lit('say "'), F.col("Item_Name"), F.lit('", ok'))
+    IO.append_csv(s.withColumn("Item_Name", quoted).drop("Sold_By"), path, headers)
+    return IO.read_raw(spark, path, "SALES_LOG")

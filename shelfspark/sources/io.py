@@ -101,6 +101,14 @@ def append_aligned(df: DataFrame, target_columns: list[str]) -> DataFrame:
     return df.select([(F.col(c).cast("string") if c in have else F.lit("")).alias(c) for c in target_columns])
 
 
+def append_csv(df: DataFrame, path: str, target_columns: list[str]) -> None:
+    """Append rows, aligned to the target's headers, to a folder of header CSV
+    (read back with `read_raw`). Part files are committed with the job, so a
+    failed append leaves nothing behind."""
+    (append_aligned(df, target_columns).write.mode("append").option("header", True).option("nullValue", _NULL_TOKEN)
+     .option("emptyValue", "").options(**CSV_QUOTES).csv(path))
+
+
 # SNK-3
 def append_activity(events: DataFrame, users: DataFrame) -> DataFrame:
     """Audit rows to append. ``events``: user_ref, action, details.
