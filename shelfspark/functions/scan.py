@@ -174,7 +174,8 @@ def with_previous(parts: DataFrame, keys: list[str], order: list[str], col: str,
     sort_struct = F.struct(*[F.col(c) for c in keys + order])
     last = parts.groupBy(PID).agg(F.max_by(F.struct(*[F.col(k).alias(f"_lk{i}") for i, k in enumerate(keys)],
                                                     F.col(col).alias("_lv")), sort_struct).alias("_last"))
-    bound = last.select((F.col(PID) + 1).alias(PID), "_last.*")
+    # The next partition that has rows (one row per partition in this window).
+    bound = last.select(F.lead(PID).over(Window.orderBy(PID)).alias(PID), "_last.*").where(F.col(PID).isNotNull())
     j = local.join(F.broadcast(bound), PID, "left")
     same = F.lit(True)
     for i, k in enumerate(keys):

@@ -12,7 +12,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.schemas import DEFAULT_MIN_STOCK, LOW_STOCK_CRITICAL
@@ -62,17 +62,17 @@ def daily_payment_mix(raw_sales: DataFrame, day: dt.date | str | None = None) ->
 def daily_best_seller(raw_sales: DataFrame, day: dt.date | str | None = None, seq: str = "Transaction_ID") -> DataFrame:
     """Per Date, the item name with the most units (not revenue), with its
     revenue. A tie goes to the item seen first (smallest ``seq``), then to
-    the name. Item-level partial aggregates first; the per-day ranking then
-    sees one row per (day, item) - bounded by the item count."""
+    the name. Item-level partial aggregates first; the best of a day is
+    an aggregate too, so a day costs one row per task."""
     s = _day_filter(raw_sales, day)
     per_item = s.groupBy("Date", "Item_Name").agg(
         F.coalesce(F.sum(_int_cell("Quantity_Sold")), F.lit(0)).cast("bigint").alias("quantity"),
         F.coalesce(F.sum(_money_cell("Total_Amount")), F.lit(0)).cast(SUM_T).alias("revenue"),
         F.min(seq).alias("_first"),
     )
-    w = Window.partitionBy("Date").orderBy(F.desc("quantity"), F.asc("_first"), F.asc("Item_Name"))
-    return per_item.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") == 1).select(
-        "Date", F.col("Item_Name").alias("best_seller"), "quantity", "revenue"
+    best = F.min(F.struct((-F.col("quantity")).alias("_less"), "_first", "Item_Name", "quantity", "revenue")).alias("_best")
+    return per_item.groupBy("Date").agg(best).select(
+        "Date", F.col("_best.Item_Name").alias("best_seller"), "_best.quantity", "_best.revenue"
     )
 
 
