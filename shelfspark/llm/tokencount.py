@@ -119,20 +119,13 @@ def token_starts(classes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(here)
 
 
-def _byte_letters() -> dict[int, str]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
 class _Emissions(dict):
     """Pre-token -> emitted tokens; a missing transition is compiled from the merge table."""
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenize = tokenizer.model.tokenize
-        self.letters = _byte_letters()
+        self.letters = tokenizing.byte_letters()
 
     def __missing__(self, word: str) -> int:
         count = len(self.tokenize("".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass")))))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 from shelfspark.llm.common import per_process
 
-CACHED_UNITS = 400_000  # bound of the memo, not of the texts
+CACHED_UNITS = 600_000  # bound of the memo, not of the texts
+BATCH_CHARS = 8 << 20
 
 
 def load(path: str):
@@ -22,8 +24,10 @@ def load(path: str):
 
 
 # White space by either library's rules; the pre-tokenizer never lets a space join what precedes it.
-_RUNS = re.compile(r"[\s\x1c-\x1f\x85]( )")
-_CUTS = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?= )")
+_SPACE = r"\s\x1c-\x1f\x85"
+_RUNS = re.compile(rf"[{_SPACE}] ")
+_CUTS = re.compile(rf"(?<=[^{_SPACE}])(?= )")
+_MARKS = frozenset(".,;:!?")
 
 
 def units(text: str) -> list[str]:
@@ -31,28 +35,86 @@ def units(text: str) -> list[str]:
 
     Such a cut is always a boundary of the byte-level pre-tokenizer (a token
     holds at most one space, at its start, unless it is white space only), so
-    the units are encoded alone without changing an id.
+    the units are encoded alone without changing an id. The first unit is
+    returned as it is, the others without their leading space.
     """
     if _RUNS.search(text):
-        return _CUTS.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + r for r in rest]] if first else [" " + r for r in rest]
+        first, *rest = _CUTS.split(text)
+        return [first, *[r[1:] for r in rest]]
+    return text.split(" ")
 
 
-def encode_all(path: str, texts: list[str], dtype: str = "<u4") -> list[bytes]:
-    """The ids of each text, packed little-endian. Only distinct units are encoded."""
-    import numpy as np
+def _parts(unit: str) -> list[str]:
+    """Cut a unit where a letter meets a closing mark or a lone line end: boundaries of the pre-tokenizer too."""
+    out = []
+    for k, line in enumerate(unit.split("\n") if "\n" in unit else [unit]):
+        if k:
+            out.append("\n")
+        out.append(line)
+    if len(out) > 1 and any(not p or p[0].isspace() or p[-1].isspace() for p in out[::2]):
+        return [unit]  # runs of white space stay whole
+    cut = []
+    for p in out:
+        if len(p) > 1 and p[-1] in _MARKS and p[-2].isalpha() and p[-2] < "\u0250":
+            cut += [p[:-1], p[-1]]
+        else:
+            cut.append(p)
+    return cut
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def _is_word(unit: str) -> bool:
+    """Latin letters only: letters by every library's tables."""
+    return unit.isalpha() and (unit.isascii() or max(unit) < "\u0250")
 
+
+def encode_all(path: str, texts: list[str], typecode: str = "I") -> list[bytes]:
+    """The ids of each text, packed as native unsigned integers. Only distinct parts are encoded."""
     tokenizer = load(path)
-    cache = per_process().setdefault(("units", path, dtype), {})
-    if len(cache) > CACHED_UNITS:
-        cache.clear()
-    out = []
-    for text in texts:
-        parts = units(text) if text else []
-        missing = [u for u in set(parts) if u not in cache]
-        if missing:
-            for unit, enc in zip(missing, tokenizer.encode_batch(missing, add_special_tokens=False)):
-                cache[unit] = np.array(enc.ids, dtype=dtype).tobytes()
-        out.append(b"".join(map(cache.__getitem__, parts)))
+    # What follows a unit's space -> its ids. The first units, without a space, are kept apart.
+    cache = per_process().setdefault(("units", path, typecode), {})
+    merge, letters = tokenizer.model.tokenize, byte_letters().__getitem__
+    out: list[bytes] = []
+    low = 0
+    while low < len(texts):
+        high, size = low, 0
+        while high < len(texts) and (high == low or size + len(texts[high]) <= BATCH_CHARS):
+            size += len(texts[high])
+            high += 1
+        cut = [units(t) for t in texts[low:high]]
+        low = high
+        if len(cache) > CACHED_UNITS:
+            cache.clear()
+        wanted = set().union(*[c[1:] for c in cut]) - cache.keys()
+        plain = {u for u in wanted if _is_word(u)}
+        rest = wanted - plain
+        closed = [u for u in rest if u and u[-1] in _MARKS and _is_word(u[:-1])]
+        rest.difference_update(closed)
+        plain.update([u[:-1] for u in closed])
+        plain.difference_update(cache.keys())
+        for u in plain:  # a space and letters are one pre-token: straight to the merges
+            spelled = "\u0120" + (u if u.isascii() else "".join(map(letters, u.encode("utf-8"))))
+            cache[u] = array(typecode, [t.id for t in merge(spelled)]).tobytes()
+        # The others, and the first units, by their parts.
+        others = {u: _parts(" " + u) for u in rest}
+        firsts = [_parts(c[0]) if c[0] else [] for c in cut]
+        lone = list(set().union(*others.values(), *firsts, _MARKS))
+        known = dict(zip(lone, _encoded(tokenizer, lone, typecode)))
+        for u in closed:
+            cache[u] = cache[u[:-1]] + known[u[-1]]
+        get = known.__getitem__
+        for u, parts in others.items():
+            cache[u] = b"".join(map(get, parts))
+        find = cache.__getitem__
+        out += [b"".join([*map(get, parts), *map(find, c[1:])]) for c, parts in zip(cut, firsts)]
     return out
+
+
+def _encoded(tokenizer, parts: list[str], typecode: str) -> list[bytes]:
+    return [array(typecode, e.ids).tobytes() for e in tokenizer.encode_batch(parts, add_special_tokens=False)]
