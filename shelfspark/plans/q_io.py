@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
-
 from pyspark.sql import functions as F
 
 from shelfspark.plans.catalog import register
 from shelfspark.plans.oracle import RAW_SQL
 from shelfspark.schemas import RAW_HEADERS
-from shelfspark.session import checkpoint_dir
+from shelfspark.session import scratch
 from shelfspark.sources import adapter as A
 from shelfspark.sources import io as IO
 from shelfspark.sources import raw as W
@@ -26,7 +24,7 @@ _INV_COLS = [(h, "VARCHAR") for h in RAW_HEADERS["INVENTORY"]]
     notes="SNK-1 export (CSV snapshot folders) -> SRC-3 newest snapshot -> SRC-1 header CSV read",
 )
 def q_snapshot_roundtrip(spark, d):
-    root = f"{checkpoint_dir(spark).rstrip('/')}/snapshots-{uuid.uuid4().hex[:12]}"
+    root = scratch(spark, "snapshots")
     tables = {"INVENTORY": W.raw_inventory(spark, d), "SUPPLIERS": W.raw_suppliers(spark, d)}
     IO.export_snapshot(tables, root, dt.datetime(2026, 1, 1, 9, 0, 0))
     IO.export_snapshot({"INVENTORY": W.raw_inventory(spark, d)}, root, dt.datetime(2026, 1, 2, 9, 0, 0))
@@ -86,7 +84,7 @@ WHERE sale_date BETWEEN DATE '1997-01-01' AND DATE '1997-03-31'""",
     notes="SRC-2 typed scan of the month-partitioned model (partition pruning on sale_month)",
 )
 def q_materialized_sales_range(spark, d):
-    root = f"{checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex[:12]}"
+    root = scratch(spark, "model")
     paths = IO.materialize_model(spark, d, root)
     s = IO.read_table(spark, paths["sales_log"], "sales_log")
     s = s.where(F.col("sale_month").between("1997-01", "1997-03"))  # prunes month folders
@@ -106,7 +104,7 @@ UNION ALL SELECT Date, Time, Item_ID, 'say "' || Item_Name || '", ok', Quantity_
     notes="SNK-2: two appends to one CSV folder, the second with quoted cells and without Sold_By, read back whole",
 )
 def q_append_readback(spark, d):
-    path = f"{checkpoint_dir(spark).rstrip('/')}/sales-csv-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, "sales-csv")
     s, headers = W.raw_sales(spark, d), RAW_HEADERS["SALES_LOG"]
     IO.append_csv(s, path, headers)
     quoted = F.concat(F.lit('say "'), F.col("Item_Name"), F.lit('", ok'))

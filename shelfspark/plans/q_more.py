@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from shelfspark.operators import access as X
@@ -12,7 +10,7 @@ from shelfspark.operators import quality as Q
 from shelfspark.plans.catalog import AS_OF, register
 from shelfspark.plans.oracle import RAW_SQL
 from shelfspark.plans.q_ledger import FOLD_CTES
-from shelfspark.session import checkpoint_dir
+from shelfspark.session import scratch
 from shelfspark.sources import adapter as A
 from shelfspark.sources import io as IO
 from shelfspark.sources import raw as W
@@ -229,7 +227,7 @@ def q_dq_summary(spark, d):
     # The job validates the written model (as in production: derive once,
     # then each rule family scans the stored tables instead of re-deriving
     # sales from lineitem x orders per family).
-    root = f"{checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex[:12]}"
+    root = scratch(spark, "model")
     paths = IO.materialize_model(spark, d, root)
     tables = {name: spark.read.parquet(path) for name, path in paths.items()}
     tables["sales_log"] = tables["sales_log"].drop("sale_month")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +21,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    # Rows handed to a Python worker at once: bounds its memory where rows hold whole texts.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # Let AQE coalesce / re-plan plans that are cached (the ordered scans
     # cache their range-partitioned input while checkpointing it).
     "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
@@ -97,3 +100,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="shelfspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared checkpoint folder for one run's own
+    tables; it is removed when the driver's JVM ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop_path)
+    files.deleteOnExit(hadoop_path)
+    return path

@@ -9,13 +9,12 @@ result. Nothing is collected on the driver.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
-from shelfspark.session import checkpoint_dir
+from shelfspark.session import scratch
 
 
 def _join(base: str, *parts: str) -> str:
@@ -25,7 +24,7 @@ def _join(base: str, *parts: str) -> str:
 def run_to_table(stream: DataFrame, name: str, output_mode: str = "append", timeout_s: int = 1800,
                  base: str | None = None) -> DataFrame:
     spark = stream.sparkSession
-    root = base or _join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:12]}")
+    root = base or scratch(spark, f"stream-{name}")
     out, ckpt = _join(root, "data"), _join(root, "checkpoint")
     writer = stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
     if output_mode == "append":
@@ -58,7 +57,7 @@ def run_partials(stream: DataFrame, name: str, partial: Callable[[DataFrame], Da
     order adds its partial rows, and the merge of all partial rows is the
     view as of now. A batch that is retried overwrites its own folder."""
     spark = stream.sparkSession
-    root = base or _join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:12]}")
+    root = base or scratch(spark, f"stream-{name}")
     out, ckpt = _join(root, "data"), _join(root, "checkpoint")
 
     def write_batch(df: DataFrame, epoch_id: int) -> None:
