@@ -30,6 +30,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -44,8 +45,8 @@ ORDER = 3
 RARITY = 200_000
 END = b""  # no word is empty
 HELD_OUT, OF = 2, 7
-_HELD_WORDS = 500_000  # words that a task holds before it hands them on
-_HELD_TOKENS = 4_000_000
+_HELD_WORDS = 250_000  # words that a task holds before it hands them on
+_HELD_TOKENS = 2_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -267,6 +268,7 @@ def _traversed(docs: DataFrame, automaton: Automaton) -> DataFrame:
 
         model = shared.value
         number, end = model.grams.number, model.grams.number[END]
+        known_word, base_word = model.known.__getitem__, model.base.__getitem__
         first = TaskContext.get().partitionId() << 32
         rare: dict[bytes, tuple[list[int], list[int]]] = {}
         schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()),
@@ -288,24 +290,28 @@ def _traversed(docs: DataFrame, automaton: Automaton) -> DataFrame:
         at = 0
         for batch in batches:
             uid, sizes, known, base, score = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in map(str, batch.column("text")):  # one text at a time
                 words = words_of(text)
-                ids = [number.get(w, -1) for w in words]
-                for w, n in Counter(w for w, i in zip(words, ids) if i < 0).items():
-                    docs_, ns = rare.setdefault(w, ([], []))
-                    docs_.append(at)
-                    ns.append(n)
+                ids = list(map(number.get, words, repeat(-1)))
+                for w, n in Counter([w for w, i in zip(words, ids) if i < 0]).items():
+                    entry = rare.get(w)
+                    if entry is None:
+                        rare[w] = [at], [n]
+                    else:
+                        entry[0].append(at)
+                        entry[1].append(n)
                 ids.append(end)
+                frequent = [i for i in ids if i >= 0]
                 uid.append(first + at)
                 sizes.append(len(ids))
-                known.append(sum(model.known[i] for i in ids if i >= 0))
-                base.append(sum(model.base[i] for i in ids if i >= 0))
+                known.append(sum(map(known_word, frequent)))
+                base.append(sum(map(base_word, frequent)))
                 score.append(model.traverse(ids))
                 at += 1
+                if len(rare) > _HELD_WORDS:
+                    yield listed()
             yield table(uid=uid, doc_id=batch.column("doc_id").to_pylist(), held=batch.column("held").to_pylist(),
                         n_tokens=sizes, n_known=known, base=base, score=score)
-            if len(rare) > _HELD_WORDS:
-                yield listed()
         if rare:
             yield listed()
 
