@@ -8,8 +8,8 @@ from array import array
 
 from shelfspark.llm.common import per_process
 
-CACHED_UNITS = 600_000  # bound of the memo, not of the texts
-BATCH_CHARS = 8 << 20
+CACHED_UNITS = 300_000  # bound of each of the memo's two generations, not of the texts
+BATCH_CHARS = 6 << 20
 
 
 def load(path: str):
@@ -78,7 +78,9 @@ def encode_all(path: str, texts: list[str], typecode: str = "I") -> list[bytes]:
     """The ids of each text, packed as native unsigned integers. Only distinct parts are encoded."""
     tokenizer = load(path)
     # What follows a unit's space -> its ids. The first units, without a space, are kept apart.
-    cache = per_process().setdefault(("units", path, typecode), {})
+    young, old = ("units", path, typecode), ("older units", path, typecode)
+    process = per_process()
+    cache, older = process.setdefault(young, {}), process.setdefault(old, {})
     merge, letters = tokenizer.model.tokenize, byte_letters().__getitem__
     out: list[bytes] = []
     low = 0
@@ -89,9 +91,13 @@ def encode_all(path: str, texts: list[str], typecode: str = "I") -> list[bytes]:
             high += 1
         cut = [units(t) for t in texts[low:high]]
         low = high
-        if len(cache) > CACHED_UNITS:
-            cache.clear()
+        if len(cache) > CACHED_UNITS:  # units not seen since the last change of generation are forgotten
+            process[old] = older = cache
+            process[young] = cache = {}
         wanted = set().union(*[c[1:] for c in cut]) - cache.keys()
+        again = wanted & older.keys()
+        cache.update(zip(again, map(older.__getitem__, again)))
+        wanted -= again
         plain = {u for u in wanted if _is_word(u)}
         rest = wanted - plain
         closed = [u for u in rest if u and u[-1] in _MARKS and _is_word(u[:-1])]
