@@ -6,45 +6,43 @@ and read as the next stage's docs; all but the last return the columns of docume
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfspark.llm import packing, pii, quality, queries, simhash, suffix
-from shelfspark.llm.common import written
+from shelfspark.llm.common import noting, release, written
 from shelfspark.session import configure
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    configure(spark)
-    return quality.filter_documents(docs)
-
-
-def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    configure(spark)
-    return simhash.deduplicate(docs)
+_WROTE: dict[int, list[str]] = {}  # stage -> the tables that its last call wrote on the way
 
 
-def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    configure(spark)
-    return suffix.remove_repeats(docs)
+def _stage(number: int, step: Callable[..., DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first removes what the stage before it wrote on the way: its rows
+    have been written and reread as ``docs`` by then (tables that ``docs`` still reads stay)."""
 
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        configure(spark)
+        release(_WROTE.get(number - 1, []), docs)
+        _WROTE[number] = []
+        with noting(_WROTE[number]):
+            return step(docs)
 
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    configure(spark)
-    return pii.redact(docs)
+    return run_stage
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    configure(spark)
+def _pack(docs: DataFrame) -> DataFrame:
     return packing.pack_documents(docs, queries.tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("simhash_near_dedup", simhash_near_dedup),
-    ("suffix_array_dedup", suffix_array_dedup),
-    ("personal_data", personal_data),
-    ("packing", pack),
-]
+STAGES = [(name, _stage(k, step)) for k, (name, step) in enumerate([
+    ("quality_rules", quality.filter_documents),
+    ("simhash_near_dedup", simhash.deduplicate),
+    ("suffix_array_dedup", suffix.remove_repeats),
+    ("personal_data", pii.redact),
+    ("packing", _pack),
+])]
 
 # The later stages (hash fingerprints, suffix order, a trained classifier, a tokenizer) have no SQL form.
 ORACLE_SQL = None

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,27 +31,57 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+_NOTED: list[list[str]] = []
+
+
+@contextmanager
+def noting(paths: list[str]) -> Iterator[None]:
+    """Add the folders of the tables written meanwhile to ``paths``."""
+    _NOTED.append(paths)
+    try:
+        yield
+    finally:
+        _NOTED.pop()
+
+
+def release(paths: list[str], docs: DataFrame) -> None:
+    """Remove noted tables that ``docs`` doesn't read."""
+    spark, files = docs.sparkSession, docs.inputFiles()
+    for path in paths:
+        if not any(path.rsplit("/", 1)[1] in f for f in files):
+            _delete(spark, path)
+    paths.clear()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet to the shared checkpoint folder and read it back.
 
     Cuts the lineage like ``checkpoint()``, in a compressed columnar form that
     every executor can read again after one is lost. The folder is removed
-    when the driver's JVM ends.
+    when the driver's JVM ends. The shuffle files behind the table are no
+    longer needed; a collection on the driver lets Spark's cleaner drop them.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    for paths in _NOTED:
+        paths.append(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Remove a table of ``written`` that no later step reads."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that no later step reads."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
 
 
 def partitions_for(spark: SparkSession) -> int:

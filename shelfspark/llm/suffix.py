@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm import anchors, induced
-from shelfspark.llm.common import partitions_for, text_of, written
+from shelfspark.llm.common import drop_written, partitions_for, text_of, written
 
 WINDOW = anchors.WINDOW
 CELL = 32
@@ -211,10 +211,12 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     # A gram found at two places has two different place hashes (equal ones would mean one text and place).
     place = F.xxhash64("digest", "lo")
     shared = rows.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("gram")
+    shared = written(shared, "suffix-shared")  # so that the join below can split a gram that very many rows have
     wanted = rows.join(shared, "gram", "left_semi").groupBy("digest").agg(
         F.collect_list(F.struct("gram", "lo", "n", "lead")).alias("runs"))  # one text's own anchors
     segments = written(texts.select("digest", "text").join(wanted, "digest").select("digest", "text", "runs").mapInPandas(
         _cut, "gram long, key binary, digest string, lo int, lead short, piece binary"), "suffix-segments")
+    drop_written(rows, shared)
     distinct = written(segments.groupBy("gram", "key", "lead", "piece").agg(F.count("*").alias("copies")), "suffix-distinct")
     crowded = distinct.groupBy("gram").agg(F.sum(F.octet_length("piece")).alias("b")).where(
         F.col("b") > FINE_BYTES).select("gram")
@@ -230,7 +232,9 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     hits = segments.select("key", "digest", "lo").join(found.unionByName(fine_found), "key")
     absolute = F.transform("runs", lambda r: F.struct((r["lo"] + F.col("lo")).alias("lo"),
                                                       (r["hi"] + F.col("lo")).alias("hi")))
-    return hits.groupBy("digest").agg(F.flatten(F.collect_list(absolute)).alias("runs"))  # one text's own runs
+    found = written(hits.groupBy("digest").agg(F.flatten(F.collect_list(absolute)).alias("runs")), "suffix-runs")  # a text's own
+    drop_written(segments, distinct)
+    return found
 
 
 def _spans(runs, size: int) -> list[tuple[int, int]]:
