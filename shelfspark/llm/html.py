@@ -3,13 +3,15 @@
 Each page is read into containers. A container's score is the clean text in it:
 characters outside links and outside what is marked as no content (menus, headers,
 footers, sidebars, notices, adverts, forms, reader comments). A page's own pick
-is the deepest container that holds most of the page's clean text. Its generalised path (tags
-with their classes, numbers made alike) is the page's vote.
+is the deepest container that holds most of the page's clean text; containers inside an article,
+or beside clean text of the container they are in, are not picked, so titles and leads stay. Its
+generalised path (tags with their classes, numbers made alike) is the page's vote.
 
 Votes are counted per host in Spark (one row per page before, one row per task,
 host and path after partial aggregation); the paths with at least a fifth of
-the host's votes win. Each page is then extracted again: from the deepest
-containers on a winning path, or from its own pick where none is found.
+the host's votes win. Each page is then extracted again: from the outermost container on a
+winning path around its own pick, else from all containers on winning paths, or from its own
+pick where none is found.
 
 Defined results: a null or empty page, or one without text, gives the empty text;
 a null url votes under the empty host; broken markup is read as browsers do in the common
@@ -198,12 +200,19 @@ class Page:
             total[self.parents[k]] += total[k]
         return total
 
+    def _ends(self, k: int) -> bool:
+        """Whether no container inside ``k`` stands for it: an article, or one with clean text beside its containers."""
+        return self.clean[k] > 0 or self._is(k, "article")
+
+    def _is(self, k: int, *tags: str) -> bool:
+        return self.paths[k].rsplit("/", 1)[-1].split(".", 1)[0] in tags
+
     def pick(self) -> int:
-        """The deepest container that holds most of the clean text."""
+        """The deepest container that holds most of the clean text and leaves none beside it in those around it."""
         total = self.totals()
         best = 0
         for k in range(1, len(total)):
-            if total[0] and total[k] >= MOST * total[0] and self.parents[k] == best:
+            if total[0] and total[k] >= MOST * total[0] and self.parents[k] == best and not self._ends(best):
                 best = k
         return best
 
@@ -215,13 +224,29 @@ class Page:
         return "\n\n".join(t for k, t in self.blocks if inside[k])
 
     def extract(self, winners: list[str]) -> str:
-        """Text of the deepest containers on a winning path, or of the page's own pick."""
+        """Text of the outermost container on a winning path around the page's own pick; where there is none, of
+        all containers on winning paths, each with the article it is in; where there are none, of the pick.
+
+        The whole page (html, body) is a result only where no other path wins.
+        """
         total = self.totals()
+        pick = self.pick()
         found = [k for k in range(len(self.paths)) if total[k] and self.paths[k] in winners]
+        found = [k for k in found if k and not self._is(k, "html", "body")] or found
         if not found:
-            return self.text({self.pick()})
-        deepest = max(self.paths[k].count("/") for k in found)
-        return self.text({k for k in found if self.paths[k].count("/") == deepest})
+            return self.text({pick})
+        around = self._around(pick)
+        enclosing = [k for k in found if k in around]
+        if enclosing:
+            return self.text({enclosing[0]})
+        return self.text({next((a for a in reversed(self._around(k)) if self._is(a, "article")), k) for k in found})
+
+    def _around(self, k: int) -> list[int]:
+        """The container and those it is in."""
+        out = [k]
+        while out[-1]:
+            out.append(self.parents[out[-1]])
+        return out
 
 
 def host_of(url: Column) -> Column:

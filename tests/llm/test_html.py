@@ -35,3 +35,21 @@ def test_hosts_agree_on_a_path(spark, empty):
     assert all(r.n_chars == len(r.text) for r in out.values())
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert html.extract_pages(none).count() == 0
+
+
+def test_title_and_lead_beside_a_nested_body_stay(spark):
+    def article(k):
+        return f"<article><h1>Title {k}</h1><p>lead {k}</p><div class='body'><p>{'w' * 300}</p></div></article>"
+
+    whole = "lead\n\n" + "w" * 300
+    assert text(article(1)) == "Title 1\n\nlead 1\n\n" + "w" * 300
+    assert text(f"<body><div id=p><div class=post><p>lead</p><div class=in><p>{'w' * 300}</p></div></div></div></body>") == whole
+    mixed = [f"<body><p>{k}</p>{article(k)}</body>" if k == 4 else f"<body><div class=top>t</div>{article(k)}</body>" for k in range(5)]
+    rows = [(k, "http://c.example.com/", h) for k, h in enumerate(mixed)]
+    out = {r.page_id: r.text for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[k] == f"Title {k}\n\nlead {k}\n\n" + "w" * 300 for k in range(4))
+    # Both a container and one inside it win; nothing of the outer one is lost, whatever the page's own pick.
+    page = html.Page(f"<body><main><p>lead</p><section><p>{'w' * 300}</p></section></main></body>")
+    assert page.extract(["/body/main", "/body/main/section"]) == whole
+    page = html.Page(f"<body><p>beside</p><article><p>lead</p><section><p>{'w' * 300}</p></section></article></body>")
+    assert page.extract(["/body/article/section"]) == whole
