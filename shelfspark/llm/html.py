@@ -2,7 +2,9 @@
 
 Each page is read into containers. A container's score is the clean text in it:
 characters outside links and outside what is marked as no content (menus, headers,
-footers, sidebars, notices, adverts, forms, reader comments). A page's own pick
+footers, sidebars, notices, adverts, forms, reader comments). Words of a class or id mark
+an element unless it holds the page's main or most of its articles' text, or, without any of them elsewhere,
+most unlinked text or the only heading (layout wrappers such as ``content right-sidebar``). A page's own pick
 is the deepest container that holds most of the page's clean text; containers inside an article,
 or beside clean text of the container they are in, are not picked, so titles and leads stay. Its
 generalised path (tags with their classes, numbers made alike) is the page's vote.
@@ -52,6 +54,8 @@ NO_CONTENT = frozenset(
     "pager login search skip".split())
 # Roles that say the same.
 NO_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu".split())
+READERS = frozenset("comment comments disqus reply replies respond responses".split())
+SOFT, HARD = 1, 2
 KEPT = frozenset("html body main article h1 h2 h3 h4 h5 h6 tbody tr".split())
 # start tag -> open elements that it ends, up to the nearest of the scope
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -68,21 +72,33 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def _marked(tag: str, attrs: dict[str, str]) -> bool:
-    """Whether an element is no content by its name, role, classes or id."""
-    if tag in DROPPED:
-        return True
-    if tag in KEPT:
-        return False
-    if attrs.get("role", "").lower() in NO_CONTENT_ROLES:
-        return True
-    before = ""
+def _words(attrs: dict[str, str]) -> set[str]:
+    """Words of the classes and the id that say no content."""
+    found, before = set(), ""
     for word in _WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}"):
         word = word.lower()
         if word in NO_CONTENT and before not in ("has", "with", "no", "without"):
-            return True
+            found.add(word)
         before = word
-    return False
+    return found
+
+
+def _marked(tag: str, attrs: dict[str, str]) -> int:
+    """Whether an element is no content: HARD by its name, SOFT by its role, classes or id."""
+    if tag in DROPPED:
+        return HARD
+    if tag in KEPT:
+        return 0
+    return SOFT if attrs.get("role", "").lower() in NO_CONTENT_ROLES or _words(attrs) else 0
+
+
+class _Soft:
+    """What an element marked by its role, classes or id holds."""
+
+    def __init__(self, at: int, depth: int, comments: bool):
+        self.at, self.depth, self.comments = at, depth, comments
+        self.text = self.articles = 0  # unlinked characters, and those in articles inside
+        self.main = self.heading = False
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
@@ -92,14 +108,41 @@ def _step(tag: str, attrs: dict[str, str]) -> str:
 
 
 class Page:
-    """Containers and text blocks of a page, in page order."""
+    """Containers and text blocks of a page, in page order.
+
+    Elements marked by role, class or id alone are read like the others before they are
+    dropped; those that turn out to hold the content (``_holds``) stay, and the page is read again.
+    """
 
     def __init__(self, html: str):
+        self._kept: frozenset[int] = frozenset()
+        while True:
+            self._read(html)
+            more = frozenset(e.at for e in self._softs if self._holds(e))
+            if not more:
+                return
+            self._kept |= more
+
+    def _holds(self, e: _Soft) -> bool:
+        """Whether a marked element holds the page's main or most of its articles' text; or, where no article or main is
+        outside of marked elements, most of all unlinked text, or the only heading. Reader comments never do where one is."""
+        outside = "article" in self._outside or "main" in self._outside
+        if not e.text or e.comments and outside:
+            return False
+        return (e.main or e.articles > 0 and 2 * e.articles >= self._articles
+                or not outside and 2 * e.text > sum(self.clean) + self._soft or e.heading and not self._outside)
+
+    def _read(self, html: str) -> None:
         self.paths: list[str] = [""]  # of each container; the first holds the whole page
         self.parents: list[int] = [-1]
         self.blocks: list[tuple[int, str]] = []  # (innermost container, text)
         self.clean: list[int] = [0]  # clean characters directly in each container
-        self._stack: list[tuple[str, int, bool]] = []  # (tag, container, dropped)
+        self._stack: list[tuple[str, int, int]] = []  # (tag, container, dropped)
+        self._softs: list[_Soft] = []  # marked elements outside of dropped ones
+        self._open_softs: list[_Soft] = []
+        self._open_articles: list[int] = []  # depths, of those that no class marks
+        self._soft = self._articles = 0  # unlinked characters in marked elements, and in articles
+        self._outside: set[str] = set()  # of article, main, h1: seen outside of marked elements
         self._buffer: list[str] = []
         self._links = self._linked = 0
         at = 0
@@ -113,16 +156,26 @@ class Page:
                 if m["end"] or html.startswith("</", m.start()):
                     self._close(tag)
                 else:
-                    self._open(tag, m["attrs"] or "")
+                    self._open(tag, m["attrs"] or "", m.start())
         if at < len(html):
             self._text(html[at:])
         self._flush()
 
-    def _top(self) -> tuple[int, bool]:
-        return (self._stack[-1][1], self._stack[-1][2]) if self._stack else (0, False)
+    def _top(self) -> tuple[int, int]:
+        return (self._stack[-1][1], self._stack[-1][2]) if self._stack else (0, 0)
 
     def _text(self, raw: str) -> None:
-        if not self._top()[1]:
+        dropped = self._top()[1]
+        if dropped == SOFT and not self._links:
+            size = len("".join(unescape(raw).split()))
+            self._soft += size
+            if self._open_articles:
+                self._articles += size
+            for e in self._open_softs:
+                e.text += size
+                if self._open_articles and self._open_articles[-1] > e.depth:
+                    e.articles += size
+        elif not dropped:
             text = unescape(raw)
             self._buffer.append(text)
             if self._links:
@@ -134,7 +187,10 @@ class Page:
             if words:
                 container = self._top()[0]
                 self.blocks.append((container, " ".join(words)))
-                self.clean[container] += max(0, sum(map(len, words)) - self._linked)
+                size = max(0, sum(map(len, words)) - self._linked)
+                self.clean[container] += size
+                if self._open_articles:
+                    self._articles += size
             self._buffer = []
         self._linked = 0
 
@@ -143,8 +199,12 @@ class Page:
             if tag == "a":
                 self._links -= 1
         del self._stack[depth:]
+        while self._open_softs and self._open_softs[-1].depth >= depth:
+            self._open_softs.pop()
+        while self._open_articles and self._open_articles[-1] >= depth:
+            self._open_articles.pop()
 
-    def _open(self, tag: str, raw: str) -> None:
+    def _open(self, tag: str, raw: str, at: int) -> None:
         container, dropped = self._top()
         if tag == "br":
             if not dropped:
@@ -158,9 +218,21 @@ class Page:
         if tag in VOID:
             return
         attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw else {}
-        if not dropped and _marked(tag, attrs):
+        marked = _marked(tag, attrs) if dropped < HARD and at not in self._kept else 0
+        if marked:
             self._flush()
-            dropped = True
+            dropped = max(dropped, marked)
+            if marked == SOFT:
+                self._softs.append(_Soft(at, len(self._stack), bool(_words(attrs) & READERS)))
+                self._open_softs.append(self._softs[-1])
+        if tag in ("article", "main", "h1") and dropped < HARD and not (tag == "article" and _words(attrs)):
+            if tag == "article":
+                self._open_articles.append(len(self._stack))
+            if not dropped:
+                self._outside.add(tag)
+            for e in self._open_softs:
+                e.main |= tag == "main"
+                e.heading |= tag == "h1"
         if tag in CONTAINERS and not dropped:
             self.parents.append(container)
             self.paths.append(f"{self.paths[container]}/{_step(tag, attrs)}")
@@ -184,7 +256,7 @@ class Page:
     def _close(self, tag: str) -> None:
         for depth in range(len(self._stack) - 1, -1, -1):
             if self._stack[depth][0] == tag:
-                if tag not in INLINE or self._stack[depth][2] != (self._stack[depth - 1][2] if depth else False):
+                if tag not in INLINE or self._stack[depth][2] != (self._stack[depth - 1][2] if depth else 0):
                     self._flush()
                 if tag in INLINE and any(t not in INLINE for t, _, _ in self._stack[depth + 1:]):
                     return  # a stray inline end doesn't end blocks

@@ -53,3 +53,17 @@ def test_title_and_lead_beside_a_nested_body_stay(spark):
     assert page.extract(["/body/main", "/body/main/section"]) == whole
     page = html.Page(f"<body><p>beside</p><article><p>lead</p><section><p>{'w' * 300}</p></section></article></body>")
     assert page.extract(["/body/article/section"]) == whole
+
+
+def test_class_words_of_a_wrapper_dont_drop_the_article():
+    long = "w" * 300
+    for wrapper in ("class='content right-sidebar'", "id='page' class='menu-open'", "class='social-article'", "class='widget' role='form'"):
+        for inner in (f"<article><p>{long}</p></article>", f"<main><p>{long}</p></main>", f"<h1>h</h1><p>{long}</p>", f"<p>{long}</p>"):
+            page = f"<body><div class='ad'>ad</div><div {wrapper}>{inner}<div class='share'>sh</div></div><div class='sidebar'>sb</div></body>"
+            assert text(page).endswith(long) and "sb" not in text(page) and "sh" not in text(page) and "ad" not in text(page)
+    assert text(f"<body><h1>T</h1><div class='social-box'><div class='widget'><article>{long}</article></div></div></body>").endswith(long)
+    # Teasers, reader comments and the site's heading stay out.
+    page = (f"<body><div class='masthead'><h1>Site</h1></div><article><p>{long}</p></article><div class='related'><article>teaser</article></div>"
+            f"<div class='comments'><article class='comment'><p>{long * 3}</p></article></div></body>")
+    assert text(page) == long
+    assert text(f"<body><div class='ad'>{long}</div><article><p>short</p></article></body>") == "short"
