@@ -61,6 +61,26 @@ def sessions(events: DataFrame, user: str = "user_id", ts: str = "created_at", g
     )
 
 
+def merge_sessions(partials: DataFrame, gap_s: int = GAP_SECONDS, partitions: int | None = None) -> DataFrame:
+    """Sessions from sessions of parts of the events (user_id, session_start,
+    last_activity, events), in any order: a partial session that starts
+    ``gap_s`` or more after all earlier ones of the user have ended begins a
+    new one."""
+    order = ["_s", "_e"]
+    p = partials.withColumn("_s", _micros("session_start")).withColumn("_e", _micros("last_activity"))
+    parts = range_sorted(p, ["user_id", *order], partitions)
+    reach = running_total(parts, ["user_id"], order, "_e", "_reach", presorted=True, op="max")
+    prev = with_previous(reach, ["user_id"], order, "_reach", "_prev")
+    flagged = prev.withColumn(
+        "_new", F.when(F.col("_prev").isNull() | (F.col("_s") - F.col("_prev") >= gap_s * 1_000_000), 1).otherwise(0))
+    numbered = running_total(flagged, ["user_id"], order, "_new", "session_no", presorted=True)
+    g = numbered.groupBy("user_id", "session_no").agg(
+        F.min("session_start").alias("session_start"), F.max("last_activity").alias("last_activity"),
+        F.sum("events").alias("events"))
+    logout = F.col("last_activity") + F.expr(f"INTERVAL {gap_s} SECONDS")
+    return g.select("user_id", "session_start", "last_activity", logout.alias("logout_at"), "events")
+
+
 # ---------------------------------------------------------------------------
 # SES-2 activity after the absolute session expiry
 # ---------------------------------------------------------------------------
