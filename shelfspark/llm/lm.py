@@ -1,11 +1,14 @@
-"""Language-model scores by a weighted backoff automaton.
+"""Language-model scores by a weighted backoff automaton, kept as Spark tables.
 
-Training tokens are counted as words over all training documents (one row per
-word and task before the shuffle). N-grams up to ``ORDER`` that make up at least one in
-``RARITY`` training tokens get arcs, so each order has at most ``RARITY`` arcs whatever
-the input, and the automaton, not the vocabulary, travels to the tasks. An n-gram can
-only be that frequent if the shorter ones in it are, so each order counts
-extensions of the last one's arcs only.
+Every word of the training documents counts, and every longer n-gram up to ``ORDER`` that
+they have ``LEAST`` times or more has an arc, whatever the input's size. An n-gram can only be
+that frequent if the shorter ones in it are, so each order counts extensions of the last
+one's arcs only.
+
+Texts are dealt in chunks of a bounded number of tokens. A chunk lists each of its words,
+pairs and so on once, with how often its training texts have it; one row per chunk and n-gram
+is shuffled, summed over the chunks, and the arcs go back to the chunks that listed them.
+So no task holds the vocabulary or the automaton, only the arcs that a chunk's texts meet.
 
 Probabilities are interpolated absolute discounting, with each order's discount from
 its counts of counts: an arc (h, w) has (c(hw) - D) / c(h) + g(h) P(w | h'), and g(h), the
@@ -14,10 +17,8 @@ leave. Single words have (c - D) / N, and all unseen words together, as one, the
 so freed; so for every history the probabilities of the known words and the unseen word
 sum to one.
 
-A document is scored in one traversal from left to right that carries the state and
-adds the weights of arcs and of the failure arcs taken. Words without arcs
-lead to the start state; their own weight comes from the word counts by a join on the
-word, for which every task lists each such word once with the documents it is in.
+The state after each word, its longest history with arcs, is looked up order by order for all
+positions of a chunk at once, and so are the weights of the arcs and failure arcs taken.
 
 Defined results: a null or empty text has the end token alone; a null doc_id counts as
 the empty text for the choice of training documents; repeated rows are counted and
@@ -27,26 +28,24 @@ is that of the one unseen word, 1; only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import text_of, written
 from shelfspark.llm.simhash import _LOWER
 
 ORDER = 3
-RARITY = 200_000
+LEAST = 2  # occurrences that give an n-gram of two words or more an arc
 END = b""  # no word is empty
 HELD_OUT, OF = 2, 7
-_HELD_WORDS = 250_000  # words that a task holds before it hands them on
-_HELD_TOKENS = 2_000_000
+CHUNK_TOKENS = 1 << 18  # a longer text is a chunk of its own
 
 
 def held_out(doc_id: Column) -> Column:
@@ -62,280 +61,228 @@ def discount(ones: int, twos: int) -> float:
     return (ones + 0.5) / (ones + 2 * twos + 1)
 
 
-# ------------------------------------------------------------------ training
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over the training rows of ``docs`` (text, held)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
-
-        def flush() -> pd.DataFrame:
-            out = pd.DataFrame({"word": list(counts.keys()), "c": list(counts.values())})
-            counts.clear()
-            return out
-
-        for rows in batches:
-            for text in rows["text"]:
-                counts.update(words_of(text))
-                counts[END] += 1
-                if len(counts) > _HELD_WORDS:
-                    yield flush()
-        if counts:
-            yield flush()
-
-    return docs.where("NOT held").select("text").mapInPandas(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-class Grams:
-    """The n-grams with arcs, order by order, as sorted keys (index of the first n - 1 words, last word)."""
-
-    def __init__(self, words: list[bytes], counts: list[int]):
-        self.number = {w: k for k, w in enumerate(words)}
-        self.keys: list[np.ndarray] = [np.arange(len(words), dtype=np.int64)]
-        self.counts: list[np.ndarray] = [np.array(counts, dtype=np.int64)]
-        self.discounts: list[float] = []
-
-    def numbers(self, text: str) -> list[int]:
-        """Word numbers of a text with its end, -1 for words without an arc."""
-        get = self.number.get
-        return [*[get(w, -1) for w in words_of(text)], self.number[END]]
-
-    def found(self, ids: np.ndarray) -> np.ndarray:
-        """Index of the highest order's n-gram that ends at each position, -1 for none."""
-        index = ids
-        for keys in self.keys[1:]:
-            key = self._extended(index, ids)
-            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-            index = np.where((key >= 0) & (keys[at] == key), at, -1) if len(keys) else np.full(len(ids), -1)
-        return index
-
-    def _extended(self, index: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        before = np.concatenate(([-1], index[:-1]))
-        return np.where((before >= 0) & (ids >= 0), before * len(self.number) + ids, -1)
-
-    def candidates(self, ids: np.ndarray) -> np.ndarray:
-        """Keys of the next order's n-grams both of whose parts have arcs."""
-        index = self.found(ids)
-        key = self._extended(index, ids)
-        return key[(key >= 0) & (index >= 0)]
-
-
-def extensions(docs: DataFrame, grams: Grams) -> DataFrame:
-    """(key, c) of the next order's candidates over the training rows."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[int] = []
-
-        def flush() -> pd.DataFrame:
-            keys, counts = np.unique(grams.candidates(np.array(held, dtype=np.int64)), return_counts=True)
-            held.clear()
-            return pd.DataFrame({"key": keys, "c": counts})
-
-        for rows in batches:
-            for text in rows["text"]:
-                held.extend(grams.numbers(text))
-                held.append(-1)  # nothing reaches into the next document
-                if len(held) > _HELD_TOKENS:
-                    yield flush()
-        if held:
-            yield flush()
-
-    return docs.where("NOT held").select("text").mapInPandas(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
-
-class Automaton:
-    """States are histories; state 0 is the empty one."""
-
-    def __init__(self, grams: Grams, total: int, distinct: int, first_discount: float):
-        self.grams, self.total, self.distinct = grams, total, distinct
-        width = len(grams.number)
-        c1 = grams.counts[0]
-        self.unseen = first_discount * distinct / total if total else 1.0
-        self.first_discount = first_discount
-        end = grams.number[END]
-        p = [(max(int(c) - first_discount, 0.0)) / total if total else 1.0 for c in c1.tolist()]
-        if total and not c1[end]:
-            p[end] = self.unseen
-        self.base = [math.log10((int(c) + 1) / (total + distinct + 1)) for c in c1.tolist()]
-        self.known = [int(c) > 0 for c in c1.tolist()]
-        # arcs[state][word] = (log10 probability, next state); a gram of the highest order leads to its suffix's state.
-        self.arcs: list[dict[int, tuple[float, int]]] = [{}]
-        self.fail, self.back, self.to_start = [0], [0.0], [0.0]
-        state_of = [self._new_states(width if len(grams.keys) > 1 else 0)]
-        suffix = [np.full(width, -1, dtype=np.int64)]
-        prob = [p]
-        for w in range(width):
-            self.arcs[0][w] = (math.log10(p[w]), state_of[0][w] if state_of[0] and w != end else 0)
-        for n in range(1, len(grams.keys)):
-            keys, counts, d = grams.keys[n], grams.counts[n].tolist(), grams.discounts[n - 1]
-            before, word = keys // width, keys % width
-            # The gram without its first word, as an index of the order below.
-            if n == 1:
-                shorter = word
-            else:
-                shorter = np.searchsorted(grams.keys[n - 1], suffix[n - 1][before] * width + word)
-            suffix.append(shorter)
-            history = grams.counts[n - 1].tolist()
-            left = [1.0] * len(history)
-            for b, c in zip(before.tolist(), counts):
-                left[b] -= (c - d) / history[b]
-            highest = n == len(grams.keys) - 1
-            own = self._new_states(0 if highest else len(keys))
-            state_of.append(own)
-            mine = []
-            for k, (b, w, s, c) in enumerate(zip(before.tolist(), word.tolist(), shorter.tolist(), counts)):
-                value = (c - d) / history[b] + left[b] * prob[n - 1][s]
-                mine.append(value)
-                to = 0 if w == end else own[k] if own else state_of[n - 1][s]
-                self.arcs[state_of[n - 1][b]][w] = (math.log10(value), to)
-            prob.append(mine)
-            for b, mass in enumerate(left):
-                state = state_of[n - 1][b]
-                self.back[state] = math.log10(max(mass, 1e-300))
-                self.fail[state] = 0 if n == 1 else state_of[n - 2][int(suffix[n - 1][b])]
-        for state in range(1, len(self.arcs)):  # shorter histories have smaller numbers
-            self.to_start[state] = self.back[state] + self.to_start[self.fail[state]]
-
-    def _new_states(self, count: int) -> list[int]:
-        first = len(self.arcs)
-        self.arcs += [{} for _ in range(count)]
-        self.fail += [0] * count
-        self.back += [0.0] * count
-        self.to_start += [0.0] * count
-        return list(range(first, first + count))
-
-    def traverse(self, ids: list[int]) -> float:
-        """log10 probability of the words, without the own weight of words that have no arcs (-1)."""
-        arcs, fail, back, to_start = self.arcs, self.fail, self.back, self.to_start
-        state, score = 0, 0.0
-        for w in ids:
-            if w < 0:
-                score += to_start[state]
-                state = 0
-                continue
-            hit = arcs[state].get(w)
-            while hit is None:
-                score += back[state]
-                state = fail[state]
-                hit = arcs[state].get(w)
-            score += hit[0]
-            state = hit[1]
-        return score
-
-    def own_weight(self, c: Column) -> Column:
-        """log10 probability of a word without arcs, from its count."""
-        seen = F.log10((c - self.first_discount) / max(self.total, 1))
-        return F.when(c > 0, seen).otherwise(math.log10(self.unseen))
-
-
-def train(docs: DataFrame, order: int = ORDER, rarity: int = RARITY) -> tuple[DataFrame, Automaton]:
-    """Word counts of the training rows and the automaton."""
-    counts = written(word_counts(docs), "lm-words")
-    row = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("ones"),
-                     F.count_if(F.col("c") == 2).alias("twos")).first()
-    total, distinct = row["n"] or 0, row["v"]
-    least = -(-total // rarity)
-    frequent = counts.where((F.col("c") >= max(least, 1)) | (F.col("word") == F.lit(END)))
-    top = sorted((-r["c"], bytes(r["word"])) for r in frequent.collect())  # at most rarity + 1 rows, as they sum to n
-    if not any(w == END for _, w in top):
-        top.append((0, END))
-    grams = Grams([w for _, w in top], [-c for c, _ in top])
-    for _ in range(1, order):
-        found = written(extensions(docs, grams), "lm-grams")
-        ones, twos = found.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-        arcs = sorted((r["key"], r["c"]) for r in found.where(F.col("c") >= max(least, 2)).collect())  # at most rarity
-        if not arcs:
-            break
-        grams.keys.append(np.array([k for k, _ in arcs], dtype=np.int64))
-        grams.counts.append(np.array([c for _, c in arcs], dtype=np.int64))
-        grams.discounts.append(discount(ones, twos))
-    return counts, Automaton(grams, total, distinct, discount(row["ones"], row["twos"]))
+# -------------------------------------------------------------------- chunks
 
+_CHUNKS = pa.schema([("chunk", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()),
+                     ("ids", pa.list_(pa.int32())), ("word", pa.binary()), ("n", pa.int64())])
 
-# ------------------------------------------------------------------- scoring
-
-SCORED = ("uid long, doc_id long, held boolean, n_tokens long, n_known long, base double, score double, "
-          "word binary, docs array<int>, ns array<int>")
 
-
-def _traversed(docs: DataFrame, automaton: Automaton) -> DataFrame:
-    """A row per document (its arcs' part), and a row per task and word without arcs with the documents it is in."""
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)  # at most ORDER * RARITY arcs
+def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """A row per document of ``docs`` (doc_id, text, held) with the chunk's numbers of its words and end, and a row
+    per chunk and word with its number (``at``) and training count (``n``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        model = shared.value
-        number, end = model.grams.number, model.grams.number[END]
-        known_word, base_word = model.known.__getitem__, model.base.__getitem__
-        first = TaskContext.get().partitionId() << 32
-        rare: dict[bytes, tuple[list[int], list[int]]] = {}
-        schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()),
-                            ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
-                            ("word", pa.binary()), ("docs", pa.list_(pa.int32())), ("ns", pa.list_(pa.int32()))])
-
-        def table(**columns: list) -> pa.RecordBatch:
-            size = len(next(iter(columns.values())))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema],
-                schema=schema)
-
-        def listed() -> pa.RecordBatch:
-            out = table(uid=[first] * len(rare), word=list(rare), docs=[d for d, _ in rare.values()],
-                        ns=[n for _, n in rare.values()])
-            rare.clear()
-            return out
-
-        at = 0
+        chunk = TaskContext.get().partitionId() << 32
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        doc_ids, held, ids = [], [], []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            flat = np.concatenate(ids)
+            sizes = np.array([len(i) for i in ids])
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            trained = np.bincount(flat, weights=~np.repeat(held, sizes), minlength=len(number)).astype(np.int64)
+            yield _batch(chunk=pa.array(np.full(len(ids), chunk)), doc_id=pa.array(doc_ids, pa.int64()), held=pa.array(held),
+                         at=pa.array(np.arange(len(ids))), ids=pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+            yield _batch(chunk=pa.array(np.full(len(number), chunk)), at=pa.array(np.arange(len(number))),
+                         word=pa.array(list(number), pa.binary()), n=pa.array(trained))
+            for held_list in (doc_ids, held, ids, number):
+                held_list.clear()
+
         for batch in batches:
-            uid, sizes, known, base, score = [], [], [], [], []
-            for text in map(str, batch.column("text")):  # one text at a time
-                words = words_of(text)
-                ids = list(map(number.get, words, repeat(-1)))
-                for w, n in Counter([w for w, i in zip(words, ids) if i < 0]).items():
-                    entry = rare.get(w)
-                    if entry is None:
-                        rare[w] = [at], [n]
-                    else:
-                        entry[0].append(at)
-                        entry[1].append(n)
-                ids.append(end)
-                frequent = [i for i in ids if i >= 0]
-                uid.append(first + at)
-                sizes.append(len(ids))
-                known.append(sum(map(known_word, frequent)))
-                base.append(sum(map(base_word, frequent)))
-                score.append(model.traverse(ids))
-                at += 1
-                if len(rare) > _HELD_WORDS:
-                    yield listed()
-            yield table(uid=uid, doc_id=batch.column("doc_id").to_pylist(), held=batch.column("held").to_pylist(),
-                        n_tokens=sizes, n_known=known, base=base, score=score)
-        if rare:
-            yield listed()
-
-    return docs.mapInArrow(run, SCORED)
-
-
-def score_documents(docs: DataFrame, order: int = ORDER, rarity: int = RARITY) -> DataFrame:
+            for doc_id, text, h in zip(*(batch.column(c) for c in ("doc_id", "text", "held"))):
+                words = words_of(str(text))
+                words.append(END)
+                if ids and size + len(words) > tokens:
+                    yield from flush()
+                    chunk, size = chunk + 1, 0
+                ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+                doc_ids.append(doc_id.as_py())
+                held.append(h.as_py())
+                size += len(words)
+        if ids:
+            yield from flush()
+
+    def _batch(**columns: pa.Array) -> pa.RecordBatch:
+        rows = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in _CHUNKS], schema=_CHUNKS)
+
+    return docs.select("doc_id", "text", "held").mapInArrow(
+        run, "chunk long, at long, doc_id long, held boolean, ids array<int>, word binary, n long")
+
+
+class Chunk:
+    """A chunk's tokens (-1 between documents), and for each order so far the n-grams with arcs."""
+
+    def __init__(self, docs: pa.Table, arcs: pa.Table, order: int):
+        docs = docs.sort_by("at")
+        lists = docs.column("ids").combine_chunks()
+        self.doc_ids = docs.column("doc_id")
+        self.held = docs.column("held").to_numpy(zero_copy_only=False).astype(bool)
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])).astype(np.int64)
+        self.ids = np.full(int(sizes.sum()) + len(sizes), -1, dtype=np.int64)
+        self.ids[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = lists.flatten().to_numpy()
+        self.sizes, self.trains = sizes, np.repeat(~self.held, sizes + 1)
+        n = arcs.column("n").to_numpy()
+        self.width = int(self.ids.max()) + 1
+        self.keys: list[np.ndarray] = []  # of each order's listed n-grams: (index of its history, last word)
+        self.index: list[np.ndarray] = []  # at each position the n-gram with an arc that ends there, -1 for none
+        self.counts: list[np.ndarray] = []
+        self.back: list[np.ndarray] = []
+        for k in range(1, order + 1):
+            mine = arcs.filter(pa.array(n == k))
+            at = mine.column("at").to_numpy()
+            keys, listed = self.listed(k)
+            has, count, back = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.ones(len(keys))
+            has[at] = mine.column("arc").to_numpy(zero_copy_only=False)
+            count[at] = mine.column("c").to_numpy()
+            back[at] = pc.fill_null(mine.column("g"), 1.0).to_numpy()
+            if k == 1:  # its rows are whole: each word of the chunk, with its text
+                self.words = mine.column("word").combine_chunks().take(pa.array(np.argsort(at)))
+            self.keys.append(keys)
+            self.index.append(np.where((listed >= 0) & has[listed] if len(keys) else False, listed, -1))
+            self.counts.append(count)
+            self.back.append(back)
+
+    def listed(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k-grams both of whose parts have arcs, sorted, and which of them ends at each position (-1 for none)."""
+        if k == 1:
+            return np.arange(self.width), self.ids
+        before, last = self.before(self.index[-1]), self.index[-1]
+        places = np.flatnonzero((before >= 0) & (last >= 0))
+        keys, which = np.unique(before[places] * self.width + self.ids[places], return_inverse=True)
+        listed = np.full(len(self.ids), -1, dtype=np.int64)
+        listed[places] = which
+        return keys, listed
+
+    @staticmethod
+    def before(index: np.ndarray) -> np.ndarray:
+        return np.concatenate((np.full(1, -1, dtype=np.int64), index[:-1]))
+
+    def text(self, k: int, which: np.ndarray) -> pa.Array:
+        """Texts of k-grams, by their number in the list."""
+        if k == 1:
+            return self.words.take(pa.array(which))
+        keys = self.keys[k - 1][which]
+        return _joined(self.text(k - 1, keys // self.width), self.words.take(pa.array(keys % self.width)))
+
+    def probabilities(self, total: int, distinct: int, discounts: list[float]) -> np.ndarray:
+        """Of the word at each position (1 between documents)."""
+        c, d = self.counts[0], discounts[0]
+        p = np.where(c > 0, (c - d) / total, d * distinct / total) if total else np.ones(len(c))
+        p = np.where(self.ids >= 0, p[self.ids], 1.0)
+        for k in range(1, len(self.index)):
+            history, own = self.before(self.index[k - 1]), self.index[k]
+            at = np.flatnonzero((history >= 0) & (self.ids >= 0))
+            p[at] *= self.back[k - 1][history[at]]
+            at = np.flatnonzero(own >= 0)
+            p[at] += (self.counts[k][own[at]] - discounts[k]) / self.counts[k - 1][history[at]]
+        return p
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums of the values at each document's positions."""
+        return np.add.reduceat(np.where(self.ids >= 0, values, 0), self.starts)
+
+
+def _joined(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(a, b, pa.scalar(b" ", pa.binary()))
+
+
+# ------------------------------------------------------------------ training
+
+def extensions(docs: DataFrame, arcs: DataFrame, k: int) -> DataFrame:
+    """(chunk, at, h, word, n) for each chunk's list of k-grams: history, last word, training count."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        mine = Chunk(left, right, k - 1)
+        keys, listed = mine.listed(k)
+        places = listed >= 0
+        n = np.bincount(listed[places], weights=mine.trains[places], minlength=len(keys)).astype(np.int64)
+        return pa.table({"chunk": pa.array(np.full(len(keys), left.column("chunk")[0].as_py(), dtype=np.int64)),
+                         "at": pa.array(np.arange(len(keys))), "h": mine.text(k - 1, keys // mine.width),
+                         "word": mine.words.take(pa.array(keys % mine.width)), "n": pa.array(n)})
+
+    return docs.groupBy("chunk").cogroup(arcs.groupBy("chunk")).applyInArrow(
+        run, "chunk long, at long, h binary, word binary, n long")
+
+
+def summed(listed: DataFrame, k: int, least: int) -> DataFrame:
+    """Listed k-grams with their training count ``c`` over all chunks, whether they have arcs, and a mark (``once``) on
+    one row of each. Of longer ones without arcs only the counts are left."""
+    same = Window.partitionBy("h", "word")
+    arc = F.col("c") >= least
+    if k == 1:
+        arc = arc | (F.col("word") == F.lit(END))
+    rows = listed.withColumn("c", F.sum("n").over(same)).withColumn("once", F.min("chunk").over(same) == F.col("chunk")).withColumn("arc", arc)
+    if k == 1:
+        return rows
+    return rows.select("n", "c", "once", "arc", *[F.when(F.col("arc"), F.col(x)).alias(x) for x in ("chunk", "at", "h", "word")])
+
+
+def train(mine: DataFrame, order: int = ORDER, rarity: int | None = None,
+          chunk_tokens: int = CHUNK_TOKENS) -> tuple[DataFrame, DataFrame, int, int, list[float]]:
+    """Documents in chunks, the arcs that each chunk meets, training tokens and words, and the discounts.
+
+    With ``rarity`` only n-grams with at least one in ``rarity`` training tokens get arcs (a smaller model on demand).
+    """
+    both = written(chunks(mine, chunk_tokens), "lm-chunks")
+    docs = both.where("ids IS NOT NULL").select("chunk", "at", "doc_id", "held", "ids")
+    words = both.where("word IS NOT NULL").select("chunk", "at", F.lit(None).cast("binary").alias("h"), "word", "n")
+    total = (words.agg(F.sum("n")).first()[0] or 0)
+    least = -(-total // rarity) if rarity else 1
+    tables, discounts, distinct = [], [], 0
+    for k in range(1, order + 1):
+        listed = words if k == 1 else extensions(docs, _arcs(tables, discounts), k)
+        table = written(summed(listed, k, max(least, 1 if k == 1 else LEAST)), f"lm-grams{k}")
+        seen = table.where("once").agg(F.count_if(F.col("c") == 1).alias("ones"), F.count_if(F.col("c") == 2).alias("twos"),
+                                       F.count_if(F.col("c") > 0).alias("v")).first() if k == 1 else \
+            table.agg(F.sum(F.when(F.col("c") == 1, F.col("n"))).alias("ones"), (F.sum(F.when(F.col("c") == 2, F.col("n"))) / 2).alias("twos")).first()
+        distinct = seen["v"] if k == 1 else distinct
+        discounts.append(discount(int(seen["ones"] or 0), int(seen["twos"] or 0)))
+        tables.append(table)
+    return docs, _arcs(tables, discounts, True), total, distinct, discounts
+
+
+def _arcs(tables: list[DataFrame], discounts: list[float], backoff: bool = False) -> DataFrame:
+    """(n, chunk, at, word, arc, c, g): each chunk's words and n-grams with arcs, with the weight of their failure arc."""
+    out = []
+    for k, table in enumerate(tables, 1):
+        rows = table if k == 1 else table.where("arc")
+        g = F.lit(None).cast("double")
+        if backoff and k < len(tables):
+            after = tables[k].where("arc AND once").groupBy("h").agg(F.sum("c").alias("mass"), F.count("*").alias("arcs"))
+            key = F.col("word") if k == 1 else F.concat("h", F.lit(b" "), "word")
+            rows = rows.withColumn("key", key).drop("h").join(after, F.col("key") == F.col("h"), "left")
+            left = 1 - (F.col("mass") - discounts[k] * F.col("arcs")) / F.col("c")
+            g = F.when(F.col("arc") & F.col("mass").isNotNull(), F.greatest(left, F.lit(1e-300)))
+        word = F.col("word") if k == 1 and not backoff else F.lit(None).cast("binary")
+        out.append(rows.select(F.lit(k).alias("n"), "chunk", "at", word.alias("word"), "arc", "c", g.alias("g")))
+    return reduce(DataFrame.unionByName, out)
+
+
+# ------------------------------------------------------------------- scoring
+
+SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                    ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def score_documents(docs: DataFrame, order: int = ORDER, rarity: int | None = None, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """Scores of each document (doc_id, text): counts, add-one base score and the model's log10 probability."""
     mine = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), held_out(F.col("doc_id")).alias("held"))
-    counts, model = train(mine, order, rarity)
-    parts = written(_traversed(mine, model), "lm-parts")
-    # A word without arcs is rare by definition: its list of documents is bounded by its share of the tokens.
-    rare = parts.where("word IS NOT NULL").select("word", F.col("uid").alias("first"), "docs", "ns")
-    weighed = rare.join(counts, "word", "left").select(
-        "first", F.coalesce("c", F.lit(0)).alias("c"), F.explode(F.arrays_zip("docs", "ns")).alias("d")).select(
-        (F.col("first") + F.col("d.docs")).alias("uid"), F.col("d.ns").alias("n"), "c")
-    by_doc = weighed.groupBy("uid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("n") * F.log10((F.col("c") + 1) / F.lit(float(model.total + model.distinct + 1)))).alias("more_base"),
-        F.sum(F.col("n") * model.own_weight(F.col("c"))).alias("more_score"))
-    whole = parts.where("word IS NULL").join(by_doc, "uid", "left")
-    return whole.select(
-        "doc_id", F.col("held").alias("held_out"), "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))
+    dealt, arcs, total, distinct, discounts = train(mine, order, rarity, chunk_tokens)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk = Chunk(left, right, order)
+        c = chunk.counts[0][chunk.ids]
+        return pa.Table.from_arrays(
+            [chunk.doc_ids.combine_chunks(), pa.array(chunk.held), pa.array(chunk.sizes),
+             pa.array(chunk.sums(c > 0).astype(np.int64)), pa.array(np.full(len(chunk.sizes), total, dtype=np.int64)),
+             pa.array(chunk.sums(np.log10((c + 1) / (total + distinct + 1)))),
+             pa.array(chunk.sums(np.log10(chunk.probabilities(total, distinct, discounts))))], schema=SCORED)
+
+    return dealt.groupBy("chunk").cogroup(arcs.groupBy("chunk")).applyInArrow(
+        run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -90,3 +90,20 @@ def test_empty_and_untrained(spark, empty):
     only_held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = lm.score_documents(spark.createDataFrame([(only_held, "a b")], "doc_id long, text string")).first()
     assert (r.train_tokens, r.n_known, r.base_score, r.score) == (0, 0, 0.0, 0.0)
+
+
+def test_every_ngram_seen_twice_has_an_arc(spark, docs):
+    """The default model has no threshold that rises with the input; chunks of any size give the same scores."""
+    rng = random.Random(9)
+    # 'rare pair here' occurs twice among 300,000 training tokens or more.
+    rows = [(k, " ".join(rng.choices("abcdefgh", k=3000)) + (" rare pair here" if k in (0, 1, 3, 16) else "")) for k in range(130)]
+    held = [zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in rows]
+    assert sum(not held[k] for k in (0, 1, 3, 16)) >= 2 and sum(len(tokens(t)) for (_, t), h in zip(rows, held) if not h) > 300_000
+    everything = 10 ** 12
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near(sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6))
+                       for r in lm.score_documents(frame).collect()), brute(rows, 3, everything)[0])
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6))
+                 for r in lm.score_documents(docs, chunk_tokens=50).collect())
+    assert near(got, brute(rows, 3, everything)[0])
