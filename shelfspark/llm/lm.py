@@ -9,6 +9,9 @@ Texts are dealt in chunks of a bounded number of tokens. A chunk lists each of i
 pairs and so on once, with how often its training texts have it; one row per chunk and n-gram
 is shuffled, summed over the chunks, and the arcs go back to the chunks that listed them.
 So no task holds the vocabulary or the automaton, only the arcs that a chunk's texts meet.
+An n-gram's identity is its smallest row number, so words travel once; what is seen once
+is not sent back, as a chunk knows it by its absence. Pairs with a word seen once are seen once
+themselves and only counted.
 
 Probabilities are interpolated absolute discounting, with each order's discount from
 its counts of counts: an arc (h, w) has (c(hw) - D) / c(h) + g(h) P(w | h'), and g(h), the
@@ -29,7 +32,7 @@ is that of the one unseen word, 1; only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -46,6 +49,7 @@ LEAST = 2  # occurrences that give an n-gram of two words or more an arc
 END = b""  # no word is empty
 HELD_OUT, OF = 2, 7
 CHUNK_TOKENS = 1 << 18  # a longer text is a chunk of its own
+CHUNK_BITS, ROW_BITS = 14, 31  # of a row number: the task's chunk, the place in the chunk's list
 
 
 def held_out(doc_id: Column) -> Column:
@@ -63,18 +67,22 @@ def discount(ones: int, twos: int) -> float:
 
 # -------------------------------------------------------------------- chunks
 
-_CHUNKS = pa.schema([("chunk", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()),
-                     ("ids", pa.list_(pa.int32())), ("word", pa.binary()), ("n", pa.int64())])
+_CHUNKS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("ids", pa.list_(pa.int32())),
+                     ("word", pa.binary()), ("n", pa.int64())])
+
+
+def chunk_of(uid: Column) -> Column:
+    return F.shiftright(uid, ROW_BITS).alias("chunk")
 
 
 def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
     """A row per document of ``docs`` (doc_id, text, held) with the chunk's numbers of its words and end, and a row
-    per chunk and word with its number (``at``) and training count (``n``)."""
+    per chunk and word with its training count (``n``); ``uid`` is the chunk and the place in its list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunk = TaskContext.get().partitionId() << 32
+        chunk = first = TaskContext.get().partitionId() << CHUNK_BITS
         number: defaultdict[bytes, int] = defaultdict()
         number.default_factory = number.__len__
         doc_ids, held, ids = [], [], []
@@ -85,12 +93,12 @@ def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
             sizes = np.array([len(i) for i in ids])
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             trained = np.bincount(flat, weights=~np.repeat(held, sizes), minlength=len(number)).astype(np.int64)
-            yield _batch(chunk=pa.array(np.full(len(ids), chunk)), doc_id=pa.array(doc_ids, pa.int64()), held=pa.array(held),
-                         at=pa.array(np.arange(len(ids))), ids=pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
-            yield _batch(chunk=pa.array(np.full(len(number), chunk)), at=pa.array(np.arange(len(number))),
-                         word=pa.array(list(number), pa.binary()), n=pa.array(trained))
-            for held_list in (doc_ids, held, ids, number):
-                held_list.clear()
+            yield _batch(uid=pa.array((chunk << ROW_BITS) + np.arange(len(ids))), doc_id=pa.array(doc_ids, pa.int64()),
+                         held=pa.array(held), ids=pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+            yield _batch(uid=pa.array((chunk << ROW_BITS) + np.arange(len(number))), word=pa.array(list(number), pa.binary()),
+                         n=pa.array(trained))
+            for kept in (doc_ids, held, ids, number):
+                kept.clear()
 
         for batch in batches:
             for doc_id, text, h in zip(*(batch.column(c) for c in ("doc_id", "text", "held"))):
@@ -99,6 +107,8 @@ def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
                 if ids and size + len(words) > tokens:
                     yield from flush()
                     chunk, size = chunk + 1, 0
+                    if chunk - first >> CHUNK_BITS:
+                        raise ValueError("too many tokens in one task; deal the input to more partitions")
                 ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
                 doc_ids.append(doc_id.as_py())
                 held.append(h.as_py())
@@ -111,14 +121,15 @@ def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
         return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in _CHUNKS], schema=_CHUNKS)
 
     return docs.select("doc_id", "text", "held").mapInArrow(
-        run, "chunk long, at long, doc_id long, held boolean, ids array<int>, word binary, n long")
+        run, "uid long, doc_id long, held boolean, ids array<int>, word binary, n long")
 
 
 class Chunk:
     """A chunk's tokens (-1 between documents), and for each order so far the n-grams with arcs."""
 
     def __init__(self, docs: pa.Table, arcs: pa.Table, order: int):
-        docs = docs.sort_by("at")
+        docs = docs.sort_by("uid")
+        self.first = docs.column("uid")[0].as_py() >> ROW_BITS << ROW_BITS
         lists = docs.column("ids").combine_chunks()
         self.doc_ids = docs.column("doc_id")
         self.held = docs.column("held").to_numpy(zero_copy_only=False).astype(bool)
@@ -129,21 +140,21 @@ class Chunk:
         self.sizes, self.trains = sizes, np.repeat(~self.held, sizes + 1)
         n = arcs.column("n").to_numpy()
         self.width = int(self.ids.max()) + 1
-        self.keys: list[np.ndarray] = []  # of each order's listed n-grams: (index of its history, last word)
+        self.names: list[np.ndarray] = []  # of each order's listed n-grams: the identity
         self.index: list[np.ndarray] = []  # at each position the n-gram with an arc that ends there, -1 for none
         self.counts: list[np.ndarray] = []
         self.back: list[np.ndarray] = []
         for k in range(1, order + 1):
             mine = arcs.filter(pa.array(n == k))
-            at = mine.column("at").to_numpy()
+            at = mine.column("uid").to_numpy() - self.first
             keys, listed = self.listed(k)
-            has, count, back = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.ones(len(keys))
+            has, count, back = np.zeros(len(keys), bool), np.ones(len(keys), np.int64), np.ones(len(keys))
+            names = np.full(len(keys), -1, dtype=np.int64)
             has[at] = mine.column("arc").to_numpy(zero_copy_only=False)
             count[at] = mine.column("c").to_numpy()
             back[at] = pc.fill_null(mine.column("g"), 1.0).to_numpy()
-            if k == 1:  # its rows are whole: each word of the chunk, with its text
-                self.words = mine.column("word").combine_chunks().take(pa.array(np.argsort(at)))
-            self.keys.append(keys)
+            names[at] = mine.column("id").to_numpy()
+            self.names.append(names)
             self.index.append(np.where((listed >= 0) & has[listed] if len(keys) else False, listed, -1))
             self.counts.append(count)
             self.back.append(back)
@@ -163,13 +174,6 @@ class Chunk:
     def before(index: np.ndarray) -> np.ndarray:
         return np.concatenate((np.full(1, -1, dtype=np.int64), index[:-1]))
 
-    def text(self, k: int, which: np.ndarray) -> pa.Array:
-        """Texts of k-grams, by their number in the list."""
-        if k == 1:
-            return self.words.take(pa.array(which))
-        keys = self.keys[k - 1][which]
-        return _joined(self.text(k - 1, keys // self.width), self.words.take(pa.array(keys % self.width)))
-
     def probabilities(self, total: int, distinct: int, discounts: list[float]) -> np.ndarray:
         """Of the word at each position (1 between documents)."""
         c, d = self.counts[0], discounts[0]
@@ -188,39 +192,43 @@ class Chunk:
         return np.add.reduceat(np.where(self.ids >= 0, values, 0), self.starts)
 
 
-def _joined(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pc.binary_join_element_wise(a, b, pa.scalar(b" ", pa.binary()))
-
-
 # ------------------------------------------------------------------ training
 
 def extensions(docs: DataFrame, arcs: DataFrame, k: int) -> DataFrame:
-    """(chunk, at, h, word, n) for each chunk's list of k-grams: history, last word, training count."""
+    """(uid, h, w, n) for each chunk's list of k-grams: identities of the history and the last word, training count.
+    For pairs, a row without uid counts the training pairs that are not listed, as a word in them has no arc."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         mine = Chunk(left, right, k - 1)
         keys, listed = mine.listed(k)
         places = listed >= 0
         n = np.bincount(listed[places], weights=mine.trains[places], minlength=len(keys)).astype(np.int64)
-        return pa.table({"chunk": pa.array(np.full(len(keys), left.column("chunk")[0].as_py(), dtype=np.int64)),
-                         "at": pa.array(np.arange(len(keys))), "h": mine.text(k - 1, keys // mine.width),
-                         "word": mine.words.take(pa.array(keys % mine.width)), "n": pa.array(n)})
+        out = pa.table({"uid": pa.array(mine.first + np.arange(len(keys))), "h": pa.array(mine.names[-1][keys // mine.width]),
+                        "w": pa.array(mine.names[0][keys % mine.width]), "n": pa.array(n)})
+        if k > 2:
+            return out
+        rest = int(((mine.before(mine.ids) >= 0) & (mine.ids >= 0) & mine.trains & ~places).sum())
+        return pa.concat_tables([out, pa.table({"uid": [None], "h": [None], "w": [None], "n": [rest]}, schema=out.schema)])
+
+    return _meet(docs, arcs, run, "uid long, h long, w long, n long")
+
 
-    return docs.groupBy("chunk").cogroup(arcs.groupBy("chunk")).applyInArrow(
-        run, "chunk long, at long, h binary, word binary, n long")
+def _meet(docs: DataFrame, arcs: DataFrame, run: Callable, schema: str) -> DataFrame:
+    chunk = chunk_of(F.col("uid"))
+    return docs.groupBy(chunk).cogroup(arcs.groupBy(chunk)).applyInArrow(run, schema)
 
 
-def summed(listed: DataFrame, k: int, least: int) -> DataFrame:
-    """Listed k-grams with their training count ``c`` over all chunks, whether they have arcs, and a mark (``once``) on
-    one row of each. Of longer ones without arcs only the counts are left."""
-    same = Window.partitionBy("h", "word")
-    arc = F.col("c") >= least
-    if k == 1:
-        arc = arc | (F.col("word") == F.lit(END))
-    rows = listed.withColumn("c", F.sum("n").over(same)).withColumn("once", F.min("chunk").over(same) == F.col("chunk")).withColumn("arc", arc)
-    if k == 1:
-        return rows
-    return rows.select("n", "c", "once", "arc", *[F.when(F.col("arc"), F.col(x)).alias(x) for x in ("chunk", "at", "h", "word")])
+def summed(listed: DataFrame, keys: list[str], arc: Column) -> DataFrame:
+    """Listed n-grams with their training count ``c`` over all chunks, identity, a mark (``once``) on one row of each, and
+    whether they have arcs. Of those without arcs that no chunk asks back only the counts are left."""
+    same = Window.partitionBy(*keys)
+    rows = listed.withColumn("c", F.sum("n").over(same)).withColumn("id", F.min("uid").over(same))
+    rows = rows.withColumn("once", F.col("uid") == F.col("id")).withColumn("arc", F.col("uid").isNotNull() & arc)
+    word = "word" in keys
+    sent = F.col("arc") | (F.col("c") != 1) if word else F.col("arc")
+    kept = ["uid", "id"] if word else ["uid", "id", "h"]
+    few = F.when(F.col("uid").isNull(), F.col("n")).alias("rest")
+    return rows.select("c", "once", "arc", few, *[F.when(sent, F.col(x)).alias(x) for x in kept])
 
 
 def train(mine: DataFrame, order: int = ORDER, rarity: int | None = None,
@@ -230,37 +238,42 @@ def train(mine: DataFrame, order: int = ORDER, rarity: int | None = None,
     With ``rarity`` only n-grams with at least one in ``rarity`` training tokens get arcs (a smaller model on demand).
     """
     both = written(chunks(mine, chunk_tokens), "lm-chunks")
-    docs = both.where("ids IS NOT NULL").select("chunk", "at", "doc_id", "held", "ids")
-    words = both.where("word IS NOT NULL").select("chunk", "at", F.lit(None).cast("binary").alias("h"), "word", "n")
-    total = (words.agg(F.sum("n")).first()[0] or 0)
+    docs = both.where("ids IS NOT NULL").select("uid", "doc_id", "held", "ids")
+    words = both.where("word IS NOT NULL").select("uid", "word", "n")
+    total = words.agg(F.sum("n")).first()[0] or 0
     least = -(-total // rarity) if rarity else 1
+    enough = F.col("c") >= max(least, LEAST)
     tables, discounts, distinct = [], [], 0
     for k in range(1, order + 1):
-        listed = words if k == 1 else extensions(docs, _arcs(tables, discounts), k)
-        table = written(summed(listed, k, max(least, 1 if k == 1 else LEAST)), f"lm-grams{k}")
-        seen = table.where("once").agg(F.count_if(F.col("c") == 1).alias("ones"), F.count_if(F.col("c") == 2).alias("twos"),
-                                       F.count_if(F.col("c") > 0).alias("v")).first() if k == 1 else \
-            table.agg(F.sum(F.when(F.col("c") == 1, F.col("n"))).alias("ones"), (F.sum(F.when(F.col("c") == 2, F.col("n"))) / 2).alias("twos")).first()
-        distinct = seen["v"] if k == 1 else distinct
-        discounts.append(discount(int(seen["ones"] or 0), int(seen["twos"] or 0)))
+        if k == 1:
+            rows = summed(words, ["word"], enough | (F.col("word") == F.lit(END)))
+        else:
+            rows = summed(extensions(docs, _arcs(tables, discounts), k), ["h", "w"], enough)
+        table = written(rows, f"lm-grams{k}")
+        seen = table.agg(*[F.count_if(F.col("once") & (F.col("c") == n)).alias(name) for n, name in ((1, "ones"), (2, "twos"))],
+                         F.count_if(F.col("once") & (F.col("c") > 0)).alias("all"), F.sum("rest").alias("rest")).first()
+        if k == 1:
+            distinct = seen["all"]
+        # Pairs with a word seen once, which are not listed, are seen once each.
+        rest = (seen["rest"] or 0) if least <= 1 else 0
+        discounts.append(discount(seen["ones"] + rest, seen["twos"]))
         tables.append(table)
     return docs, _arcs(tables, discounts, True), total, distinct, discounts
 
 
 def _arcs(tables: list[DataFrame], discounts: list[float], backoff: bool = False) -> DataFrame:
-    """(n, chunk, at, word, arc, c, g): each chunk's words and n-grams with arcs, with the weight of their failure arc."""
+    """(uid, n, id, arc, c, g): each chunk's words but those seen once, and its n-grams with arcs, with the weight of
+    their failure arc."""
     out = []
     for k, table in enumerate(tables, 1):
-        rows = table if k == 1 else table.where("arc")
+        rows = table.where("uid IS NOT NULL").select("uid", "id", "arc", "c")
         g = F.lit(None).cast("double")
         if backoff and k < len(tables):
             after = tables[k].where("arc AND once").groupBy("h").agg(F.sum("c").alias("mass"), F.count("*").alias("arcs"))
-            key = F.col("word") if k == 1 else F.concat("h", F.lit(b" "), "word")
-            rows = rows.withColumn("key", key).drop("h").join(after, F.col("key") == F.col("h"), "left")
+            rows = rows.join(after, F.col("id") == F.col("h"), "left")
             left = 1 - (F.col("mass") - discounts[k] * F.col("arcs")) / F.col("c")
-            g = F.when(F.col("arc") & F.col("mass").isNotNull(), F.greatest(left, F.lit(1e-300)))
-        word = F.col("word") if k == 1 and not backoff else F.lit(None).cast("binary")
-        out.append(rows.select(F.lit(k).alias("n"), "chunk", "at", word.alias("word"), "arc", "c", g.alias("g")))
+            g = F.when(F.col("mass").isNotNull(), F.greatest(left, F.lit(1e-300)))
+        out.append(rows.select("uid", F.lit(k).alias("n"), "id", "arc", "c", g.alias("g")))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -284,5 +297,5 @@ def score_documents(docs: DataFrame, order: int = ORDER, rarity: int | None = No
              pa.array(chunk.sums(np.log10((c + 1) / (total + distinct + 1)))),
              pa.array(chunk.sums(np.log10(chunk.probabilities(total, distinct, discounts))))], schema=SCORED)
 
-    return dealt.groupBy("chunk").cogroup(arcs.groupBy("chunk")).applyInArrow(
-        run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _meet(dealt, arcs, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+                                   "base_score double, score double")
