@@ -41,14 +41,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import text_of, written
+from shelfspark.llm.common import drop_written, text_of, written
 from shelfspark.llm.simhash import _LOWER
 
 ORDER = 3
 LEAST = 2  # occurrences that give an n-gram of two words or more an arc
 END = b""  # no word is empty
 HELD_OUT, OF = 2, 7
-CHUNK_TOKENS = 1 << 18  # a longer text is a chunk of its own
+CHUNK_TOKENS = 1 << 20  # a longer text is a chunk of its own
 CHUNK_BITS, ROW_BITS = 14, 31  # of a row number: the task's chunk, the place in the chunk's list
 
 
@@ -238,7 +238,7 @@ def train(mine: DataFrame, order: int = ORDER, rarity: int | None = None,
     With ``rarity`` only n-grams with at least one in ``rarity`` training tokens get arcs (a smaller model on demand).
     """
     both = written(chunks(mine, chunk_tokens), "lm-chunks")
-    docs = both.where("ids IS NOT NULL").select("uid", "doc_id", "held", "ids")
+    docs = written(both.where("ids IS NOT NULL").select("uid", "doc_id", "held", "ids"), "lm-docs")
     words = both.where("word IS NOT NULL").select("uid", "word", "n")
     total = words.agg(F.sum("n")).first()[0] or 0
     least = -(-total // rarity) if rarity else 1
@@ -254,6 +254,7 @@ def train(mine: DataFrame, order: int = ORDER, rarity: int | None = None,
                          F.count_if(F.col("once") & (F.col("c") > 0)).alias("all"), F.sum("rest").alias("rest")).first()
         if k == 1:
             distinct = seen["all"]
+            drop_written(both)
         # Pairs with a word seen once, which are not listed, are seen once each.
         rest = (seen["rest"] or 0) if least <= 1 else 0
         discounts.append(discount(seen["ones"] + rest, seen["twos"]))
