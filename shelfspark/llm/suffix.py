@@ -17,7 +17,9 @@ A byte goes if a ``WINDOW``-byte string that covers it also starts elsewhere.
    (``induced.repeated_starts``).
 4. A gram with more than ``FINE_BYTES`` of distinct segments is not one task's
    work: its cells are dealt by (gram, cell, core) instead, and counted before
-   that shuffle too.
+   that shuffle too. Where even such a deal has more than ``FINE_BYTES``, its cells are
+   narrowed to one start: the core is then the whole window, whose copies are counted
+   by digest in Spark, so no task needs the group.
 5. Repeated runs go back to the texts by digest and are merged there.
 
 Every step is exact: nothing is sampled or capped, at any size.
@@ -198,6 +200,27 @@ def _fine_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["deal", "cell_key", "piece", "key", "at", "copies"])
 
 
+def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The digest of each window of a cell."""
+    import xxhash
+
+    for rows in batches:
+        out = [(xxhash.xxh3_128_digest(piece[at:at + WINDOW]), cell_key, at, copies)
+               for cell_key, piece, copies in rows[["cell_key", "piece", "copies"]].itertuples(index=False, name=None)
+               for at in range(len(piece) - WINDOW + 1)]
+        yield pd.DataFrame(out, columns=["window", "cell_key", "at", "copies"])
+
+
+def _counted(cells: DataFrame) -> DataFrame:
+    """(cell_key, runs): repeated starts of cells (cell_key, piece, copies) by counts of their windows."""
+    windows = cells.groupBy("cell_key").agg(F.first("piece").alias("piece"), F.sum("copies").alias("copies")).mapInPandas(
+        _windows, "window binary, cell_key binary, at int, copies long")
+    repeated = windows.groupBy("window").agg(F.sum("copies").alias("c")).where("c > 1").select("window")
+    repeated = written(repeated, "suffix-windows")  # so that the join can split a window that very many cells have
+    return windows.join(repeated, "window", "left_semi").groupBy("cell_key").agg(
+        F.collect_list(F.struct(F.col("at").alias("lo"), F.col("at").alias("hi"))).alias("runs"))  # at most CELL
+
+
 def _by_deal(pieces: DataFrame) -> DataFrame:
     width = partitions_for(pieces.sparkSession)
     return pieces.select("deal", "key", "lead", "piece", "copies").repartition(width, "deal") \
@@ -224,8 +247,12 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
 
     fine = distinct.join(crowded, "gram", "left_semi").mapInPandas(
         _fine_cells, "deal long, cell_key binary, piece binary, key binary, at int, copies long")
-    fine_distinct = fine.groupBy("deal", F.col("cell_key").alias("key"), "piece").agg(F.sum("copies").alias("copies"))
+    sizes = fine.groupBy("deal", "cell_key").agg(F.first(F.octet_length("piece")).alias("b"))
+    over = written(sizes.groupBy("deal").agg(F.sum("b").alias("b")).where(F.col("b") > FINE_BYTES).select("deal"), "suffix-over")
+    fine_distinct = fine.join(over, "deal", "left_anti").groupBy("deal", F.col("cell_key").alias("key"), "piece").agg(
+        F.sum("copies").alias("copies"))
     fine_found = _by_deal(fine_distinct.withColumn("lead", F.lit(-1).cast("short"))).withColumnRenamed("key", "cell_key")
+    fine_found = fine_found.unionByName(_counted(fine.join(over, "deal", "left_semi").select("cell_key", "piece", "copies")))
     fine_found = fine.select("cell_key", "key", "at").join(fine_found, "cell_key").select(
         "key", F.transform("runs", lambda r: F.struct((r["lo"] + F.col("at")).alias("lo"),
                                                       (r["hi"] + F.col("at")).alias("hi"))).alias("runs"))

@@ -105,3 +105,20 @@ def test_removal_keeps_columns_and_counts(docs, empty):
     assert cut.columns == docs.columns and cut.count() == docs.count()
     assert all(r.n_chars == len(r.text) for r in cut.collect() if r.text is not None)
     assert suffix.repeats_report(empty).count() == 0 and suffix.remove_repeats(empty).count() == 0
+
+
+def test_no_task_holds_a_crowded_core(spark, monkeypatch):
+    """A passage in many texts that differ before and after it: each deal that a task settles is bounded."""
+    rng = random.Random(12)
+    passage = "".join(rng.choices("abcdefgh ", k=420))
+    texts = ["".join(rng.choices("ijklm ", k=60)) + passage + "".join(rng.choices("nopqr ", k=60)) for _ in range(30)]
+    monkeypatch.setattr(suffix, "FINE_BYTES", 4000)
+    deals, by_deal = [], suffix._by_deal
+
+    def watched(pieces):
+        deals.extend(r.b for r in pieces.selectExpr("deal", "octet_length(piece) AS n").groupBy("deal").agg({"n": "sum"}).toDF("deal", "b").collect())
+        return by_deal(pieces)
+
+    monkeypatch.setattr(suffix, "_by_deal", watched)
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert max(deals, default=0) <= 4000
