@@ -1,14 +1,13 @@
 """Token counts by a compiled finite-state tokenizer.
 
-Two transducers, both deterministic. The first reads character classes and marks where
+A deterministic transducer reads character classes and marks where
 the pre-tokens start (``_rules`` is the word tokenizer's split pattern as states and
 transitions). A batch of texts is cut into chunks of equal length; every chunk's state map (end
 state and number of starts for each possible start state) is computed at once, the maps
 compose through a parallel prefix scan, and a second pass from the states so
-known emits the starts. The second transducer reads pre-tokens; its transitions
-carry the number of tokens the vocabulary's merges emit for one. They are compiled when a
-pre-token is first seen (from the tokenizer file's own merge table) and kept in
-the worker process, up to a bound.
+known emits the starts. The number of tokens of a pre-token does not come from a transducer: the
+``tokenizers`` library applies the file's own merges to each pre-token when it is first seen, and
+a memo in the worker process keeps the counts, up to a bound.
 
 The counts are those of the ``tokenizers`` library: special strings in a text
 count one token each and end what surrounds them.
