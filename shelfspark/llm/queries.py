@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import ann, common, html, lm, packing, pieces, pii, quality, simhash, suffix, tokencount
+from shelfspark.llm import ann, common, html, lm, packing, pieces, pii, quality, resample, simhash, suffix, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,9 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return ann.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query("op11_importance_resampling")
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
+    return resample.resampling_report(common.documents(spark, sf_dir, "doc_id", "text"), benchmark)
