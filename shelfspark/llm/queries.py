@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import ann, common, html, lm, packing, pieces, pii, quality, resample, simhash, suffix, tokencount
+from shelfspark.llm import ann, common, html, lm, packing, periodic, pieces, pii, quality, resample, simhash, suffix, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,9 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
     return resample.resampling_report(common.documents(spark, sf_dir, "doc_id", "text"), benchmark)
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir, "doc_id", "text")
+    return periodic.periodic_report(docs, edit=periodic.replant)
