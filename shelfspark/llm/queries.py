@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import ann, common, html, lm, packing, periodic, pieces, pii, quality, resample, simhash, suffix, tokencount
+from shelfspark.llm import (ann, common, html, lm, packing, periodic, pieces, pii, prints, quality, resample, simhash,
+                            suffix, tokencount)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +94,8 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir, "doc_id", "text")
     return periodic.periodic_report(docs, edit=periodic.replant)
+
+
+@query("op13_fingerprints")
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prints.fingerprint_report(common.documents(spark, sf_dir, "doc_id", "text"))
