@@ -12,8 +12,8 @@ blocks, keyed by their bits (for r = 3, 20 tables of 31 to 33 bits). Pairs that
 in all bits and kept in the first of the tables where they meet. Only distinct fingerprints take part,
 copies are a count beside them, and the search is for a stated set of queries.
 
-The successor of a document (here in descending id) comes without an order over one task: the ids alone are sorted by range,
-the first of each range is a head; texts are shuffled once, each to the range that a
+The successor of a document (here in descending id) comes without an order over one task: the ids alone are sorted by range
+(as many ranges as the texts' bytes ask for), the first of each range is a head; texts are shuffled once, each to the range that a
 binary search among the heads (one a range) names, and a head's text also to the range before its own.
 
 Defined results: a null text is empty; a text without words has fingerprint 0, one of fewer words than a term is one term;
@@ -29,12 +29,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import SPACE_CLASS, let, text_of, written
+from shelfspark.llm.common import SPACE_CLASS, let, partitions_for, text_of, written
 
 TERM = 3
 RADIUS = 3
 EVERY = 50  # rows whose id this divides are the queries of the report's search
 FULL = 65_535  # what a counter of 16 bits holds
+RANGE_BYTES = 64 << 20  # text that one range of successors should hold
 _LANES = 0x0001_0001_0001_0001
 _STEPS = [1 << k for k in range(20, -1, -1)]  # of the binary search: up to 2^21 ranges
 
@@ -141,8 +142,12 @@ def with_next(docs: DataFrame, id_column: str, text: Column, carry: dict[str, Co
     """(id, text, carried columns, next_text, next_<carried>): each document and the next one in descending id,
     after the last the first."""
     place = F.struct(F.col(id_column).alias("id"), F.xxhash64(text).alias("tie"))
-    ranged = docs.select(place.alias("place")).repartitionByRange(F.desc("place"))
-    heads = ranged.groupBy(F.spark_partition_id()).agg(F.max("place").alias("head")) \
+    keys = written(docs.select(place.alias("place"), F.octet_length(text).cast("long").alias("size")), "print-keys")
+    size = keys.agg(F.sum("size")).first()[0] or 0
+    # A stated number of ranges is not merged: the keys are small, the texts that follow are not.
+    ranges = max(4 * partitions_for(docs.sparkSession), -(-size // RANGE_BYTES))
+    heads = keys.repartitionByRange(ranges, F.desc("place")) \
+        .groupBy(F.spark_partition_id()).agg(F.max("place").alias("head")) \
         .agg(F.sort_array(F.collect_list("head"), asc=False).alias("heads"))  # one a range
     heads = written(heads, "print-heads")
 
