@@ -26,6 +26,16 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string")
 
 
+def id_text(column: str = "doc_id") -> Column:
+    """An integer id as text, for the way through pandas, which turns longs beside a null into doubles."""
+    return F.col(column).cast("long").cast("string").alias(column)
+
+
+def with_long_id(df: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The id as a long again."""
+    return df.withColumn(column, F.col(column).cast("long"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body uses it."""
     return F.transform(F.array(value), body)[0]

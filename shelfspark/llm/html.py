@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import written
+from shelfspark.llm.common import id_text, with_long_id, written
 
 MOST = 0.75  # of the page's clean text is in the container picked
 SHARE = 0.2  # of the host's votes makes a path win
@@ -354,13 +354,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             texts = [Page(html).extract([] if w is None else list(w)) for html, w in zip(rows["html"], rows["winners"])]
-            yield pd.DataFrame({"page_id": rows["page_id"].astype("Int64"), "url": rows["url"], "text": texts})
+            yield pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": texts})
 
     # Written first, so that its size is known when the join is planned.
     winners = written(winning_paths(host_votes(pages)), "html-winners").withColumnRenamed("host", "_host")
-    mine = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
+    mine = pages.select(id_text("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     # One row per host on the right: broadcast if its size allows, so the pages stay where they are;
     # else both sides are dealt by host and a hot host's pages are split.
     joined = mine.join(winners, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "winners")
-    texts = joined.mapInPandas(again, "page_id long, url string, text string")
+    texts = with_long_id(joined.mapInPandas(again, "page_id string, url string, text string"), "page_id")
     return texts.withColumn("n_chars", F.length("text").cast("long"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfspark.llm import tokenizing
-from shelfspark.llm.common import text_of, written
+from shelfspark.llm.common import id_text, text_of, with_long_id, written
 
 WINDOW = 2048
 END_ID = 1
@@ -172,8 +172,8 @@ def token_table(docs: DataFrame, path: str, window: int = WINDOW, end_id: int =
             yield pd.DataFrame({"doc_id": rows["doc_id"], "pid": pid, "n": n, "full": full, "rest": rest,
                                 "full_before": before, "rest_rank": rank, "ids": ids})
 
-    schema = "doc_id long, pid int, n long, full long, rest int, full_before long, rest_rank long, ids binary"
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInPandas(run, schema)
+    schema = "doc_id string, pid int, n long, full long, rest int, full_before long, rest_rank long, ids binary"
+    return with_long_id(docs.select(id_text(), text_of().alias("text")).mapInPandas(run, schema))
 
 
 def pack(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -191,8 +191,9 @@ def pack(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     full_skip = offsets.where(F.col("bin") == window).select("pid", F.col("skip").alias("full_skip"))
     # One row per (partition, length) on the right: the ids meet it once, split by AQE where skewed.
     placed = tokens.join(rest_skip.join(full_skip, "pid"), ["pid", "rest"])
-    return placed.select("doc_id", "n", "full", "rest", (F.col("full_before") + F.col("full_skip")).alias("first"),
-                         (F.col("rest_rank") + F.col("skip")).alias("rank"), "ids").mapInPandas(_cutter(plan), PIECES)
+    pieces = placed.select(id_text(), "n", "full", "rest", (F.col("full_before") + F.col("full_skip")).alias("first"),
+                         (F.col("rest_rank") + F.col("skip")).alias("rank"), "ids").mapInPandas(_cutter(plan), PIECES.replace("doc_id long", "doc_id string"))
+    return with_long_id(pieces)
 
 
 def _cutter(plan: Plan):
@@ -201,16 +202,14 @@ def _cutter(plan: Plan):
         for rows in batches:
             out: list[tuple] = []
             for doc, n, full, rest, first, rank, ids in rows.itertuples(index=False, name=None):
-                doc = None if pd.isna(doc) else int(doc)
                 cuts = [(k * w, w, first + k, 0) for k in range(full)]
                 if rest:
                     cuts += [(full * w + s, size, seq, at) for s, size, seq, at in plan.place(rest, rank)]
                 for start, size, seq, at in cuts:
                     piece = ids[4 * start:4 * (start + size)]
                     out.append((doc, start, size, zlib.crc32(piece), n, seq, at, piece))
-            frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens",
-                                               "sequence_id", "offset", "ids"])
-            yield frame.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens",
+                                             "sequence_id", "offset", "ids"])
 
     return run
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm import induced
-from shelfspark.llm.common import per_process, text_of
+from shelfspark.llm.common import id_text, per_process, text_of, with_long_id
 
 MARK = "▁"
 CACHED_UNITS = 400_000  # bounds of the memos, not of the texts
@@ -275,10 +275,10 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                     high += 1
                 ids = encode_all(path, texts[low:high])
                 yield pd.DataFrame({
-                    "doc_id": rows["doc_id"].iloc[low:high].astype("Int64"), "n_ids": [len(x) // 4 for x in ids],
+                    "doc_id": rows["doc_id"].iloc[low:high], "n_ids": [len(x) // 4 for x in ids],
                     "ids_crc32": [zlib.crc32(x) for x in ids],
                     "round_trip": [decode(path, x) == t for x, t in zip(ids, texts[low:high])], "ids": ids})
                 low = high
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInPandas(
-        run, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean, ids binary")
+    return with_long_id(docs.select(id_text(), text_of().alias("text")).mapInPandas(
+        run, "doc_id string, n_ids long, ids_crc32 long, round_trip boolean, ids binary"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm import tokenizing
-from shelfspark.llm.common import per_process, text_of
+from shelfspark.llm.common import id_text, per_process, text_of, with_long_id
 
 LIMIT = 2048
 BATCH_CHARS = 1 << 21
@@ -187,6 +187,6 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             if counts:
                 yield pd.DataFrame({"doc_id": rows["doc_id"], "n_bytes": rows["n_bytes"], "n_tokens": np.concatenate(counts)})
 
-    counted = docs.select("doc_id", F.octet_length(text_of()).cast("long").alias("n_bytes"), text_of().alias("text")) \
-        .mapInPandas(run, "doc_id long, n_bytes long, n_tokens long")
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    counted = docs.select(id_text(), F.octet_length(text_of()).cast("long").alias("n_bytes"), text_of().alias("text")) \
+        .mapInPandas(run, "doc_id string, n_bytes long, n_tokens long")
+    return with_long_id(counted).withColumn("over_limit", F.col("n_tokens") > limit)
