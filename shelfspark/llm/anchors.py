@@ -1,10 +1,10 @@
 """Window anchors: content-defined places that equal byte strings share.
 
-Every 400-byte window owns one anchor, the least hashed 32-byte gram in it
+Every window (400 bytes, if not said otherwise) owns one anchor, the least hashed 32-byte gram in it
 (the leftmost one on ties). The choice depends on the window's bytes alone, so two equal
 windows have equal grams as anchors, at the same distance from their start.
 Consecutive windows mostly share their anchor, so a text has about one anchor
-for every 185 bytes.
+for every 185 bytes (half of the grams that a window holds).
 """
 
 from __future__ import annotations
@@ -41,15 +41,15 @@ def _sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(suffix[:n - width + 1], prefix[width - 1:n])
 
 
-def owned_windows(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def owned_windows(data: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(gram hash, first window start, number of windows, anchor's distance from it) of each anchor of a text."""
     found = []
     with np.errstate(over="ignore"):
-        for lo in range(0, max(len(data) - WINDOW + 1, 0), _BLOCK):
-            part = np.frombuffer(data, dtype=np.uint8, count=min(_BLOCK + WINDOW - 1, len(data) - lo), offset=lo)
+        for lo in range(0, max(len(data) - window + 1, 0), _BLOCK):
+            part = np.frombuffer(data, dtype=np.uint8, count=min(_BLOCK + window - 1, len(data) - lo), offset=lo)
             hashes = _gram_hashes(part)
             low = np.uint64((1 << _POSITION_BITS) - 1)
-            least = _sliding_min((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), WINDOW - GRAM + 1)
+            least = _sliding_min((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), window - GRAM + 1)
             owner = (least & low).astype(np.int64)
             first = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1))
             count = np.diff(np.concatenate((first, [len(owner)])))

@@ -22,10 +22,10 @@ def brute(texts, width):
     return out
 
 
-def check(docs):
+def check(docs, width=400):
     rows = docs.select("doc_id", "text").collect()
-    want = Counter((r.doc_id, *b) for r, b in zip(rows, brute([r.text for r in rows], 400)))
-    got = Counter(tuple(r) for r in suffix.repeats_report(docs).select(
+    want = Counter((r.doc_id, *b) for r, b in zip(rows, brute([r.text for r in rows], width)))
+    got = Counter(tuple(r) for r in suffix.repeats_report(docs, width).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
     assert got == want
 
@@ -34,6 +34,10 @@ def test_report_matches_brute_force(docs):
     check(docs)
 
 
+def test_narrower_windows_match_too(docs):
+    check(docs, 200)
+
+
 def test_crowded_grams_give_the_same(spark, docs, monkeypatch):
     monkeypatch.setattr(suffix, "FINE_BYTES", 1000)
     monkeypatch.setattr(suffix, "SHARD_BYTES", 4000)
@@ -115,9 +119,9 @@ def test_no_task_holds_a_crowded_core(spark, monkeypatch):
     monkeypatch.setattr(suffix, "FINE_BYTES", 4000)
     deals, by_deal = [], suffix._by_deal
 
-    def watched(pieces):
+    def watched(pieces, window):
         deals.extend(r.b for r in pieces.selectExpr("deal", "octet_length(piece) AS n").groupBy("deal").agg({"n": "sum"}).toDF("deal", "b").collect())
-        return by_deal(pieces)
+        return by_deal(pieces, window)
 
     monkeypatch.setattr(suffix, "_by_deal", watched)
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
