@@ -32,6 +32,14 @@ def _stage(number: int, step: Callable[..., DataFrame]) -> Callable[[SparkSessio
     return run_stage
 
 
+# Passages of over 50 words repeat across documents: no longer than 50 words that are short.
+REPEAT_BYTES = 200
+
+
+def _cut_repeats(docs: DataFrame) -> DataFrame:
+    return suffix.remove_repeats(docs, REPEAT_BYTES)
+
+
 def _pack(docs: DataFrame) -> DataFrame:
     return packing.pack_documents(docs, queries.tokenizer_path("byte_bpe_50k.json"))
 
@@ -39,7 +47,7 @@ def _pack(docs: DataFrame) -> DataFrame:
 STAGES = [(name, _stage(k, step)) for k, (name, step) in enumerate([
     ("quality_rules", quality.filter_documents),
     ("simhash_near_dedup", simhash.deduplicate),
-    ("suffix_array_dedup", suffix.remove_repeats),
+    ("suffix_array_dedup", _cut_repeats),
     ("personal_data", pii.redact),
     ("packing", _pack),
 ])]
