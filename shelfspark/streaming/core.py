@@ -49,8 +49,13 @@ def run_to_table(stream: DataFrame, name: str, output_mode: str = "append", time
         return spark.createDataFrame([], stream.schema)
 
 
+def run_revisions(stream: DataFrame, name: str, timeout_s: int = 1800, base: str | None = None) -> DataFrame:
+    """The rows of every micro-batch with its ``batch_id``; a retried batch overwrites its own folder."""
+    return run_partials(stream, name, lambda df: df, timeout_s, base, numbered=True)
+
+
 def run_partials(stream: DataFrame, name: str, partial: Callable[[DataFrame], DataFrame], timeout_s: int = 1800,
-                 base: str | None = None) -> DataFrame:
+                 base: str | None = None, numbered: bool = False) -> DataFrame:
     """Partial aggregates of every micro-batch as one table, for a final merge.
 
     No event is ever late and no window waits for a watermark: a batch of any
@@ -70,4 +75,5 @@ def run_partials(stream: DataFrame, name: str, partial: Callable[[DataFrame], Da
         raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(out).drop("batch_id")
+    rows = spark.read.parquet(out)
+    return rows if numbered else rows.drop("batch_id")
