@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 
 from shelfspark.session import scratch
 
@@ -21,6 +22,16 @@ def _join(base: str, *parts: str) -> str:
     return "/".join([base.rstrip("/"), *parts])
 
 
+def finish(q: StreamingQuery, name: str, timeout_s: int) -> None:
+    """Wait for a query that ends by itself; its failure, or that it didn't end, is raised."""
+    q.awaitTermination(timeout_s)
+    if q.isActive:
+        q.stop()
+        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
 def run_to_table(stream: DataFrame, name: str, output_mode: str = "append", timeout_s: int = 1800,
                  base: str | None = None) -> DataFrame:
     spark = stream.sparkSession
@@ -37,12 +48,7 @@ def run_to_table(stream: DataFrame, name: str, output_mode: str = "append", time
             df.write.mode("overwrite").parquet(out if output_mode == "complete" else f"{out}/batch_id={epoch_id}")
 
         q = writer.outputMode(output_mode).foreachBatch(write_batch).start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    finish(q, name, timeout_s)
     try:
         return spark.read.schema(stream.schema).parquet(out)
     except AnalysisException:  # the stream emitted no row: no file was written
@@ -69,11 +75,6 @@ def run_partials(stream: DataFrame, name: str, partial: Callable[[DataFrame], Da
         partial(df).write.mode("overwrite").parquet(f"{out}/batch_id={epoch_id}")
 
     q = stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True).foreachBatch(write_batch).start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    finish(q, name, timeout_s)
     rows = spark.read.parquet(out)
     return rows if numbered else rows.drop("batch_id")
