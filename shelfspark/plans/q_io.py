@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shelfspark.plans.catalog import register
+from shelfspark.plans.catalog import REGISTRY, register
 from shelfspark.plans.oracle import RAW_SQL
-from shelfspark.schemas import RAW_HEADERS
+from shelfspark.schemas import RAW_HEADERS, raw_schema
 from shelfspark.session import scratch
 from shelfspark.sources import adapter as A
+from shelfspark.sources import appends as AP
 from shelfspark.sources import io as IO
 from shelfspark.sources import raw as W
 
@@ -52,12 +54,15 @@ LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS uid FROM users) ui
     notes="SNK-3: user refs resolved (code, id, or none); orphan ids keep a [User: x] note",
 )
 def q_append_activity(spark, d):
-    log = A.activity_log(spark, d)
+    return IO.append_activity(_audit_events(A.activity_log(spark, d)), A.users(spark, d))
+
+
+def _audit_events(log):
+    """Audit rows with the user as a code, an id or none, as the callers give it."""
     ref = (F.when(F.col("action") == "RECORD_SALE", F.lit("WEB_SESSION"))
            .when(F.col("action").isin("LOGIN", "LOGIN_FAILED"), F.format_string("USR%03d", F.col("user_id") + 1))
            .otherwise(F.format_string("%08d-0000-4000-8000-%012d", F.col("log_id"), F.col("user_id"))))
-    ev = log.select("log_id", "action", "details", ref.alias("user_ref"))
-    return IO.append_activity(ev, A.users(spark, d))
+    return log.select("log_id", "action", "details", ref.alias("user_ref"))
 
 
 @register(
@@ -110,3 +115,37 @@ def q_append_readback(spark, d):
     quoted = F.concat(F.lit('say "'), F.col("Item_Name"), F.lit('", ok'))
     IO.append_csv(s.withColumn("Item_Name", quoted).drop("Sold_By"), path, headers)
     return IO.read_raw(spark, path, "SALES_LOG")
+
+
+@register(
+    "append_twice_readback",
+    [(h, "VARCHAR") for h in RAW_HEADERS["SALES_LOG"]],
+    "SELECT * FROM raw_sales",
+    extra_ctes=RAW_SQL,
+    notes="SNK-2 under a batch id: every batch appended twice, one attempt left without its commit; each row counts once",
+)
+def q_append_twice(spark, d):
+    log = AP.AppendLog(spark, scratch(spark, "sales-appends"), raw_schema("SALES_LOG"), "csv")
+    s = W.raw_sales(spark, d)
+    for k in range(3):
+        part = s.where(F.pmod(F.xxhash64("Transaction_ID"), F.lit(3)) == k)
+        log.write_attempt(part, f"part-{k}")  # a job that was lost before its commit
+        log.append(part, f"part-{k}")
+        log.append(part, f"part-{k}")  # a job that was run again after it
+    return log.read()
+
+
+@register(
+    "append_activity_stream",
+    [("log_id", "BIGINT"), ("user_id", "VARCHAR"), ("action", "VARCHAR"), ("details", "VARCHAR")],
+    REGISTRY["append_activity"].oracle_body,
+    notes="SNK-3 as a stream that is run twice without its checkpoint: the batch number keeps the audit rows single",
+)
+def q_append_activity_stream(spark, d):
+    events, root = A.read_stream(spark, d, "events"), scratch(spark, "audit-appends")
+    log = AP.AppendLog(spark, root, T.StructType().add("log_id", "long").add("user_id", "string")
+                       .add("action", "string").add("details", "string"))
+    for attempt in range(2):
+        AP.run_appends(A.activity_log(spark, d, events=events), log, "audit", f"{root}/checkpoint-{attempt}",
+                       prepare=lambda df: IO.append_activity(_audit_events(df), A.users(spark, d)))
+    return log.read()
