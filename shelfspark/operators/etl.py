@@ -35,6 +35,11 @@ def _present(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
+def _no_key(rows: DataFrame) -> Column:
+    """A text that is no key, from a hash of the whole row: rows without a key spread over all partitions of a join."""
+    return F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).cast("string"))
+
+
 def _codes_complete(raw: DataFrame, col: str) -> bool:
     """Every raw row carries a code: then no numbering is needed. A scan of
     one column (pruned), instead of checking the loaded frame."""
@@ -61,13 +66,19 @@ def _load_seq(raw: DataFrame, code: str) -> Column:
     return F.concat(F.lpad(F.regexp_extract(code, "([0-9]+)[^0-9]*$", 1), 20, "0"), F.col(code))
 
 
-def _first_of_code(rows: DataFrame, code: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+def _first_of_code(rows: DataFrame, code: str, order: list[str], raw_codes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, repeats): of the rows that share a non-blank ``code`` the first
-    in ``order`` stays, as a unique key would have it. An aggregate carries
-    the whole row, so a code that many rows share costs one row per task."""
-    coded = rows.where(_present(F.col(code)))
+    in ``order`` stays, as a unique key would have it. ``raw_codes`` holds the codes of the whole input under the same
+    name: its narrow count tells which codes are repeated at all. Only their rows are compared; the
+    others pass by a join on that list (broadcast where small), not through a sort of whole rows. The
+    comparison is an aggregate that carries a row per code and task, so a code that many rows share is no hot group."""
+    shared = raw_codes.where(_present(F.col(code))).groupBy(F.col(code).alias("_code")).count().where("count > 1").select("_code")
+    # Blank codes spread under texts that no code is; the key is never null, so both joins read one shuffle of the rows.
+    keyed = rows.withColumn("_code", F.coalesce(F.when(F.col(code) != "", F.col(code)), _no_key(rows)))
+    single = keyed.join(shared, "_code", "left_anti").select(*rows.columns)
+    coded = keyed.join(shared, "_code", "left_semi").select(*rows.columns)
     first = coded.groupBy(code).agg(F.min_by(F.struct(*rows.columns), F.struct(*order, *rows.columns)).alias("_first")).select("_first.*")
-    return first.unionByName(rows.where(~_present(F.col(code)))), coded.exceptAll(first)
+    return single.unionByName(first), coded.exceptAll(first)
 
 
 # ---------------------------------------------------------------------------
@@ -135,19 +146,19 @@ def resolve_keys(raw: DataFrame, keys: DataFrame, lookups: list[str], out: str)
     """Add ``out`` = id of the first of ``lookups`` (raw columns, in order)
     whose text is a key of ``keys``; NULL when none is.
 
-    Each fallback joins only the rows the previous lookups missed, so the
-    second (name) lookup shuffles the misses, not the whole fact table."""
-    pending = raw
-    resolved = None
+    The rows are read once; each fallback is one more left join. Rows that need no lookup (found before, or
+    a blank cell) go under a text that no key is, from a hash of the whole row, so that they spread over the
+    partitions where the join shuffles."""
+    nothing = _no_key(raw)
+    df = raw
     for i, c in enumerate(lookups):
-        k = keys.select(F.col("_k").alias("_lk"), F.col("_id").alias(out))
-        j = pending.join(k, F.col(c) == F.col("_lk"), "left").drop("_lk")
-        last = i == len(lookups) - 1
-        hit = j if last else j.where(F.col(out).isNotNull())
-        resolved = hit if resolved is None else resolved.unionByName(hit)
-        if not last:
-            pending = j.where(F.col(out).isNull()).drop(out)
-    return resolved
+        ask = _present(F.col(c)) if i == 0 else F.col("_id0").isNull() & _present(F.col(c))
+        k = keys.select(F.col("_k").alias("_lk"), F.col("_id").alias("_id1"))
+        df = df.withColumn("_ask", F.when(ask, F.col(c)).otherwise(nothing))
+        df = df.join(k, F.col("_ask") == F.col("_lk"), "left")
+        found = F.col("_id1") if i == 0 else F.coalesce("_id0", "_id1")
+        df = df.select(*[F.col(f"`{n}`") for n in raw.columns], found.alias("_id0"))
+    return df.withColumnRenamed("_id0", out)
 
 
 # ---------------------------------------------------------------------------
@@ -160,19 +171,19 @@ def _coded(typed: DataFrame, bad: DataFrame, raw: DataFrame, code: str, raw_code
            existing: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Repeated codes go to the rejects; blank codes continue after the
     highest code of the target table (``existing``) and of the batch."""
-    typed, repeats = _first_of_code(typed, code, ["_seq"])
     if raw_code in raw.columns:
+        typed, repeats = _first_of_code(typed, code, ["_seq"], raw.select(F.col(raw_code).alias(code)))
         again = repeats.select(F.col(code).alias(raw_code), F.lit(REASON_DUPLICATE).alias("reject_reason"))
         bad = bad.unionByName(again, allowMissingColumns=True)
     known = typed.select(code) if existing is None else existing.select(code).unionByName(typed.select(code))
     return assign_codes(typed, code, known, prefix, ["_seq"], complete=_codes_complete(raw, raw_code)), bad
 
 
-def _refuse_repeats(good: DataFrame, bad: DataFrame, code: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+def _refuse_repeats(good: DataFrame, bad: DataFrame, raw: DataFrame, code: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """The first row of each code in the raw columns' ``order``; the others are rejected whole."""
     if code not in good.columns:
         return good, bad
-    good, repeats = _first_of_code(good, code, [c for c in order if c in good.columns])
+    good, repeats = _first_of_code(good, code, [c for c in order if c in good.columns], raw.select(code))
     return good, bad.unionByName(repeats.withColumn("reject_reason", F.lit(REASON_DUPLICATE)))
 
 
@@ -285,7 +296,7 @@ def load_sales(raw: DataFrame, inventory: DataFrame, users: DataFrame, as_of: dt
         .when(~tm.rlike(r"^\d{1,2}:\d{2}(:\d{2})?$"), "invalid time")
     )
     good, bad = _split(df, reason)
-    good, bad = _refuse_repeats(good, bad, "Transaction_ID", order or ["Date", "Time", "Item_ID", "Item_Name", "Quantity_Sold", "Unit_Price"])
+    good, bad = _refuse_repeats(good, bad, raw, "Transaction_ID", order or ["Date", "Time", "Item_ID", "Item_Name", "Quantity_Sold", "Unit_Price"])
     typed = good.select(
         F.coalesce(F.when(_present(_cell(good, "Transaction_ID")), _cell(good, "Transaction_ID")), F.lit("")).alias(
             "transaction_code"
@@ -327,7 +338,7 @@ def load_orders(raw: DataFrame, suppliers: DataFrame, inventory: DataFrame, as_o
         .when((status == "Received") != received.isNotNull(), "received date does not match status")
     )
     good, bad = _split(df, reason)
-    good, bad = _refuse_repeats(good, bad, "Order_ID", order or ["Date_Ordered", "Item_ID", "Quantity_Ordered"])
+    good, bad = _refuse_repeats(good, bad, raw, "Order_ID", order or ["Date_Ordered", "Item_ID", "Quantity_Ordered"])
     typed = good.select(
         F.coalesce(F.when(_present(_cell(good, "Order_ID")), _cell(good, "Order_ID")), F.lit("")).alias("order_code"),
         F.coalesce(clean_date(_cell(good, "Date_Ordered", "")), F.lit(as_of)).alias("date_ordered"),
