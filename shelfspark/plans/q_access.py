@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from shelfspark.operators import access as X
 from shelfspark.operators import etl as E
+from shelfspark.operators import search as SE
 from shelfspark.operators import sessions as S
 from shelfspark.plans.catalog import AS_OF, AS_OF_SQL, M2, register
 from shelfspark.plans.oracle import RAW_SQL, clean_date_sql
+from shelfspark.session import scratch
 from shelfspark.sources import adapter as A
 from shelfspark.sources import raw as W
 
@@ -51,6 +53,24 @@ def q_text_match(spark, d):
     return X.text_match(A.inventory(spark, d), TEXT_TERMS).select("item_code", "item_name", "description")
 
 
+@register(
+    "text_search_stems",
+    [("item_id", "BIGINT"), ("item_code", "VARCHAR"), ("item_name", "VARCHAR"), ("n_words", "BIGINT")],
+    """
+SELECT item_id, item_code, item_name, economies + polishes AS n_words FROM (
+  SELECT *, len(list_filter(toks, lambda t: t IN ('economy', 'economies'))) AS economies,
+         len(list_filter(toks, lambda t: t IN ('polish', 'polishes', 'polished', 'polishing'))) AS polishes
+  FROM (SELECT *, regexp_split_to_array(lower(concat_ws(' ', item_name, COALESCE(description, ''))), '[^\\p{L}\\p{N}]+') AS toks
+        FROM inventory) t) n
+WHERE economies > 0 AND polishes > 0""",
+    notes="FLT-2 with stems: an inverted index written in buckets, the query's stems read from it",
+)
+def q_text_search_stems(spark, d):
+    items = A.inventory(spark, d)
+    path = SE.write_index(items, f"{scratch(spark, 'text-index')}/postings")
+    return SE.search(items, path, "the economies, polishing").select("item_id", "item_code", "item_name", "n_words")
+
+
 @register(
     "stock_status",
     [("item_code", "VARCHAR"), ("quantity_in_stock", "INTEGER"), ("min_stock_level", "INTEGER"),
