@@ -13,8 +13,9 @@ reload is deterministic; the reference's UUIDs carry no information.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.clean import clean_date, clean_int, clean_money, code_number, format_code
@@ -66,19 +67,21 @@ def _load_seq(raw: DataFrame, code: str) -> Column:
     return F.concat(F.lpad(F.regexp_extract(code, "([0-9]+)[^0-9]*$", 1), 20, "0"), F.col(code))
 
 
-def _first_of_code(rows: DataFrame, code: str, order: list[str], raw_codes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, repeats): of the rows that share a non-blank ``code`` the first
-    in ``order`` stays, as a unique key would have it. ``raw_codes`` holds the codes of the whole input under the same
-    name: its narrow count tells which codes are repeated at all. Only their rows are compared; the
-    others pass by a join on that list (broadcast where small), not through a sort of whole rows. The
-    comparison is an aggregate that carries a row per code and task, so a code that many rows share is no hot group."""
-    shared = raw_codes.where(_present(F.col(code))).groupBy(F.col(code).alias("_code")).count().where("count > 1").select("_code")
-    # Blank codes spread under texts that no code is; the key is never null, so both joins read one shuffle of the rows.
-    keyed = rows.withColumn("_code", F.coalesce(F.when(F.col(code) != "", F.col(code)), _no_key(rows)))
-    single = keyed.join(shared, "_code", "left_anti").select(*rows.columns)
-    coded = keyed.join(shared, "_code", "left_semi").select(*rows.columns)
-    first = coded.groupBy(code).agg(F.min_by(F.struct(*rows.columns), F.struct(*order, *rows.columns)).alias("_first")).select("_first.*")
-    return single.unionByName(first), coded.exceptAll(first)
+def _nth_of_code(rows: DataFrame, code: str, order: list[str], counts: Column) -> DataFrame:
+    """``rows`` with ``_nth``, a row's place in ``order`` among the counting rows of its non-blank ``code``; every
+    other row is the first of a key of its own, so that they spread over the partitions."""
+    alone = F.when(counts & _present(F.col(code)), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    nth = F.row_number().over(Window.partitionBy(code, "_alone").orderBy(*order, *rows.columns))
+    return rows.withColumn("_alone", alone).withColumn("_nth", nth).drop("_alone")
+
+
+def _first_of_code(rows: DataFrame, code: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, repeats): of the rows that share a non-blank ``code`` the first in ``order`` stays, as a unique key would
+    have it. The rows are read and shuffled once. For those that stay Spark keeps a row per code and task before the
+    shuffle (a limit per group), so a code that many rows share is no hot group; the repeats come from a sort of
+    its rows, which spills."""
+    numbered = _nth_of_code(rows, code, order, F.lit(True))
+    return numbered.where("_nth = 1").drop("_nth"), numbered.where("_nth > 1").drop("_nth")
 
 
 # ---------------------------------------------------------------------------
@@ -135,10 +138,8 @@ def key_table(dim: DataFrame, id_col: str, key_cols: list[str], seq: str) -> Dat
     """(key, id) for every non-blank value of ``key_cols``; a key that
     several rows share maps to the last row in ``seq`` order (later
     duplicates of a name overwrite earlier ones, as the reference's dict)."""
-    parts = None
-    for k in key_cols:
-        p = dim.where(_present(F.col(k))).select(F.col(k).alias("_k"), F.col(id_col).alias("_id"), F.col(seq).alias("_seq"))
-        parts = p if parts is None else parts.unionByName(p)
+    texts = F.explode(F.array(*[F.col(k) for k in key_cols])).alias("_k")
+    parts = dim.select(texts, F.col(id_col).alias("_id"), F.col(seq).alias("_seq")).where(_present(F.col("_k")))
     return parts.groupBy("_k").agg(F.max_by("_id", "_seq").alias("_id"))
 
 
@@ -146,19 +147,26 @@ def resolve_keys(raw: DataFrame, keys: DataFrame, lookups: list[str], out: str)
     """Add ``out`` = id of the first of ``lookups`` (raw columns, in order)
     whose text is a key of ``keys``; NULL when none is.
 
-    The rows are read once; each fallback is one more left join. Rows that need no lookup (found before, or
-    a blank cell) go under a text that no key is, from a hash of the whole row, so that they spread over the
-    partitions where the join shuffles."""
-    nothing = _no_key(raw)
-    df = raw
-    for i, c in enumerate(lookups):
-        ask = _present(F.col(c)) if i == 0 else F.col("_id0").isNull() & _present(F.col(c))
-        k = keys.select(F.col("_k").alias("_lk"), F.col("_id").alias("_id1"))
-        df = df.withColumn("_ask", F.when(ask, F.col(c)).otherwise(nothing))
-        df = df.join(k, F.col("_ask") == F.col("_lk"), "left")
-        found = F.col("_id1") if i == 0 else F.coalesce("_id0", "_id1")
-        df = df.select(*[F.col(f"`{n}`") for n in raw.columns], found.alias("_id0"))
-    return df.withColumnRenamed("_id0", out)
+    A row asks under its first cell that has text, in one left join for all. Only rows whose text was no key and that have
+    another cell ask again; the others pass by, so a fallback shuffles the rows that need it and no more. Rows that ask
+    nothing go under a text that no key is, from a hash of the whole row, and spread over the partitions."""
+    nothing, cells = _no_key(raw), [F.col(f"`{c}`") for c in raw.columns]
+    asks = [F.when(_present(F.col(c)), F.col(c)) for c in lookups]
+    left, done = raw, []
+    for i in range(len(lookups)):
+        # The i-th cell that has text; the rows of a later round have one.
+        ask = F.coalesce(*asks, nothing) if i == 0 else F.coalesce(F.get(F.array_compact(F.array(*asks)), F.lit(i)), nothing)
+        k = keys.select(F.col("_k").alias("_lk"), F.col("_id").alias("_id0"))
+        found = left.join(k, ask == F.col("_lk"), "left").select(*cells, "_id0")
+        if i + 1 == len(lookups):
+            done.append(found)
+            break
+        # One value of both sides: as a plain condition its half on the raw cells would be pushed below the shuffle, and
+        # the two branches could not read the same one.
+        again = F.greatest((F.col("_id0").isNull() & (F.size(F.array_compact(F.array(*asks))) > i + 1)).cast("int"), F.lit(0))
+        done.append(found.where(again == 0))
+        left = found.where(again == 1).select(*cells)
+    return reduce(DataFrame.unionByName, done).withColumnRenamed("_id0", out)
 
 
 # ---------------------------------------------------------------------------
@@ -172,19 +180,24 @@ def _coded(typed: DataFrame, bad: DataFrame, raw: DataFrame, code: str, raw_code
     """Repeated codes go to the rejects; blank codes continue after the
     highest code of the target table (``existing``) and of the batch."""
     if raw_code in raw.columns:
-        typed, repeats = _first_of_code(typed, code, ["_seq"], raw.select(F.col(raw_code).alias(code)))
+        typed, repeats = _first_of_code(typed, code, ["_seq"])
         again = repeats.select(F.col(code).alias(raw_code), F.lit(REASON_DUPLICATE).alias("reject_reason"))
         bad = bad.unionByName(again, allowMissingColumns=True)
     known = typed.select(code) if existing is None else existing.select(code).unionByName(typed.select(code))
     return assign_codes(typed, code, known, prefix, ["_seq"], complete=_codes_complete(raw, raw_code)), bad
 
 
-def _refuse_repeats(good: DataFrame, bad: DataFrame, raw: DataFrame, code: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The first row of each code in the raw columns' ``order``; the others are rejected whole."""
-    if code not in good.columns:
-        return good, bad
-    good, repeats = _first_of_code(good, code, [c for c in order if c in good.columns], raw.select(code))
-    return good, bad.unionByName(repeats.withColumn("reject_reason", F.lit(REASON_DUPLICATE)))
+def _split_first(df: DataFrame, reason: Column, code: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """As `_split`, and of the good rows the first of each code in the raw columns' ``order``; the others are rejected
+    whole."""
+    if code not in df.columns:
+        return _split(df, reason)
+    order = [c for c in order if c in df.columns]
+    good, _ = _split(df, reason)
+    fine = F.col("reject_reason").isNull()
+    told = _nth_of_code(df.withColumn("reject_reason", reason), code, order, fine)
+    bad = told.where(~fine | (F.col("_nth") > 1)).drop("_nth")
+    return _first_of_code(good, code, order)[0], bad.withColumn("reject_reason", F.coalesce("reject_reason", F.lit(REASON_DUPLICATE)))
 
 
 def load_suppliers(raw: DataFrame, existing: DataFrame | None = None, seq: str = "Supplier_ID") -> tuple[DataFrame, DataFrame]:
@@ -283,7 +296,6 @@ def load_sales(raw: DataFrame, inventory: DataFrame, users: DataFrame, as_of: dt
     item_keys = key_table(inventory, "item_id", ["item_code", "item_name"], "_seq")
     user_keys = key_table(users, "user_id", ["user_code", "username"], "_seq")
     df = resolve_keys(raw, item_keys, ["Item_ID", "Item_Name"], "_res_item")
-    df = resolve_keys(df, user_keys, ["Sold_By"], "_res_seller")
     qty = clean_int(_cell(df, "Quantity_Sold", "0"))
     price = clean_money(_cell(df, "Unit_Price", "0"))
     pay = _cell(df, "Payment_Method", "Cash")
@@ -295,8 +307,7 @@ def load_sales(raw: DataFrame, inventory: DataFrame, users: DataFrame, as_of: dt
         .when(~pay.isin(*PAYMENT_METHODS), "invalid payment method")
         .when(~tm.rlike(r"^\d{1,2}:\d{2}(:\d{2})?$"), "invalid time")
     )
-    good, bad = _split(df, reason)
-    good, bad = _refuse_repeats(good, bad, raw, "Transaction_ID", order or ["Date", "Time", "Item_ID", "Item_Name", "Quantity_Sold", "Unit_Price"])
+    good, bad = _split_first(df, reason, "Transaction_ID", order or ["Date", "Time", "Item_ID", "Item_Name", "Quantity_Sold", "Unit_Price"])
     typed = good.select(
         F.coalesce(F.when(_present(_cell(good, "Transaction_ID")), _cell(good, "Transaction_ID")), F.lit("")).alias(
             "transaction_code"
@@ -308,8 +319,10 @@ def load_sales(raw: DataFrame, inventory: DataFrame, users: DataFrame, as_of: dt
         price.alias("unit_price"),
         (qty * price).cast("decimal(12,2)").alias("total_amount"),
         pay.alias("payment_method"),
-        F.col("_res_seller").alias("sold_by"),
+        _cell(good, "Sold_By").alias("_seller"),
     )
+    # The sellers last, when the rows are few and narrow.
+    typed = resolve_keys(typed, user_keys, ["_seller"], "sold_by").drop("_seller")
     known = typed if existing is None else existing.select("transaction_code").unionByName(typed.select("transaction_code"))
     typed = assign_codes(
         typed, "transaction_code", known.select("transaction_code"), "TXN",
@@ -337,8 +350,7 @@ def load_orders(raw: DataFrame, suppliers: DataFrame, inventory: DataFrame, as_o
         .when(~status.isin(*ORDER_STATUSES), "invalid status")
         .when((status == "Received") != received.isNotNull(), "received date does not match status")
     )
-    good, bad = _split(df, reason)
-    good, bad = _refuse_repeats(good, bad, raw, "Order_ID", order or ["Date_Ordered", "Item_ID", "Quantity_Ordered"])
+    good, bad = _split_first(df, reason, "Order_ID", order or ["Date_Ordered", "Item_ID", "Quantity_Ordered"])
     typed = good.select(
         F.coalesce(F.when(_present(_cell(good, "Order_ID")), _cell(good, "Order_ID")), F.lit("")).alias("order_code"),
         F.coalesce(clean_date(_cell(good, "Date_Ordered", "")), F.lit(as_of)).alias("date_ordered"),

@@ -136,17 +136,26 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sales_log(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """One sale per line item. ``lineitem`` may be a streaming frame (then
     this is a stream-static join with orders)."""
-    pk = F.col("l_partkey")
+    return sale_columns(sale_lines(spark, sf_dir, lineitem))
+
+
+def sale_lines(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """Line items with their order, in the tables' own narrow columns: further joins go here, before the texts are made."""
     li = lineitem if lineitem is not None else _read(spark, sf_dir, "lineitem")
     od = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    j = li.join(od, li.l_orderkey == od.o_orderkey, "inner")
+    return li.join(od, li.l_orderkey == od.o_orderkey, "inner")
+
+
+def sale_columns(lines: DataFrame, *others: str) -> DataFrame:
+    """The sales of `sale_lines`, with ``others`` of their columns."""
+    pk = F.col("l_partkey")
     qty = F.col("l_quantity").cast("int")
     unit_cents = F.floor(F.round(F.col("l_extendedprice") * 100) / F.col("l_quantity"))
     unit_price = cents_to_money(unit_cents, "decimal(10,2)")
     ok = F.col("l_orderkey")
     ln = F.col("l_linenumber")
     prio = F.col("o_orderpriority")
-    return j.select(
+    return lines.select(
         ok.alias("transaction_id"),
         F.format_string("TXN%08d-%02d", ok, ln).alias("transaction_code"),
         F.col("o_orderdate").cast("date").alias("sale_date"),
@@ -163,15 +172,29 @@ def sales_log(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = Non
         F.when(F.col("o_custkey") % 11 != 0, F.col("o_custkey")).alias("sold_by"),
         F.lit(None).cast("string").alias("notes"),
         ln.alias("line_no"),
+        *others,
     )
 
 
 def restock_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One restock order per line item."""
+    return order_columns(order_lines(spark, sf_dir))
+
+
+def order_lines(spark: SparkSession, sf_dir: str, suppliers: DataFrame | None = None) -> DataFrame:
+    """Line items with their order and part, in the tables' own narrow columns, and with what ``suppliers`` (s_key and
+    other columns) say of their supplier, if given."""
     li = _read(spark, sf_dir, "lineitem")
     part = _read(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
     od = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    j = li.join(od, li.l_orderkey == od.o_orderkey).join(part, li.l_partkey == part.p_partkey)
+    j = li.join(od, li.l_orderkey == od.o_orderkey)
+    if suppliers is not None:
+        j = j.join(suppliers, F.col("l_suppkey") == F.col("s_key"), "left")
+    return j.join(part, F.col("l_partkey") == F.col("p_partkey"))
+
+
+def order_columns(lines: DataFrame, *others: str) -> DataFrame:
+    """The restock orders of `order_lines`, with ``others`` of their columns."""
     qty = F.col("l_quantity").cast("int")
     cost = cost_price_expr(selling_price_expr(F.col("p_retailprice")))
     ordered = F.col("o_orderdate").cast("date")
@@ -181,7 +204,7 @@ def restock_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("Received")
     )
     expected = F.date_add(ordered, qty)
-    return j.select(
+    return lines.select(
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("order_id"),
         F.format_string("PO%08d-%02d", F.col("l_orderkey"), F.col("l_linenumber")).alias("order_code"),
         ordered.alias("date_ordered"),
@@ -194,6 +217,7 @@ def restock_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         status.alias("status"),
         F.when(status == "Received", expected).alias("date_received"),
         F.lit(None).cast("string").alias("notes"),
+        *others,
     )
 
 

@@ -94,12 +94,17 @@ def raw_users(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    return A.inventory(spark, d).select(F.col("item_id").alias("_item"), "item_code", "item_name")
+
+
 def raw_sales(spark: SparkSession, d: str) -> DataFrame:
-    s = A.sales_log(spark, d)
-    names = A.inventory(spark, d).select("item_id", "item_code", "item_name")
+    # The names join the lines before the sales' texts are made, so that the shuffle by item moves narrow rows.
+    lines = A.sale_lines(spark, d).join(_names(spark, d), F.col("l_partkey") == F.col("_item"), "left")
+    s = A.sale_columns(lines, "item_code", "item_name")
     t = F.col("transaction_id") + F.col("line_no")
     q = F.col("quantity_sold")
-    return s.join(names, "item_id", "left").select(
+    return s.select(
         F.when(t % 5 == 0, F.date_format("sale_date", "M/d/yyyy"))
         .otherwise(F.date_format("sale_date", "yyyy-MM-dd"))
         .alias("Date"),
@@ -120,11 +125,11 @@ def raw_sales(spark: SparkSession, d: str) -> DataFrame:
 
 
 def raw_orders(spark: SparkSession, d: str) -> DataFrame:
-    o = A.restock_orders(spark, d)
-    names = A.inventory(spark, d).select("item_id", "item_code", "item_name")
-    sup = A.suppliers(spark, d).select("supplier_id", "supplier_name")
+    sup = A.suppliers(spark, d).select(F.col("supplier_id").alias("s_key"), "supplier_name")
+    lines = A.order_lines(spark, d, sup).join(_names(spark, d), F.col("l_partkey") == F.col("_item"), "left")
+    o = A.order_columns(lines, "supplier_name", "item_code", "item_name")
     k = F.col("order_id")
-    return o.join(names, "item_id", "left").join(sup, "supplier_id", "left").select(
+    return o.select(
         F.col("order_code").alias("Order_ID"),
         _date_text(F.col("date_ordered"), k).alias("Date_Ordered"),
         _s(F.col("supplier_name")).alias("Supplier_Name"),

@@ -154,3 +154,28 @@ def test_conflicting_updates(spark):
     assert sorted(tuple(r) for r in L.apply_updates(base, changes, "k", order="at").collect()) == [(1, "y", 8), (2, "b", 6)]
     with pytest.raises(Exception, match="several changes"):
         L.apply_updates(base, changes.drop("at"), "k").collect()
+
+
+def test_loaders_shuffle_rows_once_a_lookup_and_once_for_repeats(spark):
+    """Repeats cost no second reading of the input, and a fallback lookup moves the rows that need it only."""
+    inv = spark.createDataFrame([("ITM001", "Bag", "ITM001"), ("ITM002", "Belt", "ITM002")],
+                                "item_code string, item_name string, _seq string").withColumn("item_id", F.col("item_code"))
+    usr = spark.createDataFrame([("USR001", "ann", "USR001")], "user_code string, username string, _seq string") \
+        .withColumn("user_id", F.col("user_code"))
+    raw = spark.createDataFrame(
+        [("T1", "2026-01-17", f"{10 + n % 9}:00:00", "ITM001", "Bag", str(n % 3), "5", "Cash", "ann") for n in range(60)]
+        + [("T2", "2026-01-17", "10:00:00", "gone", "Belt", "1", "5", "Cash", "nobody")] * 2
+        + [("T3", "2026-01-17", "10:00:00", "ITM002", "Bag", "1", "5", "Cash", None)]
+        + [(c, "2026-01-17", "10:00:00", "", "Belt", "1", "5", "Cash", "") for c in ("", "", None)],
+        "Transaction_ID string, Date string, Time string, Item_ID string, Item_Name string, Quantity_Sold string, "
+        "Unit_Price string, Payment_Method string, Sold_By string")
+    good, bad = E.load_sales(raw, inv, usr, AS_OF)
+    got = sorted((r.transaction_code, r.sale_time, r.item_id, r.quantity_sold, r.sold_by) for r in good.collect())
+    assert [g for g in got if g[0] in ("T1", "T2", "T3")] == [
+        ("T1", "11:00:00", "ITM001", 1, "USR001"), ("T2", "10:00:00", "ITM002", 1, None), ("T3", "10:00:00", "ITM002", 1, None)]
+    assert len(got) == 6 and len({g[0] for g in got}) == 6  # blank codes are numbered, not repeats
+    why = {(r.Transaction_ID, r.reject_reason): r["count"] for r in bad.groupBy("Transaction_ID", "reject_reason").count().collect()}
+    assert why == {("T1", "invalid quantity"): 20, ("T1", "duplicate code"): 39, ("T2", "duplicate code"): 1}
+    rows = raw.where("Transaction_ID <> ''")
+    plan = E.load_sales(rows, inv, usr, AS_OF)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in plan and "LeftSemi" not in plan and "WindowGroupLimit" in plan
