@@ -6,6 +6,9 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+sys.path.insert(0, os.path.join(ROOT, "tests"))
+
+from helpers import prose, rows  # noqa: E402, F401
 
 
 @pytest.fixture(scope="session")
@@ -18,9 +21,3 @@ def spark():
     s.sparkContext.setCheckpointDir(ckpt)
     yield s
     s.stop()
-
-
-def rows(df, *cols):
-    """Collected rows as sorted tuples (small test frames only)."""
-    cols = cols or tuple(df.columns)
-    return sorted(tuple(r[c] for c in cols) for r in df.select(*cols).collect())

@@ -1,13 +1,7 @@
 import random
 
 import pytest
-
-WORDS = "the of and to in ouent thion resty anche blent orist ening voste larne quist pedra".split()
-
-
-def prose(rng: random.Random, n: int) -> str:
-    """Invented prose of n words."""
-    return " ".join(rng.choice(WORDS) + rng.choice(["", "", "ly", "ed", str(rng.randrange(50))]) for _ in range(n))
+from helpers import prose, rows  # noqa: F401
 
 
 @pytest.fixture(scope="session")
