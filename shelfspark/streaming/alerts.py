@@ -9,6 +9,7 @@ nothing is taken back, whatever the order of events within ``delay``.
 
 * State: stretches lie 23 h 50 min apart, and those behind the watermark are gone once their fate is known; a user
   has one for each day of ``delay`` at most, not one per event.
+* Users come in groups by hash, with one call and one state row a group; its timer is that of the user due first.
 * Hot users: before the shuffle, each task joins its events of a user to stretches, batch by batch; the user's
   group sees those.
 * Time passes with any row, also one without a user (a heartbeat). Rows without a time are left out.
@@ -31,7 +32,11 @@ from shelfspark.operators.sessions import GAP_SECONDS, WARN_SECONDS
 
 NOBODY = -(1 << 62)  # the user of a row that has none
 STRETCH = "user_id long, first long, last long, events long"
-STATE = "first array<long>, last array<long>, events array<long>, warned boolean, start long, before long"
+# Of each user of a group: what has come due, and how many stretches of the three long lists are the user's.
+STATE = ("user array<long>, warned array<boolean>, start array<long>, before array<long>, size array<long>, "
+         "first array<long>, last array<long>, events array<long>")
+GROUPS = 1024  # groups of users that share a call, a state row and a timer; part of a checkpoint
+NO_GROUP = -1  # of rows without a user
 ALERT = "user_id long, kind string, at long, start long, last long, events long"
 
 Stretch = tuple[int, int, int]  # first and last activity in microseconds, number of events
@@ -88,29 +93,59 @@ def _stretches(quiet_us: int) -> Callable:
     return of
 
 
+User = tuple[list[Stretch], bool, int | None, int]  # stretches, warned of the first, its session's start and earlier events
+
+
+def unpack(state: tuple) -> dict[int, User]:
+    """The users of a group's state row."""
+    user, warned, start, before, size, first, last, events = [list(c) for c in state]
+    stretches, held, at = list(zip(map(int, first), map(int, last), map(int, events))), {}, 0
+    for u, w, s, b, n in zip(user, warned, start, before, size):
+        held[int(u)] = stretches[at:at + int(n)], bool(w), None if s == NOBODY else int(s), int(b)
+        at += int(n)
+    return held
+
+
+def pack(held: dict[int, User]) -> tuple:
+    """The state row of a group's users."""
+    flat = [stretch for stretches, _, _, _ in held.values() for stretch in stretches]
+    return (list(held), [w for _, w, _, _ in held.values()], [NOBODY if s is None else s for _, _, s, _ in held.values()],
+            [b for _, _, _, b in held.values()], [len(x) for x, _, _, _ in held.values()],
+            *[[stretch[k] for stretch in flat] for k in range(3)])
+
+
 def _step(quiet_us: int, gap_us: int) -> Callable:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fresh: list[Stretch] = []
+        fresh: dict[int, list[Stretch]] = {}
         for pdf in batches:
-            fresh = join_stretches(fresh + list(zip(pdf["first"].tolist(), pdf["last"].tolist(), pdf["events"].tolist())), quiet_us)
-        if key[0] == NOBODY:
+            if key[0] == NO_GROUP:
+                continue
+            new: dict[int, list[Stretch]] = {}
+            for u, *stretch in zip(*[pdf[c].tolist() for c in ("user_id", "first", "last", "events")]):
+                new.setdefault(u, []).append(tuple(stretch))
+            for u, stretches in new.items():
+                fresh[u] = join_stretches(fresh.get(u, []) + stretches, quiet_us)
+        if key[0] == NO_GROUP:
             return
-        old, warned, start, before = [], False, None, 0
-        if state.exists:
-            first, last, events, warned, start, before = state.get
-            old, warned, before = list(zip(*[[int(v) for v in a] for a in (first, last, events)])), bool(warned), int(before)
-            start = None if start is None or pd.isna(start) else int(start)
+        held = unpack(state.get) if state.exists else {}
         now = state.getCurrentWatermarkMs() * 1000
-        alerts, left, warned, start, before = due(
-            join_stretches(old + fresh, quiet_us), warned, start, before, now, quiet_us, gap_us)
+        rows, left, soonest = [], {}, None
+        for u in held.keys() | fresh.keys():
+            old, warned, start, before = held.get(u, ([], False, None, 0))
+            known = join_stretches(old + fresh[u], quiet_us) if u in fresh else old
+            alerts, ahead, warned, start, before = due(known, warned, start, before, now, quiet_us, gap_us)
+            rows += [(u, *alert) for alert in alerts]
+            if ahead:
+                left[u] = ahead, warned, start, before
+                at = ahead[0][1] + (gap_us if warned else quiet_us)
+                soonest = at if soonest is None else min(soonest, at)
         if left:
-            first, last, events = [list(c) for c in zip(*left)]
-            state.update((first, last, events, warned, start, before))
-            state.setTimeoutTimestamp(-(-(left[0][1] + (gap_us if warned else quiet_us)) // 1000))
+            state.update(pack(left))
+            state.setTimeoutTimestamp(-(-soonest // 1000))
         elif state.exists:
             state.remove()
-        kind, at, begun, last, n = [list(c) for c in zip(*alerts)] or [[]] * 5
-        yield pd.DataFrame({"user_id": np.full(len(kind), key[0], "int64"), "kind": pd.Series(kind, dtype=object),
+        users, kind, at, begun, last, n = [list(c) for c in zip(*rows)] or [[]] * 6
+        yield pd.DataFrame({"user_id": np.asarray(users, "int64"), "kind": pd.Series(kind, dtype=object),
                             **{c: np.asarray(v, "int64") for c, v in (("at", at), ("start", begun), ("last", last), ("events", n))}})
 
     return step
@@ -127,7 +162,8 @@ def stream_session_alerts(activity: DataFrame, delay: str = "1 day", user: str =
         F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
     seen = events.mapInPandas(_stretches(quiet_us), STRETCH)
     timed = seen.withColumn("until", F.timestamp_micros("last")).withWatermark("until", delay)
-    alerts = timed.groupBy("user_id").applyInPandasWithState(
+    group = F.when(F.col("user_id") == NOBODY, F.lit(NO_GROUP)).otherwise(F.pmod(F.xxhash64("user_id"), F.lit(GROUPS))).cast("int")
+    alerts = timed.withColumn("_group", group).groupBy("_group").applyInPandasWithState(
         _step(quiet_us, gap_us), ALERT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return alerts.select("user_id", "kind", F.timestamp_micros("at").alias("fires_at"),
                          F.timestamp_micros("start").alias("session_start"), F.timestamp_micros("last").alias("last_activity"), "events")

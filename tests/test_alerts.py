@@ -76,3 +76,29 @@ def test_empty_feed(spark):
     spark.createDataFrame([], "user_id long, created_at timestamp").write.mode("append").parquet(os.path.join(src, "x"))
     feed = spark.readStream.schema("user_id long, created_at timestamp").parquet(os.path.join(src, "x"))
     assert run_to_table(AL.stream_session_alerts(feed), "alerts-none").count() == 0
+
+
+def test_users_share_calls_and_a_state_row(spark):
+    held = {5: ([(1, 2, 3), (90, 95, 2)], True, 1, 4), -7: ([(4, 4, 1)], False, None, 0)}
+    assert AL.unpack(AL.pack(held)) == held and AL.unpack(AL.pack({})) == {}
+
+    class State:
+        exists, get, timeout = False, None, None
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def setTimeoutTimestamp(self, ms):
+            self.timeout = ms
+
+    import pandas as pd
+
+    state, hour = State(), 3_600_000_000
+    pdf = pd.DataFrame({"user_id": [1, 2, 1], "first": [5 * hour, hour, hour], "last": [6 * hour, 2 * hour, 4 * hour], "events": [2, 3, 4]})
+    out = list(AL._step(20 * hour, 24 * hour)((3,), iter([pdf]), state))
+    assert sum(map(len, out)) == 0
+    assert AL.unpack(state.get) == {1: ([(hour, 6 * hour, 6)], False, None, 0), 2: ([(hour, 2 * hour, 3)], False, None, 0)}
+    assert state.timeout == 22 * 3_600_000  # the user due first
