@@ -6,12 +6,14 @@ that frequent if the shorter ones in it are, so each order counts extensions of
 one's arcs only.
 
 Texts are dealt in chunks of a bounded number of tokens. A chunk lists each of its words,
-pairs and so on once, with how often its training texts have it; one row per chunk and n-gram
-is shuffled, summed over the chunks, and the arcs go back to the chunks that listed them.
-So no task holds the vocabulary or the automaton, only the arcs that a chunk's texts meet.
-An n-gram's identity is its smallest row number, so words travel once; what is seen once
-is not sent back, as a chunk knows it by its absence. Pairs with a word seen once are seen once
-themselves and only counted.
+pairs and so on once, with how often its training texts have it, and deals the list by hash to
+buckets. A row is a chunk's list for one bucket, sorted, as differences in byte planes, so an n-gram
+travels in a few bytes and not as a row of its own. Per bucket the lists are summed, and a row a chunk
+goes back with which of its n-grams have arcs, their counts and numbers. So no task holds the
+vocabulary or the automaton, only a bucket of it or the arcs that a chunk's texts meet.
+A word or n-gram with an arc is numbered within its bucket; a longer n-gram's key is made of its history's
+and its last word's numbers by a one-to-one mapping, so counts are exact. Pairs with a word
+seen once are seen once themselves and only counted.
 
 Probabilities are interpolated absolute discounting, with each order's discount from
 its counts of counts: an arc (h, w) has (c(hw) - D) / c(h) + g(h) P(w | h'), and g(h), the
@@ -31,17 +33,17 @@ is that of the one unseen word, 1; only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import drop_written, text_of, written
+from shelfspark.llm.common import partitions_for, text_of, written
 from shelfspark.llm.simhash import _LOWER
 
 ORDER = 3
@@ -49,7 +51,9 @@ LEAST = 2  # occurrences that give an n-gram of two words or more an arc
 END = b""  # no word is empty
 HELD_OUT, OF = 2, 7
 CHUNK_TOKENS = 1 << 20  # a longer text is a chunk of its own
-CHUNK_BITS, ROW_BITS = 14, 31  # of a row number: the task's chunk, the place in the chunk's list
+CHUNK_BITS = 14  # of a chunk's number: its place in the task
+BUCKET_TOKENS = 1 << 22  # a bucket has a list entry for each of so many tokens at most, on average
+SPREAD = 0x9E3779B97F4A7C15  # odd: multiplying by it maps the keys of any number of bits one to one
 
 
 def held_out(doc_id: Column) -> Column:
@@ -65,19 +69,86 @@ def discount(ones: int, twos: int) -> float:
     return (ones + 0.5) / (ones + 2 * twos + 1)
 
 
-# -------------------------------------------------------------------- chunks
+# ------------------------------------------------------------------- packing
+
+def packed(values: np.ndarray) -> bytes:
+    """Integers from 0 on as compressed byte planes, the lowest first."""
+    values = np.ascontiguousarray(values, dtype="<u8")
+    width = (int(values.max(initial=0)).bit_length() + 7) // 8
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(values).to_bytes(6, "little") + bytes([width]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n, width = int.from_bytes(data[:6], "little"), data[6]
+    out = np.zeros((n, 8), dtype=np.uint8)
+    if n and width:
+        planes = pa.decompress(data[7:], decompressed_size=n * width, codec="zstd", asbytes=True)
+        out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
+    return out.view("<i8").ravel()
+
+
+def packed_sorted(values: np.ndarray) -> bytes:
+    """Integers that mostly rise, by their differences (a falling one costs space only)."""
+    steps = np.diff(values, prepend=values[:1])
+    return int(values[0] if len(values) else 0).to_bytes(8, "little") + packed(steps << 1 ^ steps >> 63)
+
+
+def unpacked_sorted(data: bytes) -> np.ndarray:
+    steps = unpacked(data[8:])
+    return int.from_bytes(data[:8], "little") + np.cumsum(steps >> 1 ^ -(steps & 1))
+
+
+def joined(words: list[bytes]) -> bytes:
+    text = b"\n".join(words)
+    return len(text).to_bytes(6, "little") + pa.compress(text, codec="zstd", asbytes=True)
+
 
-_CHUNKS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("ids", pa.list_(pa.int32())),
-                     ("word", pa.binary()), ("n", pa.int64())])
+def split(data: bytes) -> list[bytes]:
+    size = int.from_bytes(data[:6], "little")
+    return pa.decompress(data[6:], decompressed_size=size, codec="zstd", asbytes=True).split(b"\n") if size else [END]
 
 
-def chunk_of(uid: Column) -> Column:
-    return F.shiftright(uid, ROW_BITS).alias("chunk")
+class Keys:
+    """One-to-one keys of (history, word) numbers below the given bounds, spread over buckets in their order."""
+
+    def __init__(self, histories: int, words: int, buckets: int):
+        self.words, self.buckets = words, buckets
+        self.bits = max(1, (histories * words).bit_length())
+        if self.bits > 63:
+            raise ValueError("too many n-grams with arcs for one key of 63 bits")
+        self.back = pow(SPREAD, -1, 1 << 64)
+
+    def _times(self, keys: np.ndarray, factor: int) -> np.ndarray:
+        mask = np.uint64((1 << self.bits) - 1)
+        return (keys.astype(np.uint64) * np.uint64(factor) & mask).astype(np.int64)
+
+    def of(self, history: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return self._times(history * self.words + word, SPREAD)
+
+    def history(self, keys: np.ndarray) -> np.ndarray:
+        return self._times(keys, self.back) // self.words
+
+    def bucket(self, keys: np.ndarray) -> np.ndarray:
+        drop = max(0, self.bits - 32)
+        return (keys >> drop) * self.buckets >> (self.bits - drop)
+
+
+def runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, first, end) of each run of equal values."""
+    firsts = np.flatnonzero(np.diff(sorted_values, prepend=-1)).tolist()
+    return zip(sorted_values[firsts].tolist(), firsts, [*firsts[1:], len(sorted_values)])
+
+
+# -------------------------------------------------------------------- chunks
+
+CHUNKS = ("chunk long, tokens long, trained long, doc_ids array<long>, held binary, sizes binary, ids binary, "
+          "words binary, n binary")
 
 
 def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """A row per document of ``docs`` (doc_id, text, held) with the chunk's numbers of its words and end, and a row
-    per chunk and word with its training count (``n``); ``uid`` is the chunk and the place in its list."""
+    """A row per chunk of ``docs`` (doc_id, text, held): its documents with the chunk's numbers of their words and
+    ends, and its words by hash with their training counts (``n``). No word holds a line end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -88,77 +159,102 @@ def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
         doc_ids, held, ids = [], [], []
         size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            flat = np.concatenate(ids)
+        def flush() -> pa.RecordBatch:
+            words = list(number)
+            by_hash = np.argsort(np.fromiter(map(zlib.crc32, words), np.int64, len(words)), kind="stable")
+            rank = np.empty(len(words), dtype=np.int64)
+            rank[by_hash] = np.arange(len(words))
+            flat = rank[np.concatenate(ids)]
             sizes = np.array([len(i) for i in ids])
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            trained = np.bincount(flat, weights=~np.repeat(held, sizes), minlength=len(number)).astype(np.int64)
-            yield _batch(uid=pa.array((chunk << ROW_BITS) + np.arange(len(ids))), doc_id=pa.array(doc_ids, pa.int64()),
-                         held=pa.array(held), ids=pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
-            yield _batch(uid=pa.array((chunk << ROW_BITS) + np.arange(len(number))), word=pa.array(list(number), pa.binary()),
-                         n=pa.array(trained))
+            train = ~np.repeat(held, sizes)
+            row = {"chunk": chunk, "tokens": len(flat), "trained": int(train.sum()), "doc_ids": list(doc_ids),
+                   "held": packed(np.array(held)), "sizes": packed(sizes), "ids": packed(flat),
+                   "words": joined([words[i] for i in by_hash.tolist()]),
+                   "n": packed(np.bincount(flat, weights=train, minlength=len(words)).astype(np.int64))}
             for kept in (doc_ids, held, ids, number):
                 kept.clear()
+            return pa.RecordBatch.from_pylist([row], schema=_schema(CHUNKS))
 
         for batch in batches:
-            for doc_id, text, h in zip(*(batch.column(c) for c in ("doc_id", "text", "held"))):
-                words = words_of(str(text))
+            for doc_id, text, h in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "held"))):
+                words = words_of(text)
                 words.append(END)
                 if ids and size + len(words) > tokens:
-                    yield from flush()
+                    yield flush()
                     chunk, size = chunk + 1, 0
                     if chunk - first >> CHUNK_BITS:
                         raise ValueError("too many tokens in one task; deal the input to more partitions")
                 ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-                doc_ids.append(doc_id.as_py())
-                held.append(h.as_py())
+                doc_ids.append(doc_id)
+                held.append(h)
                 size += len(words)
         if ids:
-            yield from flush()
+            yield flush()
 
-    def _batch(**columns: pa.Array) -> pa.RecordBatch:
-        rows = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in _CHUNKS], schema=_CHUNKS)
+    return docs.select("doc_id", "text", "held").mapInArrow(run, CHUNKS)
 
-    return docs.select("doc_id", "text", "held").mapInArrow(
-        run, "uid long, doc_id long, held boolean, ids array<int>, word binary, n long")
+
+def _schema(ddl: str) -> pa.Schema:
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    return pa.schema([(name, types[kind]) for name, kind in (column.split() for column in ddl.split(", "))])
 
 
 class Chunk:
-    """A chunk's tokens (-1 between documents), and for each order so far the n-grams with arcs."""
-
-    def __init__(self, docs: pa.Table, arcs: pa.Table, order: int):
-        docs = docs.sort_by("uid")
-        self.first = docs.column("uid")[0].as_py() >> ROW_BITS << ROW_BITS
-        lists = docs.column("ids").combine_chunks()
-        self.doc_ids = docs.column("doc_id")
-        self.held = docs.column("held").to_numpy(zero_copy_only=False).astype(bool)
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    """A chunk's tokens (-1 between documents), and for each order so far the n-grams with arcs.
+
+    ``answers`` are rows of ``ANSWERS`` for this chunk, ``keys`` the ``Keys`` of the orders from two on.
+    """
+
+    def __init__(self, docs: pa.Table, answers: pa.Table, order: int, buckets: int, keys: list[Keys],
+                 discounts: list[float] | None = None):
+        self.chunk, self.buckets, self.keys = docs.column("chunk")[0].as_py(), buckets, keys
+        self.doc_ids = docs.column("doc_ids").combine_chunks().flatten()
+        self.held = unpacked(docs.column("held")[0].as_py()).astype(bool)
+        self.sizes = sizes = unpacked(docs.column("sizes")[0].as_py())
         self.starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])).astype(np.int64)
         self.ids = np.full(int(sizes.sum()) + len(sizes), -1, dtype=np.int64)
-        self.ids[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = lists.flatten().to_numpy()
-        self.sizes, self.trains = sizes, np.repeat(~self.held, sizes + 1)
-        n = arcs.column("n").to_numpy()
+        self.ids[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = unpacked(docs.column("ids")[0].as_py())
+        self.trains = np.repeat(~self.held, sizes + 1)
         self.width = int(self.ids.max()) + 1
-        self.names: list[np.ndarray] = []  # of each order's listed n-grams: the identity
+        self.names: list[np.ndarray] = []  # of each order's listed n-grams: the number
         self.index: list[np.ndarray] = []  # at each position the n-gram with an arc that ends there, -1 for none
         self.counts: list[np.ndarray] = []
         self.back: list[np.ndarray] = []
+        rows: dict[tuple[int, int], tuple] = {}
+        for n, bucket, *data in zip(*(answers.column(c).to_pylist() for c in ("n", "bucket", "x", "y", "z"))):
+            rows[n, bucket] = data
         for k in range(1, order + 1):
-            mine = arcs.filter(pa.array(n == k))
-            at = mine.column("uid").to_numpy() - self.first
-            keys, listed = self.listed(k)
-            has, count, back = np.zeros(len(keys), bool), np.ones(len(keys), np.int64), np.ones(len(keys))
-            names = np.full(len(keys), -1, dtype=np.int64)
-            has[at] = mine.column("arc").to_numpy(zero_copy_only=False)
-            count[at] = mine.column("c").to_numpy()
-            back[at] = pc.fill_null(mine.column("g"), 1.0).to_numpy()
-            names[at] = mine.column("id").to_numpy()
+            grams, listed = self.listed(k)
+            at = np.arange(len(grams)) if k == 1 else self.sent(k, grams)[0]
+            has, count, back = np.zeros(len(grams), bool), np.ones(len(grams), np.int64), np.ones(len(grams))
+            names = np.full(len(grams), -1, dtype=np.int64)
+            begin = 0
+            for n, bucket in sorted(key for key in rows if key[0] == k):
+                flags, c, numbers = rows[n, bucket]
+                flags = unpacked(flags).astype(bool)
+                mine = at[begin:begin + len(flags)]
+                begin += len(flags)
+                arcs = mine[flags]
+                has[arcs] = True
+                if c is not None:
+                    count[mine if k == 1 else arcs] = unpacked(c)
+                if numbers is not None:
+                    names[arcs] = unpacked_sorted(numbers) * buckets + bucket
+                if discounts and (-k, bucket) in rows:
+                    mass, after = map(unpacked, rows[-k, bucket][:2])
+                    left = 1 - (mass - discounts[k] * after) / count[arcs]
+                    back[arcs] = np.where(after > 0, np.maximum(left, 1e-300), 1.0)
             self.names.append(names)
-            self.index.append(np.where((listed >= 0) & has[listed] if len(keys) else False, listed, -1))
+            self.index.append(np.where((listed >= 0) & has[listed] if len(grams) else False, listed, -1))
             self.counts.append(count)
             self.back.append(back)
 
+    def sent(self, k: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order in which the listed k-grams are sent, and their keys in it."""
+        keys = self.keys[k - 2].of(self.names[k - 2][grams // self.width], self.names[0][grams % self.width])
+        order = np.argsort(keys)
+        return order, keys[order]
+
     def listed(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k-grams both of whose parts have arcs, sorted, and which of them ends at each position (-1 for none)."""
         if k == 1:
@@ -194,88 +290,161 @@ class Chunk:
 
 # ------------------------------------------------------------------ training
 
-def extensions(docs: DataFrame, arcs: DataFrame, k: int) -> DataFrame:
-    """(uid, h, w, n) for each chunk's list of k-grams: identities of the history and the last word, training count.
-    For pairs, a row without uid counts the training pairs that are not listed, as a word in them has no arc."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        mine = Chunk(left, right, k - 1)
-        keys, listed = mine.listed(k)
-        places = listed >= 0
-        n = np.bincount(listed[places], weights=mine.trains[places], minlength=len(keys)).astype(np.int64)
-        out = pa.table({"uid": pa.array(mine.first + np.arange(len(keys))), "h": pa.array(mine.names[-1][keys // mine.width]),
-                        "w": pa.array(mine.names[0][keys % mine.width]), "n": pa.array(n)})
-        if k > 2:
-            return out
-        rest = int(((mine.before(mine.ids) >= 0) & (mine.ids >= 0) & mine.trains & ~places).sum())
-        return pa.concat_tables([out, pa.table({"uid": [None], "h": [None], "w": [None], "n": [rest]}, schema=out.schema)])
-
-    return _meet(docs, arcs, run, "uid long, h long, w long, n long")
+LISTS = "chunk long, bucket int, keys binary, n binary, rest long"
+# Of a bucket's (n > 0) n-grams for a chunk: the flags (x), the arcs' counts (of words: all; y) and numbers (z). Without a chunk:
+# the bucket's figures (seen), or for another bucket (n = 0) histories (x) with the counts (y) and number (z) of their arcs.
+ANSWERS = "chunk long, n int, bucket int, x binary, y binary, z binary, seen array<long>"
 
 
-def _meet(docs: DataFrame, arcs: DataFrame, run: Callable, schema: str) -> DataFrame:
-    chunk = chunk_of(F.col("uid"))
-    return docs.groupBy(chunk).cogroup(arcs.groupBy(chunk)).applyInArrow(run, schema)
+def word_lists(table: DataFrame, buckets: int) -> DataFrame:
+    """``LISTS`` of the chunks' words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, words, n in zip(*(batch.column(c).to_pylist() for c in ("chunk", "words", "n"))):
+                words, n = split(words), unpacked(n)
+                bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) * buckets >> 32
+                yield pa.RecordBatch.from_pylist(
+                    [{"chunk": chunk, "bucket": b, "keys": joined(words[i:j]), "n": packed(n[i:j]), "rest": 0}
+                     for b, i, j in runs(bucket)], schema=_schema(LISTS))
 
-def summed(listed: DataFrame, keys: list[str], arc: Column) -> DataFrame:
-    """Listed n-grams with their training count ``c`` over all chunks, identity, a mark (``once``) on one row of each, and
-    whether they have arcs. Of those without arcs that no chunk asks back only the counts are left."""
-    same = Window.partitionBy(*keys)
-    rows = listed.withColumn("c", F.sum("n").over(same)).withColumn("id", F.min("uid").over(same))
-    rows = rows.withColumn("once", F.col("uid") == F.col("id")).withColumn("arc", F.col("uid").isNotNull() & arc)
-    word = "word" in keys
-    sent = F.col("arc") | (F.col("c") != 1) if word else F.col("arc")
-    kept = ["uid", "id"] if word else ["uid", "id", "h"]
-    few = F.when(F.col("uid").isNull(), F.col("n")).alias("rest")
-    return rows.select("c", "once", "arc", few, *[F.when(sent, F.col(x)).alias(x) for x in kept])
+    return table.select("chunk", "words", "n").mapInArrow(run, LISTS)
 
 
-def train(mine: DataFrame, order: int = ORDER, rarity: int | None = None,
-          chunk_tokens: int = CHUNK_TOKENS) -> tuple[DataFrame, DataFrame, int, int, list[float]]:
-    """Documents in chunks, the arcs that each chunk meets, training tokens and words, and the discounts.
+def gram_lists(docs: DataFrame, answers: DataFrame, k: int, buckets: int, keys: list[Keys]) -> DataFrame:
+    """``LISTS`` of the chunks' k-grams both of whose parts have arcs. For pairs, ``rest`` counts the training pairs
+    that are not listed, as a word in them has no arc."""
 
-    With ``rarity`` only n-grams with at least one in ``rarity`` training tokens get arcs (a smaller model on demand).
-    """
-    both = written(chunks(mine, chunk_tokens), "lm-chunks")
-    docs = written(both.where("ids IS NOT NULL").select("uid", "doc_id", "held", "ids"), "lm-docs")
-    words = both.where("word IS NOT NULL").select("uid", "word", "n")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    least = -(-total // rarity) if rarity else 1
-    enough = F.col("c") >= max(least, LEAST)
-    tables, discounts, distinct = [], [], 0
-    for k in range(1, order + 1):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        mine = Chunk(left, right, k - 1, buckets, keys)
+        grams, listed = mine.listed(k)
+        places = listed >= 0
+        n = np.bincount(listed[places], weights=mine.trains[places], minlength=len(grams)).astype(np.int64)
+        order, sent = mine.sent(k, grams)
+        n = n[order]
+        out = [{"chunk": mine.chunk, "bucket": b, "keys": packed_sorted(sent[i:j]), "n": packed(n[i:j]), "rest": 0}
+               for b, i, j in runs(keys[k - 2].bucket(sent))]
+        if k == 2:
+            rest = int(((mine.before(mine.ids) >= 0) & (mine.ids >= 0) & mine.trains & ~places).sum())
+            out.append({"chunk": None, "bucket": mine.chunk % buckets, "keys": None, "n": None, "rest": rest})
+        return pa.Table.from_pylist(out, schema=_schema(LISTS))
+
+    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, LISTS)
+
+
+def answered(lists: DataFrame, k: int, least: int, buckets: int, keys: Keys | None = None) -> DataFrame:
+    """``ANSWERS`` of each bucket to the chunks' lists of k-grams. Words are numbered by hash, as the lists have them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        asked = table.filter(table.column("chunk").is_valid())
+        lists = asked.column("keys").to_pylist()
         if k == 1:
-            rows = summed(words, ["word"], enough | (F.col("word") == F.lit(END)))
+            lists = [split(x) for x in lists]
+            coded = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
+            which, distinct = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+            known = coded.dictionary.to_pylist()
+            by_hash = np.argsort(np.fromiter(map(zlib.crc32, known), np.int64, distinct), kind="stable")
+            rank = np.empty(distinct, dtype=np.int64)
+            rank[by_hash] = np.arange(distinct)
+            which = rank[which]
+            always = np.zeros(distinct, dtype=bool)
+            always[[rank[i] for i, w in enumerate(known) if w == END]] = True
         else:
-            rows = summed(extensions(docs, _arcs(tables, discounts), k), ["h", "w"], enough)
-        table = written(rows, f"lm-grams{k}")
-        seen = table.agg(*[F.count_if(F.col("once") & (F.col("c") == n)).alias(name) for n, name in ((1, "ones"), (2, "twos"))],
-                         F.count_if(F.col("once") & (F.col("c") > 0)).alias("all"), F.sum("rest").alias("rest")).first()
-        if k == 1:
-            distinct = seen["all"]
-            drop_written(both)
-        # Pairs with a word seen once, which are not listed, are seen once each.
-        rest = (seen["rest"] or 0) if least <= 1 else 0
-        discounts.append(discount(seen["ones"] + rest, seen["twos"]))
-        tables.append(table)
-    return docs, _arcs(tables, discounts, True), total, distinct, discounts
-
-
-def _arcs(tables: list[DataFrame], discounts: list[float], backoff: bool = False) -> DataFrame:
-    """(uid, n, id, arc, c, g): each chunk's words but those seen once, and its n-grams with arcs, with the weight of
-    their failure arc."""
-    out = []
-    for k, table in enumerate(tables, 1):
-        rows = table.where("uid IS NOT NULL").select("uid", "id", "arc", "c")
-        g = F.lit(None).cast("double")
-        if backoff and k < len(tables):
-            after = tables[k].where("arc AND once").groupBy("h").agg(F.sum("c").alias("mass"), F.count("*").alias("arcs"))
-            rows = rows.join(after, F.col("id") == F.col("h"), "left")
-            left = 1 - (F.col("mass") - discounts[k] * F.col("arcs")) / F.col("c")
-            g = F.when(F.col("mass").isNotNull(), F.greatest(left, F.lit(1e-300)))
-        out.append(rows.select("uid", F.lit(k).alias("n"), "id", "arc", "c", g.alias("g")))
-    return reduce(DataFrame.unionByName, out)
+            lists = [unpacked_sorted(x) for x in lists]
+            found, which = np.unique(np.concatenate([np.zeros(0, np.int64), *lists]), return_inverse=True)
+            distinct, always = len(found), False
+        n = np.concatenate([np.zeros(0, np.int64), *map(unpacked, asked.column("n").to_pylist())])
+        c = np.bincount(which, weights=n, minlength=distinct).astype(np.int64)
+        arc = (c >= least) | always
+        number = np.cumsum(arc) - 1
+        rest = sum(table.column("rest").to_pylist())
+        seen = [int((c == 1).sum()), int((c == 2).sum()), int((c > 0).sum()), rest, int(arc.sum())]
+        out = [{"n": k, "bucket": bucket, "seen": seen}]
+        end = 0
+        for chunk, keys_of in zip(asked.column("chunk").to_pylist(), lists):
+            begin, end = end, end + len(keys_of)
+            mine = which[begin:end]
+            arcs = mine[arc[mine]]
+            out.append({"chunk": chunk, "n": k, "bucket": bucket, "x": packed(arc[mine]), "y": packed(c[mine if k == 1 else arcs]),
+                        "z": packed_sorted(number[arcs])})
+        if k > 1:
+            history, which = np.unique(keys.history(found[arc]), return_inverse=True)
+            mass = np.bincount(which, weights=c[arc], minlength=len(history)).astype(np.int64)
+            after = np.bincount(which, minlength=len(history))
+            order = np.argsort(history % buckets, kind="stable")
+            history, mass, after = history[order], mass[order], after[order]
+            out += [{"n": 0, "bucket": b, "x": packed_sorted(history[i:j] // buckets), "y": packed(mass[i:j]), "z": packed(after[i:j])}
+                    for b, i, j in runs(history % buckets)]
+        return pa.Table.from_pylist(out, schema=_schema(ANSWERS))
+
+    return lists.groupBy("bucket").applyInArrow(run, ANSWERS)
+
+
+def backoffs(mine: DataFrame, longer: DataFrame, k: int) -> DataFrame:
+    """``ANSWERS`` (n = -k) with the counts (x) and number (y) of the arcs that leave each chunk's k-grams with arcs."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[dict] = []
+        if right.num_rows and left.num_rows:
+            at, mass, after = (np.concatenate([f(x) for x in right.column(c).to_pylist()])
+                               for c, f in (("x", unpacked_sorted), ("y", unpacked), ("z", unpacked)))
+            chunk, bucket, numbers = (left.column(c).to_pylist() for c in ("chunk", "bucket", "z"))
+            numbers = [unpacked_sorted(x) for x in numbers]
+            size = 1 + max(int(x.max(initial=0)) for x in [at, *numbers])
+            mass, after = (np.bincount(at, weights=v, minlength=size).astype(np.int64) for v in (mass, after))
+            out = [{"chunk": c, "n": -k, "bucket": b, "x": packed(mass[x]), "y": packed(after[x])}
+                   for c, b, x in zip(chunk, bucket, numbers)]
+        return pa.Table.from_pylist(out, schema=_schema(ANSWERS))
+
+    left = mine.where("chunk IS NOT NULL").groupBy("bucket")
+    return left.cogroup(longer.where("n = 0").groupBy("bucket")).applyInArrow(run, ANSWERS)
+
+
+class Training:
+    """The chunks' documents, the answers to their lists, training tokens and words, and what ``Chunk`` needs."""
+
+    def __init__(self, mine: DataFrame, order: int = ORDER, rarity: int | None = None, chunk_tokens: int = CHUNK_TOKENS):
+        table = written(chunks(mine, chunk_tokens), "lm-chunks")
+        self.docs = table.select("chunk", "doc_ids", "held", "sizes", "ids")
+        sizes = table.agg(F.sum("tokens").alias("all"), F.sum("trained").alias("trained")).first()
+        self.total = sizes["trained"] or 0
+        self.buckets = max(partitions_for(mine.sparkSession), (sizes["all"] or 0) // BUCKET_TOKENS)
+        # With ``rarity`` only n-grams with at least one in ``rarity`` training tokens get arcs (a smaller model on demand).
+        rare = -(-self.total // rarity) if rarity else 1
+        least = max(rare, LEAST)
+        self.discounts: list[float] = []
+        self.keys: list[Keys] = []
+        self.distinct = 0
+        tables: list[DataFrame] = []
+        bounds: list[int] = []
+        for k in range(1, order + 1):
+            if k == 1:
+                rows = answered(word_lists(table, self.buckets), k, least, self.buckets)
+            else:
+                self.keys.append(Keys(bounds[-1], bounds[0], self.buckets))
+                # Lists need no counts, and the last order's numbers are needed nowhere.
+                lists = gram_lists(self.docs, self._answers(tables).withColumn("y", F.lit(None).cast("binary")), k, self.buckets, self.keys)
+                rows = answered(lists, k, least, self.buckets, self.keys[-1])
+            tables.append(written(rows, f"lm-grams{k}"))
+            ones, twos, every, rest, most = tables[-1].where("seen IS NOT NULL").agg(
+                *[F.sum(F.col("seen")[i]) for i in range(4)], F.max(F.col("seen")[4])).first()
+            mine.sparkSession._jvm.System.gc()  # by now the step's shuffle files are let go
+            bounds.append(self.buckets * max(most or 0, 1))
+            self.distinct = self.distinct if tables[1:] else every or 0
+            # Pairs with a word seen once, which are not listed, are seen once each.
+            self.discounts.append(discount((ones or 0) + (rest or 0 if rare <= 1 else 0), twos or 0))
+        if order > 1:
+            unnumbered = self._answers(tables[-1:]).withColumn("z", F.lit(None).cast("binary"))
+            answers = self._answers(tables[:-1]).unionByName(unnumbered)
+        else:
+            answers = self._answers(tables)
+        self.answers = reduce(DataFrame.unionByName, [answers, *[
+            backoffs(tables[k - 1], tables[k], k).drop("seen") for k in range(1, order)]])
+
+    @staticmethod
+    def _answers(tables: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [t.where("chunk IS NOT NULL").drop("seen") for t in tables])
 
 
 # ------------------------------------------------------------------- scoring
@@ -287,16 +456,18 @@ SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
 def score_documents(docs: DataFrame, order: int = ORDER, rarity: int | None = None, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """Scores of each document (doc_id, text): counts, add-one base score and the model's log10 probability."""
     mine = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), held_out(F.col("doc_id")).alias("held"))
-    dealt, arcs, total, distinct, discounts = train(mine, order, rarity, chunk_tokens)
+    trained = Training(mine, order, rarity, chunk_tokens)
+    total, distinct, discounts = trained.total, trained.distinct, trained.discounts
+    buckets, keys = trained.buckets, trained.keys
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk = Chunk(left, right, order)
+        chunk = Chunk(left, right, order, buckets, keys, discounts)
         c = chunk.counts[0][chunk.ids]
         return pa.Table.from_arrays(
-            [chunk.doc_ids.combine_chunks(), pa.array(chunk.held), pa.array(chunk.sizes),
+            [chunk.doc_ids, pa.array(chunk.held), pa.array(chunk.sizes),
              pa.array(chunk.sums(c > 0).astype(np.int64)), pa.array(np.full(len(chunk.sizes), total, dtype=np.int64)),
              pa.array(chunk.sums(np.log10((c + 1) / (total + distinct + 1)))),
              pa.array(chunk.sums(np.log10(chunk.probabilities(total, distinct, discounts))))], schema=SCORED)
 
-    return _meet(dealt, arcs, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                                   "base_score double, score double")
+    return trained.docs.groupBy("chunk").cogroup(trained.answers.groupBy("chunk")).applyInArrow(
+        run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

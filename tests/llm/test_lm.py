@@ -1,9 +1,12 @@
 import math
+import os
 import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
+
 from shelfspark.llm import lm
 
 
@@ -107,3 +110,33 @@ def test_every_ngram_seen_twice_has_an_arc(spark, docs):
     got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6))
                  for r in lm.score_documents(docs, chunk_tokens=50).collect())
     assert near(got, brute(rows, 3, everything)[0])
+
+
+def test_ngrams_travel_in_a_few_bytes(spark, monkeypatch):
+    """The tables between the steps hold a row per chunk and bucket, not one per n-gram."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(k, " ".join(rng.choices(words, k=1500))) for k in range(40)]
+    tables = []
+    keep = lm.written
+    monkeypatch.setattr(lm, "written", lambda df, name: tables.append(keep(df, name)) or tables[-1])
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert lm.score_documents(frame).count() == 40
+    n_tokens = 40 * 1501
+    assert sum(t.count() for t in tables) < n_tokens / 20
+    files = [f for t in tables for f in t.inputFiles()]
+    assert sum(os.path.getsize(f.removeprefix("file://")) for f in files) < 12 * n_tokens
+
+
+def test_keys_are_one_to_one():
+    rng = np.random.default_rng(3)
+    for histories, words, buckets in ((1, 1, 1), (5, 7, 3), (1 << 30, 1 << 31, 100), (200_000, 90_000, 2048)):
+        keys = lm.Keys(histories, words, buckets)
+        h, w = rng.integers(0, histories, 5000), rng.integers(0, words, 5000)
+        found = keys.of(h, w)
+        assert (keys.history(found) == h).all() and len(set(found.tolist())) == len(set(zip(h.tolist(), w.tolist())))
+        bucket = keys.bucket(np.sort(found))
+        assert (np.diff(bucket) >= 0).all() and 0 <= bucket[0] and bucket[-1] < buckets
+    for values in ([], [0], [0, 0, 255, 256], [5, 1 << 40]):
+        assert lm.unpacked(lm.packed(np.array(values, np.int64))).tolist() == values
+        assert lm.unpacked_sorted(lm.packed_sorted(np.array(values, np.int64))).tolist() == values
