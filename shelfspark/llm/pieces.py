@@ -38,13 +38,28 @@ from shelfspark.llm import induced
 from shelfspark.llm.common import id_text, per_process, text_of, with_long_id
 
 MARK = "▁"
+_BOUNDS = re.compile(rf"(?<=\w)(?=[^\w{MARK}])|(?<=[^\w{MARK}])(?=\w)")
 CACHED_UNITS = 400_000  # bounds of the memos, not of the texts
+CACHED_PARTS = 800_000
 CACHED_PAIRS = 1_000_000
 BATCH_CHARS = 1 << 22
 NEVER = float("-inf")
 LONE, START, NOT_REACHED = -1, -2, -3  # in the place of a piece's id
 
 
+class Stable(dict):
+    """Whether merging the characters of the pieces a and b leaves that pair; of a * pieces + b, found when first asked for."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, pair: int) -> bool:
+        a, b = (self.model.names[i] for i in divmod(pair, len(self.model.names)))
+        self[pair] = a + b not in self.model.score and self.model.merge(a + b) == [a, b]
+        return self[pair]
+
+
 class Model:
     """Pieces of a model file, as the matcher needs them."""
 
@@ -62,9 +77,18 @@ class Model:
         self.score = {n: loaded.get_score(i) for n, i in self.ids.items()}
         if any(MARK in n.lstrip(MARK) for n in self.ids):
             raise ValueError("a piece crosses the start of a word: units cannot be encoded alone")
+        # Neighbouring characters that some piece holds: only between these can a merge reach over.
+        self.joined = {n[k:k + 2] for n in self.ids for k in range(len(n) - 1)}
         # Pieces that merging never leaves standing take no part in the lattice.
         self.pieces = [n for n in self.ids if MARK * 2 not in n and self.merge(n) == [n]]
-        self.stable: dict[int, bool] = {}
+        # What each id stands for when decoded.
+        self.spelled = [name.replace(MARK, " ").encode("utf-8") for name in self.names]
+        self.spelled[self.unknown] = " ⁇ ".encode()
+        for i in self.control:
+            self.spelled[i] = b""
+        for i, b in self.byte_of.items():
+            self.spelled[i] = bytes([b])
+        self.stable = Stable(self)
 
     def merge(self, text: str) -> list[str]:
         """Plain merging: the best-scored neighbouring pair first, the leftmost among equals."""
@@ -80,15 +104,19 @@ class Model:
                 scores[k] = rate(parts[k] + parts[k + 1], NEVER)
         return parts
 
-    def is_stable(self, pair: int) -> bool:
-        """Whether merging the characters of the pieces a and b leaves that pair; pair = a * pieces + b."""
-        known = self.stable.get(pair)
-        if known is None:
-            if len(self.stable) > CACHED_PAIRS:
-                self.stable.clear()
-            a, b = (self.names[i] for i in divmod(pair, len(self.names)))
-            known = self.stable[pair] = a + b not in self.score and self.merge(a + b) == [a, b]
-        return known
+    def cut(self, unit: str) -> list[str]:
+        """The unit cut between letters and other characters where no merge reaches over, so that a word is encoded once
+        whatever marks follow it."""
+        if unit[1:].isalpha() or MARK * 2 in unit or "\0" in unit:
+            return [unit]
+        first, *rest = _BOUNDS.split(unit)
+        out = [first]
+        for part in rest:
+            if out[-1][-1] + part[0] in self.joined:
+                out[-1] += part
+            else:
+                out.append(part)
+        return out
 
     def packed(self, parts: list[str]) -> bytes:
         ids: list[int] = []
@@ -181,14 +209,14 @@ def relax(model: Model, edges: tuple[np.ndarray, np.ndarray, np.ndarray], begins
         good = (before < 0) | (ids[here] < 0)  # nothing merges across a start or a lone character
         ask = np.flatnonzero(~good)
         pairs, which = np.unique(before[ask] * len(model.names) + ids[here[ask]], return_inverse=True)
-        good[ask] = np.fromiter(map(model.is_stable, pairs.tolist()), dtype=bool, count=len(pairs))[which]
+        good[ask] = np.fromiter(map(model.stable.__getitem__, pairs.tolist()), dtype=bool, count=len(pairs))[which]
         here = here[good]
         last[at[here] + length[here]] = ids[here]
     return last
 
 
 def encode_units(model: Model, units: list[str]) -> list[bytes]:
-    """Packed ids of distinct units (each starts with a mark); units with runs of marks are merged directly."""
+    """Packed ids of distinct units or parts of units; those with runs of marks are merged directly."""
     direct = [u for u in units if MARK * 2 in u or "\0" in u]
     done = {u: model.packed(model.merge(u)) for u in direct}
     plain = [u for u in units if u not in done]
@@ -238,28 +266,22 @@ def units_of(text: str) -> list[str]:
 def encode_all(path: str, texts: list[str]) -> list[bytes]:
     """Packed ids of each text."""
     model = load(path)
-    cache = per_process().setdefault(("piece units", path), {})
-    if len(cache) > CACHED_UNITS:
-        cache.clear()
+    cache, parts = (per_process().setdefault((name, path), {}) for name in ("piece units", "piece parts"))
+    for known, bound in ((cache, CACHED_UNITS), (parts, CACHED_PARTS), (model.stable, CACHED_PAIRS)):
+        if len(known) > bound:
+            known.clear()
     cut = [units_of(t) if t else [] for t in texts]
-    missing = sorted({u for units in cut for u in units} - cache.keys())
-    cache.update(zip(missing, encode_units(model, missing)))
+    missing = {u: model.cut(u) for u in set().union(*cut) - cache.keys()}
+    wanted = sorted(set().union(*missing.values()) - parts.keys())
+    parts.update(zip(wanted, encode_units(model, wanted)))
+    cache.update((u, b"".join(map(parts.__getitem__, p))) for u, p in missing.items())
     return [b"".join(map(cache.__getitem__, units)) for units in cut]
 
 
 def decode(path: str, ids: bytes) -> str:
     """The text of packed ids."""
-    model = load(path)
-    numbers = np.frombuffer(ids, dtype="<u4").tolist()
-    out: list[bytes] = []
-    for i in numbers:
-        if i in model.byte_of:
-            out.append(bytes([model.byte_of[i]]))
-        elif i not in model.control:
-            out.append((" ⁇ " if i == model.unknown else model.names[i]).replace(MARK, " ").encode("utf-8"))
-    if out and out[0].startswith(b" "):
-        out[0] = out[0][1:]
-    return b"".join(out).decode("utf-8", "replace")
+    text = b"".join(map(load(path).spelled.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+    return text.removeprefix(b" ").decode("utf-8", "replace")
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

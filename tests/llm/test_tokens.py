@@ -54,3 +54,17 @@ def test_occurrence_ranges():
     order = np.array(sorted(range(7), key=lambda i: text[i:].tolist()))
     low, high = pieces.occurrences(text, order, np.array([[1, 2], [1, -1], [3, 1], [2, 1]]), np.array([2, 1, 2, 2]))
     assert [sorted(order[a:b].tolist()) for a, b in zip(low, high)] == [[0, 2], [0, 2, 4], [], [1, 3]]
+
+
+def test_a_word_is_encoded_once_whatever_marks_follow(monkeypatch):
+    asked, keep = [], pieces.encode_units
+    monkeypatch.setattr(pieces, "encode_units", lambda model, units: asked.extend(units) or keep(model, units))
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    text = "qzxa qzxa, qzxa### qzxa.\nQzxb qzxa!?"
+    ids = pieces.encode_all(PIECES, [text])[0]
+    assert np.frombuffer(ids, dtype="<u4").tolist() == model.encode(text) and pieces.decode(PIECES, ids) == model.decode(model.encode(text))
+    assert sum("qzxa" in u for u in asked) == 1
+    rng = random.Random(4)
+    pool = ["a", "É", "z9", ".", "##", "'", "'s", "\n", " ", "\t", "_", "-", "漢", " ", "▁", "the", "ing"]
+    texts = ["".join(rng.choices(pool, k=rng.randrange(1, 14))) for _ in range(3000)]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in pieces.encode_all(PIECES, texts)] == model.encode(texts)
