@@ -8,7 +8,7 @@ from array import array
 
 from shelfspark.llm.common import per_process
 
-CACHED_UNITS = 300_000  # bound of each of the memo's two generations, not of the texts
+CACHED_UNITS = 600_000  # bound of each of the memo's two generations, not of the texts
 BATCH_CHARS = 6 << 20
 
 
@@ -27,7 +27,8 @@ def load(path: str):
 _SPACE = r"\s\x1c-\x1f\x85"
 _RUNS = re.compile(rf"[{_SPACE}] ")
 _CUTS = re.compile(rf"(?<=[^{_SPACE}])(?= )")
-_MARKS = frozenset(".,;:!?")
+# Marks that the pre-tokenizer parts from a letter before them; an apostrophe may open a contraction.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
 def units(text: str) -> list[str]:
@@ -44,19 +45,24 @@ def units(text: str) -> list[str]:
     return text.split(" ")
 
 
-def _parts(unit: str) -> list[str]:
-    """Cut a unit where a letter meets a closing mark or a lone line end: boundaries of the pre-tokenizer too."""
+def _parts(unit: str, marks: str) -> list[str]:
+    """Cut a unit where a letter meets closing marks or at a lone line end: boundaries of the pre-tokenizer too."""
     out = []
     for k, line in enumerate(unit.split("\n") if "\n" in unit else [unit]):
         if k:
             out.append("\n")
         out.append(line)
-    if len(out) > 1 and any(not p or p[0].isspace() or p[-1].isspace() for p in out[::2]):
-        return [unit]  # runs of white space stay whole
+    if len(out) > 1:
+        lines = out[::2]
+        if lines[0][:1] == " ":
+            lines[0] = lines[0][1:]
+        if any(not p or p[0].isspace() or p[-1].isspace() for p in lines):
+            return [unit]  # runs of white space stay whole
     cut = []
     for p in out:
-        if len(p) > 1 and p[-1] in _MARKS and p[-2].isalpha() and p[-2] < "\u0250":
-            cut += [p[:-1], p[-1]]
+        word = p.rstrip(marks)
+        if len(word) < len(p) and word and word[-1].isalpha() and word[-1] < "\u0250":
+            cut += [word, p[len(word):]]
         else:
             cut.append(p)
     return cut
@@ -74,53 +80,73 @@ def _is_word(unit: str) -> bool:
     return unit.isalpha() and (unit.isascii() or max(unit) < "\u0250")
 
 
+class Units(dict):
+    """The ids of units by what follows their space, packed as native unsigned integers; found when first asked for.
+
+    Letters are one pre-token, with a space or without: they go straight to the merges. ``parts`` keeps what has no space.
+    """
+
+    def __init__(self, tokenizer, typecode: str):
+        super().__init__()
+        self.encode, self.merge, self.typecode = tokenizer.encode, tokenizer.model.tokenize, typecode
+        self.letters = byte_letters().__getitem__
+        special = "".join(t.content for t in tokenizer.get_added_tokens_decoder().values())
+        self.marks = "".join(c for c in _MARKS if c not in special)
+        self.parts: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.older[0].get(unit)
+        if ids is None:
+            if _is_word(unit):
+                ids = self._merged("\u0120" + self._spelled(unit))
+            elif _is_word(word := unit.rstrip(self.marks)):
+                ids = self[word] + self.part(unit[len(word):])
+            else:
+                ids = b"".join(map(self.part, _parts(" " + unit, self.marks)))
+        self[unit] = ids
+        return ids
+
+    def part(self, part: str) -> bytes:
+        if part[0] == " " and _is_word(part[1:]):
+            return self[part[1:]]
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.older[1].get(part)
+            if ids is None and _is_word(part):
+                ids = self._merged(self._spelled(part))
+            elif ids is None:
+                ids = array(self.typecode, self.encode(part, add_special_tokens=False).ids).tobytes()
+            self.parts[part] = ids
+        return ids
+
+    def _spelled(self, word: str) -> str:
+        return word if word.isascii() else "".join(map(self.letters, word.encode("utf-8")))
+
+    def _merged(self, spelled: str) -> bytes:
+        return array(self.typecode, [t.id for t in self.merge(spelled)]).tobytes()
+
+    def forget(self) -> None:
+        """Change of generation, when there are too many: what isn't seen until the next one is forgotten."""
+        if len(self) + len(self.parts) > CACHED_UNITS:
+            self.older = dict(self), self.parts
+            self.clear()
+            self.parts = {}
+
+
 def encode_all(path: str, texts: list[str], typecode: str = "I") -> list[bytes]:
-    """The ids of each text, packed as native unsigned integers. Only distinct parts are encoded."""
-    tokenizer = load(path)
-    # What follows a unit's space -> its ids. The first units, without a space, are kept apart.
-    young, old = ("units", path, typecode), ("older units", path, typecode)
+    """The ids of each text, packed as native unsigned integers. Units seen lately are not encoded again."""
     process = per_process()
-    cache, older = process.setdefault(young, {}), process.setdefault(old, {})
-    merge, letters = tokenizer.model.tokenize, byte_letters().__getitem__
-    out: list[bytes] = []
-    low = 0
-    while low < len(texts):
-        high, size = low, 0
-        while high < len(texts) and (high == low or size + len(texts[high]) <= BATCH_CHARS):
-            size += len(texts[high])
-            high += 1
-        cut = [units(t) for t in texts[low:high]]
-        low = high
-        if len(cache) > CACHED_UNITS:  # units not seen since the last change of generation are forgotten
-            process[old] = older = cache
-            process[young] = cache = {}
-        wanted = set().union(*[c[1:] for c in cut]) - cache.keys()
-        again = wanted & older.keys()
-        cache.update(zip(again, map(older.__getitem__, again)))
-        wanted -= again
-        plain = {u for u in wanted if _is_word(u)}
-        rest = wanted - plain
-        closed = [u for u in rest if u and u[-1] in _MARKS and _is_word(u[:-1])]
-        rest.difference_update(closed)
-        plain.update([u[:-1] for u in closed])
-        plain.difference_update(cache.keys())
-        for u in plain:  # a space and letters are one pre-token: straight to the merges
-            spelled = "\u0120" + (u if u.isascii() else "".join(map(letters, u.encode("utf-8"))))
-            cache[u] = array(typecode, [t.id for t in merge(spelled)]).tobytes()
-        # The others, and the first units, by their parts.
-        others = {u: _parts(" " + u) for u in rest}
-        firsts = [_parts(c[0]) if c[0] else [] for c in cut]
-        lone = list(set().union(*others.values(), *firsts, _MARKS))
-        known = dict(zip(lone, _encoded(tokenizer, lone, typecode)))
-        for u in closed:
-            cache[u] = cache[u[:-1]] + known[u[-1]]
-        get = known.__getitem__
-        for u, parts in others.items():
-            cache[u] = b"".join(map(get, parts))
-        find = cache.__getitem__
-        out += [b"".join([*map(get, parts), *map(find, c[1:])]) for c, parts in zip(cut, firsts)]
+    if ("units", path, typecode) not in process:
+        process["units", path, typecode] = Units(load(path), typecode)
+    known = process["units", path, typecode]
+    find, out, size = known.__getitem__, [], 0
+    for text in texts:
+        size += len(text)
+        if size > BATCH_CHARS:
+            size = len(text)
+            known.forget()
+        first, *rest = units(text)
+        out.append(b"".join([*map(known.part, _parts(first, known.marks) if first else ()), *map(find, rest)]))
+    known.forget()
     return out
-
-
-def _encoded(tokenizer, parts: list[str], typecode: str) -> list[bytes]:
-    return [array(typecode, e.ids).tobytes() for e in tokenizer.encode_batch(parts, add_special_tokens=False)]

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -78,3 +79,20 @@ def test_unit_cache_gives_the_library_ids():
     texts = ["a  b", " lead", "trail ", "x.\nY z,\n\nw", "it's 'll <|endoftext|>, É ñ. \t\n q", "", "\x1c a", "don't.!? ok", "漢字, 😀."]
     got = [np.frombuffer(x, dtype="<u4").tolist() for x in tokenizing.encode_all(PATH, texts)]
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_word_is_merged_once_whatever_closes_it():
+    tokenizer = tokenizing.load(PATH)
+    units, asked = tokenizing.Units(tokenizer, "I"), []
+    units.encode = lambda part, **how: asked.append(part) or tokenizer.encode(part, **how)
+    text = "qzxa qzxa.\nQzxb qzxa### (qzxa, <|endoftext|>.\n\n qzxa's x<|endoftext|> qzxa!?\nÉqz"
+    first, *rest = tokenizing.units(text)
+    ids = b"".join([units.part(first), *[units[u] for u in rest]])
+    assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert not {" qzxa.\nQzxb", " qzxa###", " qzxa!?\nÉqz"} & set(asked)
+    # No order of words and marks is new to the library.
+    rng = random.Random(4)
+    pool = ["a", "É", "z9", ".", "##", "'", "'s", "\n", " ", "\t", "<|endoftext|>", "_", "-", "漢", " "]
+    texts = ["".join(rng.choices(pool, k=rng.randrange(1, 14))) for _ in range(3000)]
+    got = [np.frombuffer(x, dtype="<u4").tolist() for x in tokenizing.encode_all(PATH, texts)]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
