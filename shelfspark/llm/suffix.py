@@ -22,6 +22,11 @@ A byte goes if a string of ``window`` bytes (``WINDOW``, if not said otherwise)
    by digest in Spark, so no task needs the group.
 5. Repeated runs go back to the texts by number and are merged there.
 
+``repeats_report`` also counts what strings of ``PASSAGE`` bytes repeat, as a passage of over 50
+words can be shorter than ``WINDOW``. It looks for those first: all short strings of a long
+repeated one are repeated, at neighbouring starts, so the long ones are looked for
+in the stretches of such starts alone (``_wider``).
+
 Every step is exact: nothing is sampled or capped, at any size.
 
 Defined results: a null text is empty; texts shorter than the window stay
@@ -46,6 +51,7 @@ from shelfspark.llm import anchors, induced
 from shelfspark.llm.common import drop_written, partitions_for, text_of, written
 
 WINDOW = anchors.WINDOW
+PASSAGE = 200  # bytes: no longer than 50 words that are short
 CELL = 32
 SHARD_BYTES = 2 << 20  # text sorted at once
 FINE_BYTES = 16 << 20
@@ -56,6 +62,10 @@ def digest_of(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def _bytes(text: str | bytes) -> bytes:
+    return text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
+
+
 def _anchor_rows(window: int) -> Callable:
     """(gram, doc, lo, n, lead): runs of windows [lo, lo + n) whose anchor starts at lo + lead."""
 
@@ -63,7 +73,7 @@ def _anchor_rows(window: int) -> Callable:
         for rows in batches:
             grams, los, ns, leads, sizes = [], [], [], [], []
             for text in rows["text"]:
-                gram, lo, n, lead = anchors.owned_windows(text.encode("utf-8", "surrogatepass"), window)
+                gram, lo, n, lead = anchors.owned_windows(_bytes(text), window)
                 grams.append(gram), los.append(lo), ns.append(n), leads.append(lead), sizes.append(len(gram))
             if sizes:
                 yield pd.DataFrame({"gram": np.concatenate(grams), "doc": np.repeat(rows["doc"].to_numpy(), sizes),
@@ -82,7 +92,7 @@ def _cut(window: int) -> Callable:
         for rows in batches:
             out = []
             for doc, text, runs in rows.itertuples(index=False, name=None):
-                data = text.encode("utf-8", "surrogatepass")
+                data = _bytes(text)
                 for r in runs:
                     piece = data[r["lo"]:r["lo"] + r["n"] + window - 1]
                     out.append((r["gram"], xxhash.xxh3_128_digest(piece), doc, r["lo"], r["lead"], piece))
@@ -249,7 +259,7 @@ def _by_deal(pieces: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_runs(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc, runs): merged repeated starts of distinct texts (doc, text), where there are any."""
+    """(doc, runs): repeated starts of texts or bytes (doc, text), where there are any."""
     schema = "gram long, doc long, lo int, n short, lead short"
     rows = written(texts.select("doc", "text").mapInPandas(_anchor_rows(window), schema), "suffix-anchors")
     # A gram found at two places has two different place hashes (equal ones would mean one text and place).
@@ -275,12 +285,9 @@ def repeated_runs(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     fine_found = _by_deal(fine_distinct.withColumn("lead", F.lit(-1).cast("short")), window).withColumnRenamed("key", "cell_key")
     fine_found = fine_found.unionByName(_counted(fine.join(over, "deal", "left_semi").select("cell_key", "piece", "copies"), window))
     fine_found = fine.select("cell_key", "key", "at").join(fine_found, "cell_key").select(
-        "key", F.transform("runs", lambda r: F.struct((r["lo"] + F.col("at")).alias("lo"),
-                                                      (r["hi"] + F.col("at")).alias("hi"))).alias("runs"))
+        "key", _moved("at").alias("runs"))
     hits = segments.select("key", "doc", "lo").join(found.unionByName(fine_found), "key")
-    absolute = F.transform("runs", lambda r: F.struct((r["lo"] + F.col("lo")).alias("lo"),
-                                                      (r["hi"] + F.col("lo")).alias("hi")))
-    found = written(hits.groupBy("doc").agg(F.flatten(F.collect_list(absolute)).alias("runs")), "suffix-runs")  # a text's own
+    found = written(hits.groupBy("doc").agg(F.flatten(F.collect_list(_moved("lo"))).alias("runs")), "suffix-runs")  # a text's own
     drop_written(segments, distinct)
     return found
 
@@ -296,43 +303,106 @@ def _spans(runs, size: int, window: int) -> list[tuple[int, int]]:
     return [(a, min(b, size)) for a, b in out]
 
 
+def _stretches(window: int, passage: int) -> Callable:
+    """(doc, at, text): bytes with repeated strings of ``passage`` bytes at every start, ``window`` bytes of them or more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for doc, text, runs in rows.itertuples(index=False, name=None):
+                data = _bytes(text)
+                out += [(doc, r["lo"], data[r["lo"]:r["hi"] + passage]) for r in _merged([(r["lo"], r["hi"]) for r in runs])
+                        if r["hi"] + passage - r["lo"] >= window]
+            yield pd.DataFrame(out, columns=["doc", "at", "text"])
+
+    return run
+
+
+def _moved(at: str) -> Column:
+    return F.transform("runs", lambda r: F.struct((r["lo"] + F.col(at)).alias("lo"), (r["hi"] + F.col(at)).alias("hi")))
+
+
+def _wider(texts: DataFrame, runs: DataFrame, window: int, passage: int) -> DataFrame:
+    """(doc, runs) of ``window`` bytes, from those of ``passage`` bytes."""
+    parts = written(texts.select("doc", "text").join(runs, "doc").select("doc", "text", "runs").mapInPandas(
+        _stretches(window, passage), "doc long, at int, text binary").withColumn(
+        "part", F.monotonically_increasing_id()), "suffix-stretches")
+    found = repeated_runs(parts.select(F.col("part").alias("doc"), "text"), window).withColumnRenamed("doc", "part")
+    wide = written(parts.select("part", "doc", "at").join(found, "part").groupBy("doc").agg(
+        F.flatten(F.collect_list(_moved("at"))).alias("runs")), "suffix-wide")  # a text's own
+    drop_written(parts, found)
+    return wide
+
+
+def _cut_out(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    edges = [0, *(x for s in spans for x in s), len(data)]
+    return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
 def _kept(window: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for digest, text, runs in rows.itertuples(index=False, name=None):
-                data = text.encode("utf-8", "surrogatepass")
-                spans = _spans(runs, len(data), window)
-                edges = [0, *(x for s in spans for x in s), len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                data = _bytes(text)
+                out.append((digest, _cut_out(data, _spans(runs, len(data), window)).decode("utf-8", "ignore")))
+            yield pd.DataFrame(out, columns=["digest", "kept"])
+
+    return run
+
+
+def _reported(window: int, passage: int) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for digest, text, runs, short in rows.itertuples(index=False, name=None):
+                data = _bytes(text)
+                spans, passages = _spans(runs, len(data), window), _spans(short, len(data), passage)
+                kept = _cut_out(data, spans)
                 out.append((digest, len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(),
-                            kept.decode("utf-8", "ignore")))
-            yield pd.DataFrame(out, columns=["digest", "n_removed", "n_spans", "kept_sha256", "kept"])
+                            sum(b - a for a, b in passages), len(passages)))
+            yield pd.DataFrame(out, columns=["digest", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "n_passages"])
 
     return run
 
 
-def cleaned_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(digest, n_removed, n_spans, kept_sha256, kept) of each distinct text that loses bytes."""
+def _distinct_texts(docs: DataFrame, window: int) -> DataFrame:
+    """(digest, text, copies, doc) of the texts that have a window."""
     long = docs.select(text_of().alias("text")).where(F.octet_length("text") >= window)
-    texts = written(long.groupBy(digest_of(F.col("text")).alias("digest")).agg(
+    return written(long.groupBy(digest_of(F.col("text")).alias("digest")).agg(
         F.first("text").alias("text"), F.count("*").alias("copies")).withColumn("doc", F.monotonically_increasing_id()), "suffix-texts")
-    cut = texts.where("copies = 1").select("doc", "digest", "text").join(repeated_runs(texts, window), "doc") \
-        .select("digest", "text", "runs").mapInPandas(
-        _kept(window), "digest string, n_removed long, n_spans long, kept_sha256 string, kept string")
-    whole = texts.where("copies > 1").select(
-        "digest", F.octet_length("text").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
-        F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("").alias("kept"))
-    return cut.unionByName(whole)
 
 
-def repeats_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Bytes removed from each document (doc_id, text) and the digest of what is kept."""
+def cleaned_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(digest, kept) of each distinct text that loses bytes."""
+    texts = _distinct_texts(docs, window)
+    cut = texts.where("copies = 1").select("doc", "digest", "text").join(repeated_runs(texts, window), "doc") \
+        .select("digest", "text", "runs").mapInPandas(_kept(window), "digest string, kept string")
+    return cut.unionByName(texts.where("copies > 1").select("digest", F.lit("").alias("kept")))
+
+
+def repeats_report(docs: DataFrame, window: int = WINDOW, passage: int = PASSAGE) -> DataFrame:
+    """Bytes removed from each document (doc_id, text), the digest of what is kept, and the bytes and
+    maximal runs covered by strings of ``passage`` bytes (``window``, if that is less) that also start elsewhere."""
+    passage = min(passage, window)
+    texts = _distinct_texts(docs, passage)
+    short = repeated_runs(texts, passage)
+    runs = short if passage == window else _wider(texts, short, window, passage)
+    both = short.withColumnRenamed("runs", "short").join(runs, "doc", "left").withColumn(
+        "runs", F.coalesce("runs", F.array().cast(RUNS)))
+    cut = texts.where("copies = 1").select("doc", "digest", "text").join(both, "doc").select(
+        "digest", "text", "runs", "short").mapInPandas(
+        _reported(window, passage),
+        "digest string, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, n_passages long")
+    size = F.octet_length("text").cast("long")
+    gone = size >= window  # a repeated text goes whole, once it has a window
+    whole = texts.where("copies > 1").select(
+        "digest", F.when(gone, size).alias("n_removed"), F.when(gone, F.lit(1).cast("long")).alias("n_spans"),
+        F.when(gone, F.sha2(F.lit(""), 256)).alias("kept_sha256"), size.alias("n_passage_bytes"), F.lit(1).cast("long").alias("n_passages"))
     mine = docs.select("doc_id", F.octet_length(text_of()).cast("long").alias("n_bytes"), digest_of(text_of()).alias("digest"))
-    return mine.join(cleaned_texts(docs, window).drop("kept"), "digest", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("kept_sha256", "digest").alias("kept_sha256"))
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans", "n_passage_bytes", "n_passages")]
+    return mine.join(cut.unionByName(whole), "digest", "left").select(
+        "doc_id", "n_bytes", *counts[:2], F.coalesce("kept_sha256", "digest").alias("kept_sha256"), *counts[2:])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -126,3 +126,60 @@ def test_no_task_holds_a_crowded_core(spark, monkeypatch):
     monkeypatch.setattr(suffix, "_by_deal", watched)
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert max(deals, default=0) <= 4000
+
+
+def passage_counts(texts, width):
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(d[k:k + width] for d in data for k in range(len(d) - width + 1))
+    out = []
+    for d in data:
+        gone = bytearray(len(d) + 1)
+        for k in range(len(d) - width + 1):
+            if seen[d[k:k + width]] > 1:
+                gone[k:k + width] = b"\1" * width
+        out.append((sum(gone), sum(1 for a, b in zip(b"\0" + gone, gone) if b > a)))
+    return out
+
+
+def check_both(docs, window=400, passage=200):
+    rows = docs.select("doc_id", "text").collect()
+    texts = [r.text for r in rows]
+    want = Counter((r.doc_id, *b, *p) for r, b, p in zip(rows, brute(texts, window), passage_counts(texts, min(passage, window))))
+    got = suffix.repeats_report(docs, window, passage)
+    assert got.columns[-2:] == ["n_passage_bytes", "n_passages"]
+    assert Counter(tuple(r) for r in got.collect()) == want
+
+
+def test_passages_below_the_window_are_counted(spark):
+    """Passages of 51 words in two documents, shorter than the window: nothing goes, but they are told."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 8)))
+    own = lambda n: [word() for _ in range(n)]
+    texts = [" ".join(own(150)) for _ in range(20)]
+    for _ in range(10):
+        passage = own(51)
+        assert 200 <= len(" ".join(passage)) < 390
+        texts += [" ".join(own(rng.randrange(40, 90)) + passage + own(rng.randrange(40, 90))) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in suffix.repeats_report(docs).collect()}
+    assert all(r.n_removed == 0 for r in rows.values())
+    assert all((rows[k].n_passage_bytes > 0) == (k >= 20) and rows[k].n_passages == (k >= 20) for k in rows)
+    check_both(docs)
+
+
+def test_both_widths_match_brute_force(spark, docs, monkeypatch):
+    check_both(docs)
+    check_both(docs, 100, 200)
+    rng = random.Random(22)
+    base = "".join(rng.choices("abcdefgh é", k=1500))
+    texts = [base[:250], base[:250], base[:450], base[:450], None, ""]  # whole copies with and without a window
+    for k in range(30):
+        t = list(base[rng.randrange(400):rng.randrange(700, 1500)])
+        for _ in range(rng.randrange(5)):
+            t[rng.randrange(len(t))] = rng.choice("xyz")
+        texts.append("".join(t) + base[:rng.randrange(500)])
+    near = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    check_both(near)
+    monkeypatch.setattr(suffix, "FINE_BYTES", 1000)
+    monkeypatch.setattr(suffix, "SHARD_BYTES", 4000)
+    check_both(near, 300, 120)
