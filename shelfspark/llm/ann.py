@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by robust-pruned directed graphs.
 
-Vectors are dealt at random to shards of about ``SHARD`` vectors; every vector is
-indexed. In a shard the graph is built in batches of doubling size: each new vector is searched
+Vectors are dealt at random to shards, every vector is indexed. A shard has ``SHARD`` vectors at least and grows with
+the table (``shard_size``): a search costs little more in a larger graph, so up to the largest
+shards the queries meet ``SHARDS`` graphs at any size, and the work grows with the vectors, not with their square.
+In a shard the graph is built in batches of doubling size: each new vector is searched
 for greedily from the entry point, the vectors visited are proposed as its neighbours, and relaxed pruning
 keeps a proposal unless a kept neighbour is nearer to it by the factor ``ALPHA``;
 reverse edges are added and pruned in the same way. A query is answered by a
@@ -34,12 +36,16 @@ from shelfspark.llm.common import written
 
 NEAREST = 10
 DEGREE = 48
+SLACK = 16  # edges beyond that a list may gather between two prunings
 BEAM_BUILD = 64
 BEAM_QUERY = 256
 ALPHA = 1.2
 SHARD = 4096
+SHARDS = 32
+SHARD_NUMBERS = 1 << 22  # components of a shard's vectors at most: bounds a task's memory
 QUERY_BLOCK = 8192
 BATCH = 256  # searches in step
+OPENED = 4  # nodes that a search opens in a step
 
 
 def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -55,7 +61,7 @@ class Graph:
         self.x = x
         self.entry = int(np.argmin(_distances(x, x.mean(axis=0)))) if len(x) else 0
         if neighbours is None:
-            self.neighbours = np.full((len(x), DEGREE), -1, dtype=np.int32)
+            self.neighbours = np.full((len(x), DEGREE + SLACK), -1, dtype=np.int32)
             self._build()
         else:
             self.neighbours = neighbours
@@ -68,23 +74,36 @@ class Graph:
             new = order[at:min(2 * at, at + BATCH, len(order))]
             _, _, visited = self.search(self.x[new], BEAM_BUILD, keep_visited=True)
             pool = np.where(visited == new[:, None], -1, visited)
-            self.neighbours[new] = self._prune(new, pool)
+            self.neighbours[new, :DEGREE] = self._prune(new, pool)
             self._reverse(new)
             at += len(new)
+        long = np.flatnonzero(self.neighbours[:, DEGREE] >= 0)
+        for low in range(0, len(long), BATCH):
+            some = long[low:low + BATCH]
+            self.neighbours[some, :DEGREE] = self._prune(some, self.neighbours[some])
+        self.neighbours = np.ascontiguousarray(self.neighbours[:, :DEGREE])
 
     def _reverse(self, new: np.ndarray) -> None:
-        """Edges back from the new nodes' neighbours, pruned where the list is full."""
+        """Edges back from the new nodes' neighbours; a list is pruned to ``DEGREE`` once it has no room for more than that and
+        ``SLACK`` others, so a full list costs a pruning for many newcomers, not for each."""
         to = self.neighbours[new]
         target, source = to[to >= 0], np.repeat(new, (to >= 0).sum(axis=1))
         order = np.lexsort((_pair(self.x, source, target), target))
         target, source = target[order], source[order]
         nodes, first, count = np.unique(target, return_index=True, return_counts=True)
+        held = (self.neighbours[nodes] >= 0).sum(axis=1)
+        fits = held + count <= self.neighbours.shape[1]
+        one = np.repeat(fits, count)
+        place = np.arange(len(target)) - np.repeat(first - held, count)
+        self.neighbours[target[one], place[one]] = source[one]
+        nodes, first, count = nodes[~fits], first[~fits], count[~fits]
         for low in range(0, len(nodes), BATCH):
             some, start, size = nodes[low:low + BATCH], first[low:low + BATCH], count[low:low + BATCH]
             width = min(int(size.max()), 2 * DEGREE)  # the nearest newcomers
             slot = np.arange(width)
             fresh = np.where(slot < size[:, None], source[np.minimum(start[:, None] + slot, len(source) - 1)], -1)
-            self.neighbours[some] = self._prune(some, np.concatenate((self.neighbours[some], fresh), axis=1))
+            self.neighbours[some, :DEGREE] = self._prune(some, np.concatenate((self.neighbours[some], fresh), axis=1))
+            self.neighbours[some, DEGREE:] = -1
 
     def _prune(self, nodes: np.ndarray, pool: np.ndarray) -> np.ndarray:
         """Robust pruning of each node's pool (rows of ids, -1 for none)."""
@@ -110,33 +129,58 @@ class Graph:
         return out
 
     def search(self, q: np.ndarray, beam: int, keep_visited: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        """(ids, squared distances, visited) of a beam search for each row of q; -1 pads ids."""
+        """(ids, squared distances, visited) of a beam search for each row of q; -1 pads ids.
+
+        A step opens the ``OPENED`` nearest nodes of each beam that are still closed. A node is measured once a query: the
+        nodes met are marked, and only those that are new and nearer than the beam's farthest go into it. The beam has no order until the end."""
         n = len(q)
         ids = np.full((n, beam), -1, dtype=np.int64)
         far = np.full((n, beam), np.inf)
-        done = np.ones((n, beam), dtype=bool)
-        ids[:, 0], done[:, 0] = self.entry, False
-        far[:, 0] = _distances(self.x[np.full((n, 1), self.entry)], q)[:, 0]
+        closed = np.full((n, beam), np.inf)  # the distance of a node still to be opened
+        met = np.zeros((n, len(self.x)), dtype=bool)
+        ids[:, 0], met[:, self.entry] = self.entry, True
+        far[:, 0] = closed[:, 0] = _distances(self.x[np.full((n, 1), self.entry)], q)[:, 0]
         steps: list[np.ndarray] = []
-        active = np.arange(n)
+        active, opened = np.arange(n), min(OPENED, beam)
         while len(active):
-            pick = (~done[active]).argmax(axis=1)
-            node = ids[active, pick]
-            done[active, pick] = True
+            waiting = closed[active]
+            pick = np.argpartition(waiting, opened - 1, axis=1)[:, :opened]
+            open_ = np.isfinite(np.take_along_axis(waiting, pick, 1))
+            node = np.where(open_, ids[active[:, None], pick], -1)
+            closed[active[:, None], pick] = np.inf
             if keep_visited:
-                seen = np.full(n, -1, dtype=np.int64)
+                seen = np.full((n, opened), -1, dtype=np.int64)
                 seen[active] = node
                 steps.append(seen)
-            near = self.neighbours[node].astype(np.int64)
-            known = (near[:, :, None] == ids[active][:, None, :]).any(axis=2) | (near < 0)
-            d = np.where(known, np.inf, _distances(self.x[near], q[active]))
-            all_far = np.concatenate((far[active], d), axis=1)
-            best = np.argsort(all_far, axis=1, kind="stable")[:, :beam]
-            far[active] = np.take_along_axis(all_far, best, 1)
-            ids[active] = np.take_along_axis(np.concatenate((ids[active], np.where(known, -1, near)), axis=1), best, 1)
-            done[active] = np.take_along_axis(np.concatenate((done[active], known), axis=1), best, 1)
-            active = active[~done[active].all(axis=1)]
-        return ids, far, np.stack(steps, axis=1) if keep_visited else None
+            row, k = np.nonzero(open_)
+            near = self.neighbours[node[row, k]].astype(np.int64)
+            row = np.repeat(row, near.shape[1])
+            near = near.ravel()
+            new = (near >= 0) & ~met[active[row], near]
+            pair = np.sort(row[new] * len(self.x) + near[new])
+            pair = pair[np.flatnonzero(np.diff(pair, prepend=-1))]  # by query; opened nodes may share a neighbour
+            row, near = pair // len(self.x), pair % len(self.x)
+            met[active[row], near] = True
+            diff = self.x[near] - q[active[row]]
+            d = np.einsum("nd,nd->n", diff, diff)
+            nearer = d < far[active].max(axis=1)[row]
+            row, near, d = row[nearer], near[nearer], d[nearer]
+            if len(row):
+                some, first, count = np.unique(row, return_index=True, return_counts=True)
+                slot = np.arange(len(row)) - np.repeat(first, count)
+                place, width = np.repeat(np.arange(len(some)), count), int(count.max())
+                more_ids, more = np.full((len(some), width), -1, dtype=np.int64), np.full((len(some), width), np.inf)
+                more_ids[place, slot], more[place, slot] = near, d
+                at = active[some]
+                all_far = np.concatenate((far[at], more), axis=1)
+                best = np.argpartition(all_far, beam - 1, axis=1)[:, :beam]
+                far[at] = np.take_along_axis(all_far, best, 1)
+                ids[at] = np.take_along_axis(np.concatenate((ids[at], more_ids), axis=1), best, 1)
+                closed[at] = np.take_along_axis(np.concatenate((closed[at], more), axis=1), best, 1)
+            active = active[np.isfinite(closed[active]).any(axis=1)]
+        order = np.argsort(far, axis=1, kind="stable")
+        ids, far = np.take_along_axis(ids, order, 1), np.take_along_axis(far, order, 1)
+        return ids, far, np.concatenate(steps, axis=1) if keep_visited else None
 
 
 def _pair(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -158,6 +202,11 @@ def nodes_of(rows: DataFrame, nearest: int) -> DataFrame:
     return few.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
+def shard_size(vectors: int, dim: int) -> int:
+    """Vectors of a shard: the table's part in ``SHARDS``, but not fewer than ``SHARD``, nor more than fit a task."""
+    return max(SHARD, min(-(-vectors // SHARDS), SHARD_NUMBERS // max(dim, 1)))
+
+
 def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("uid", kind="stable")
     graph = Graph(np.stack(rows["vec"].to_numpy()).astype(np.float64))
@@ -193,9 +242,12 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, nearest: int = NE
 
     nodes = written(nodes_of(clean(vectors), nearest).withColumns(
         {"dim": F.size("vec"), "uid": F.col("ids")[0]}), "ann-nodes")
-    shards = -(-nodes.count() // SHARD) or 1
+    total, dim = nodes.agg(F.count(F.lit(1)), F.max("dim")).first()
+    shards = -(-total // shard_size(total, dim or 0)) or 1
     shard = F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")
-    graphs = written(nodes.withColumn("shard", shard).groupBy("dim", "shard").applyInPandas(
+    # By ranges of the shard's number, as hashes of few numbers meet in some partitions and leave others empty.
+    dealt = nodes.withColumn("shard", shard).repartitionByRange(shards, "shard")
+    graphs = written(dealt.groupBy("dim", "shard").applyInPandas(
         _build, "dim int, shard int, node int, vec array<double>, ids array<long>, neighbours array<int>"), "ann-graphs")
     asked = written(clean(queries).distinct().withColumnRenamed("vec_id", "query_id").withColumn("dim", F.size("vec")), "ann-queries")
     blocks = -(-asked.count() // QUERY_BLOCK) or 1

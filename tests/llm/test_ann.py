@@ -45,3 +45,20 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert ann.nearest_neighbours(none, none).count() == 0
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert answers(few, few) == {0: [(1, 1.0)], 1: [(0, 1.0)]}
+
+
+def test_shards_grow_with_the_table_and_a_query_meets_few(spark, monkeypatch):
+    """Twenty-four times the least shard: four graphs, not twenty-four, and the answers are as near."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 12))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "SHARD", 50)
+    monkeypatch.setattr(ann, "SHARDS", 4)
+    written, graphs = ann.written, []
+    monkeypatch.setattr(ann, "written", lambda df, name: (graphs.append(written(df, name)), graphs[-1])[1])
+    got = answers(frame, frame.where("vec_id % 20 = 0"))
+    assert graphs[1].select("shard").distinct().count() == 4 and graphs[1].count() == 1200
+    ids = np.arange(1200)
+    hits = [len({v for v, _ in got[q]} & {v for v, _ in brute(ids, x, q, 10)}) / 10 for q in range(0, 1200, 20)]
+    assert np.mean(hits) >= 0.95
+    assert [ann.shard_size(*n) for n in ((100, 64), (10_000, 64), (10 ** 8, 64), (10 ** 8, 4096))] == [50, 2500, 65_536, 1024]
