@@ -13,6 +13,7 @@ reload is deterministic; the reference's UUIDs carry no information.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -285,17 +286,25 @@ def load_users(raw: DataFrame, seq: str = "User_ID", existing: DataFrame | None
     return typed.withColumn("user_id", F.col("user_code")), bad
 
 
-def load_sales(raw: DataFrame, inventory: DataFrame, users: DataFrame, as_of: dt.date,
-               existing: DataFrame | None = None, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+Step = Callable[[DataFrame, str], DataFrame]  # stores a frame between two shuffles of a loader (`io.Steps`)
+
+
+def _at_once(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
+def load_sales(raw: DataFrame, inventory: DataFrame, users: DataFrame, as_of: dt.date, existing: DataFrame | None = None,
+               order: list[str] | None = None, step: Step = _at_once) -> tuple[DataFrame, DataFrame]:
     """Item by old code, else by name (later duplicate names win); seller by
     user code or username, else NULL. Sales without an item are rejected;
     so are rows the typed table would refuse (quantity <= 0, negative
     price, payment method or time that the column does not accept, a code
     that an earlier row has; ``order`` is the load sequence, by default the
-    cells' own order)."""
+    cells' own order). ``step`` may store the rows with their "items", and of the good ones the "firsts" of each code."""
     item_keys = key_table(inventory, "item_id", ["item_code", "item_name"], "_seq")
     user_keys = key_table(users, "user_id", ["user_code", "username"], "_seq")
-    df = resolve_keys(raw, item_keys, ["Item_ID", "Item_Name"], "_res_item")
+    complete = _codes_complete(raw, "Transaction_ID")
+    df = step(resolve_keys(raw, item_keys, ["Item_ID", "Item_Name"], "_res_item"), "items")
     qty = clean_int(_cell(df, "Quantity_Sold", "0"))
     price = clean_money(_cell(df, "Unit_Price", "0"))
     pay = _cell(df, "Payment_Method", "Cash")
@@ -322,23 +331,24 @@ def load_sales(raw: DataFrame, inventory: DataFrame, users: DataFrame, as_of: dt
         _cell(good, "Sold_By").alias("_seller"),
     )
     # The sellers last, when the rows are few and narrow.
-    typed = resolve_keys(typed, user_keys, ["_seller"], "sold_by").drop("_seller")
+    typed = resolve_keys(step(typed, "firsts"), user_keys, ["_seller"], "sold_by").drop("_seller")
     known = typed if existing is None else existing.select("transaction_code").unionByName(typed.select("transaction_code"))
     typed = assign_codes(
         typed, "transaction_code", known.select("transaction_code"), "TXN",
-        ["sale_date", "sale_time", "item_id"], day=F.lit(as_of), complete=_codes_complete(raw, "Transaction_ID"),
+        ["sale_date", "sale_time", "item_id"], day=F.lit(as_of), complete=complete,
     )
     return typed, bad
 
 
-def load_orders(raw: DataFrame, suppliers: DataFrame, inventory: DataFrame, as_of: dt.date,
-                existing: DataFrame | None = None, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def load_orders(raw: DataFrame, suppliers: DataFrame, inventory: DataFrame, as_of: dt.date, existing: DataFrame | None = None,
+                order: list[str] | None = None, step: Step = _at_once) -> tuple[DataFrame, DataFrame]:
     """Supplier by name only, item by code else name; orders missing either
-    are skipped. Received iff date_received is set (else refused)."""
+    are skipped. Received iff date_received is set (else refused). ``step`` may store the rows with their "suppliers" and their "items"."""
     sup_keys = key_table(suppliers, "supplier_id", ["supplier_code", "supplier_name"], "_seq")
     item_keys = key_table(inventory, "item_id", ["item_code", "item_name"], "_seq")
-    df = resolve_keys(raw, sup_keys, ["Supplier_Name"], "_res_supplier")
-    df = resolve_keys(df, item_keys, ["Item_ID", "Item_Name"], "_res_item")
+    complete = _codes_complete(raw, "Order_ID")
+    df = step(resolve_keys(raw, sup_keys, ["Supplier_Name"], "_res_supplier"), "suppliers")
+    df = step(resolve_keys(df, item_keys, ["Item_ID", "Item_Name"], "_res_item"), "items")
     qty = clean_int(_cell(df, "Quantity_Ordered", "0"))
     cost = clean_money(_cell(df, "Cost_Per_Unit", "0"))
     status = _cell(df, "Status", "Pending")
@@ -366,7 +376,7 @@ def load_orders(raw: DataFrame, suppliers: DataFrame, inventory: DataFrame, as_o
     known = typed if existing is None else existing.select("order_code").unionByName(typed.select("order_code"))
     typed = assign_codes(
         typed, "order_code", known.select("order_code"), "PO",
-        ["date_ordered", "item_id"], day=F.lit(as_of), complete=_codes_complete(raw, "Order_ID"),
+        ["date_ordered", "item_id"], day=F.lit(as_of), complete=complete,
     )
     return typed, bad
 

@@ -11,6 +11,7 @@ from shelfspark.plans.catalog import AS_OF, AS_OF_SQL, MS, M2, register
 from shelfspark.plans.oracle import RAW_SQL, clean_date_sql, clean_int_sql, clean_money_sql
 from shelfspark.sources import adapter as A
 from shelfspark.sources import raw as W
+from shelfspark.sources.io import Steps
 
 
 def _int_cell(x: str) -> str:
@@ -224,6 +225,28 @@ def q_load_inventory(spark, d):
     return _loaded(spark, d)[1]
 
 
+def _in_turn(steps):
+    """Steps that are each made from the one before only, which goes once the next is stored."""
+    before = []
+
+    def step(df, name):
+        out = steps(df, name)
+        if out is not df:
+            for old in before:
+                steps.drop(old)
+            before[:] = [name]
+        return out
+
+    return step
+
+
+def _load_sales(spark, d, *stored):
+    """(good, rejects): the rows are stored after each of their wide shuffles; ``stored``: the steps that the result goes through."""
+    _, inv, usr = _loaded(spark, d)
+    step = _in_turn(Steps(spark, "load-sales", stored or None))
+    return E.load_sales(step(W.raw_sales(spark, d), "raw"), inv, usr, AS_OF, step=step)
+
+
 _SALES_COLS = [("transaction_code", "VARCHAR"), ("sale_date", "DATE"), ("sale_time", "VARCHAR"),
                ("item_id", "VARCHAR"), ("quantity_sold", "INTEGER"), ("unit_price", M2),
                ("total_amount", "DECIMAL(12,2)"), ("payment_method", "VARCHAR"), ("sold_by", "VARCHAR")]
@@ -241,9 +264,7 @@ FROM sales_checked WHERE reject_reason IS NULL""",
     notes="ETL-3 sales: item by old code else name, seller by code or name",
 )
 def q_load_sales(spark, d):
-    _, inv, usr = _loaded(spark, d)
-    good, _ = E.load_sales(W.raw_sales(spark, d), inv, usr, AS_OF)
-    return good
+    return _load_sales(spark, d)[0]
 
 
 @register(
@@ -255,8 +276,7 @@ SELECT Transaction_ID, Item_ID, reject_reason FROM sales_checked WHERE reject_re
     notes="ETL-3 quarantine: rows the typed sales table would refuse",
 )
 def q_load_sales_rejects(spark, d):
-    _, inv, usr = _loaded(spark, d)
-    _, bad = E.load_sales(W.raw_sales(spark, d), inv, usr, AS_OF)
+    bad = _load_sales(spark, d, "raw", "items")[1]
     return bad.select("Transaction_ID", "Item_ID", "reject_reason")
 
 

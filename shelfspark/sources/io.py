@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.schemas import RAW_HEADERS, TYPED, raw_schema
+from shelfspark.session import scratch
 
 SNAPSHOT_PREFIX = "snapshot_ts="
 # Empty cells stay empty strings (not NULL), as a CSV DictReader sees them.
@@ -23,6 +24,32 @@ _NULL_TOKEN = "\u0000"
 # Quotes inside a cell are doubled and blanks kept, as any CSV reader expects.
 CSV_QUOTES = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
+CSV_GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+
+
+class Steps:
+    """Stored steps of one job: what a long job holds on disk is then the shuffles of one step and the tables it
+    reads and writes, not all shuffles to its end.
+
+    Calling it writes a frame as Parquet under the shared checkpoint folder and reads it back. The shuffle files behind it
+    are no longer needed; a collection on the driver lets Spark's cleaner drop them. ``only``: the steps to store, others pass as they are."""
+
+    def __init__(self, spark: SparkSession, name: str, only: tuple[str, ...] | None = None):
+        self.spark, self.root, self.only = spark, scratch(spark, name), only
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        if self.only is not None and name not in self.only:
+            return df
+        path = f"{self.root}/{name}"
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        self.spark._jvm.System.gc()
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str) -> None:
+        """Remove a step's table once nothing reads it."""
+        fs, path = _fs(self.spark, f"{self.root}/{name}")
+        fs.delete(path, True)
+
 
 def _csv_reader(spark: SparkSession):
     return (spark.read.option("header", True).option("inferSchema", False)
@@ -104,9 +131,10 @@ def append_aligned(df: DataFrame, target_columns: list[str]) -> DataFrame:
 def append_csv(df: DataFrame, path: str, target_columns: list[str]) -> None:
     """Append rows, aligned to the target's headers, to a folder of header CSV
     (read back with `read_raw`). Part files are committed with the job, so a
-    failed append leaves nothing behind."""
+    failed append leaves nothing behind. They are gzipped: repeated texts would take
+    several times the room, and a file whose cells may hold line ends is read by one task either way."""
     (append_aligned(df, target_columns).write.mode("append").option("header", True).option("nullValue", _NULL_TOKEN)
-     .option("emptyValue", "").options(**CSV_QUOTES).csv(path))
+     .option("emptyValue", "").options(**CSV_QUOTES).options(**CSV_GZIP).csv(path))
 
 
 # SNK-3
