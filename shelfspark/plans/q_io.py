@@ -98,10 +98,10 @@ def q_materialized_sales_range(spark, d):
 
 
 def _derived_once(spark, d):
-    """The raw sales stored, for jobs that write them several times: their joins run once, not once a write."""
-    path, sales = scratch(spark, "raw-sales"), W.raw_sales(spark, d)
-    sales.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(sales.schema).parquet(path)
+    """The raw sales stored, for jobs that write them several times, and the steps that hold them: their joins run once, not
+    once a write, and leave no shuffle files behind."""
+    steps = IO.Steps(spark, "raw-sales")
+    return steps(W.raw_sales(spark, d), "sales"), steps
 
 
 @register(
@@ -117,10 +117,11 @@ UNION ALL SELECT Date, Time, Item_ID, 'say "' || Item_Name || '", ok', Quantity_
 )
 def q_append_readback(spark, d):
     path = scratch(spark, "sales-csv")
-    s, headers = _derived_once(spark, d), RAW_HEADERS["SALES_LOG"]
+    (s, steps), headers = _derived_once(spark, d), RAW_HEADERS["SALES_LOG"]
     IO.append_csv(s, path, headers)
     quoted = F.concat(F.lit('say "'), F.col("Item_Name"), F.lit('", ok'))
     IO.append_csv(s.withColumn("Item_Name", quoted).drop("Sold_By"), path, headers)
+    steps.drop("sales")
     return IO.read_raw(spark, path, "SALES_LOG")
 
 
@@ -133,7 +134,7 @@ def q_append_readback(spark, d):
 )
 def q_append_twice(spark, d):
     log = AP.AppendLog(spark, scratch(spark, "sales-appends"), raw_schema("SALES_LOG"), "csv")
-    s = _derived_once(spark, d)
+    s, _ = _derived_once(spark, d)
     for k in range(3):
         part = s.where(F.pmod(F.xxhash64("Transaction_ID"), F.lit(3)) == k)
         log.write_attempt(part, f"part-{k}")  # a job that was lost before its commit

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shelfspark.sources.io import CSV_QUOTES, _NULL_TOKEN, append_aligned
+from shelfspark.sources.io import CSV_GZIP, CSV_QUOTES, _NULL_TOKEN, append_aligned
 from shelfspark.streaming.core import finish
 
 _BATCH = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
@@ -64,7 +64,7 @@ class AppendLog:
         self._commit_path(batch)
         folder = f"{batch}/{uuid.uuid4().hex}"
         if self.fmt == "csv":
-            w = append_aligned(df, self.schema.names).write.options(**CSV_QUOTES)
+            w = append_aligned(df, self.schema.names).write.options(**CSV_QUOTES).options(**CSV_GZIP)
             w.option("header", True).option("nullValue", _NULL_TOKEN).option("emptyValue", "").csv(f"{self.root}/data/{folder}")
         else:
             have = set(df.columns)
