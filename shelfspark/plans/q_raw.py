@@ -308,8 +308,8 @@ WHERE nth = 1""",
 )
 def q_load_orders(spark, d):
     sup, inv, _ = _loaded(spark, d)
-    good, _ = E.load_orders(W.raw_orders(spark, d), sup, inv, AS_OF)
-    return good
+    step = _in_turn(Steps(spark, "load-orders"))
+    return E.load_orders(step(W.raw_orders(spark, d), "raw"), sup, inv, AS_OF, step=step)[0]
 
 
 @register(

@@ -54,6 +54,13 @@ def test_rejects_store_no_step_that_they_do_not_read(spark, kept):
     assert [n for n, _ in seen] == ["raw", "items"] and _left(roots[0]) == ["items"]
 
 
+def test_load_orders_holds_one_step_at_a_time(spark, kept):
+    seen, roots = kept
+    good = q_raw.q_load_orders(spark, D)
+    assert [n for n, _ in seen] == ["raw", "suppliers", "items"]
+    assert "Join" not in _plan(good) and _left(roots[0]) == ["items"]
+
+
 def test_csv_appends_take_little_room_and_read_back_whole(spark, tmp_path):
     path = f"{tmp_path}/log"
     cells = [(f"1/2/20{k % 30:02d}", f"Item, \"{k % 40}\"\nsecond line", str(k)) for k in range(6000)]
