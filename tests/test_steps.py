@@ -1,14 +1,18 @@
 """Long jobs store the rows between their wide shuffles, so that the disk holds one step's shuffles and not all of them."""
 
 import os
+import zlib
 
+import numpy as np
 import pytest
 from helpers import rows
 from shelfspark.operators import etl as E
-from shelfspark.plans import q_io, q_raw
+from shelfspark.plans import q_io, q_raw, q_stream
 from shelfspark.plans.catalog import AS_OF
 from shelfspark.sources import io as IO
 from shelfspark.sources import raw as W
+from shelfspark.streaming import core
+from shelfspark.streaming import replay as RP
 
 D = "/root/testdata/sf0.001"
 
@@ -77,3 +81,28 @@ def test_append_readback_keeps_no_copy_beside_what_it_wrote(spark, monkeypatch):
     start = IO.Steps.__init__
     monkeypatch.setattr(IO.Steps, "__init__", lambda self, *a: (start(self, *a), roots.append(self.root))[0])
     assert q_io.q_append_readback(spark, D).count() == 2 * W.raw_sales(spark, D).count() and _left(roots[0]) == []
+
+
+def test_replay_leaves_its_revisions_only(spark, tmp_path, monkeypatch):
+    roots, names = [], []
+    plain = q_stream.scratch
+    monkeypatch.setattr(q_stream, "scratch", lambda s, name: (roots.append(plain(s, name)), roots[-1])[1])
+    monkeypatch.setattr(core, "scratch", lambda s, name: (names.append(f"{tmp_path}/{name}"), names[-1])[1])
+    out = q_stream.q_stream_ledger_receipts(spark, D)
+    assert _left(names[0]) == ["data"]  # no state, no log of the stream
+    assert not any(os.path.exists(r.removeprefix("file:")) and _left(r) for r in roots)  # nor the files that were dealt
+    assert out.count() > 6000
+
+
+def test_state_is_packed_by_byte_places_and_old_state_is_read():
+    rng = np.random.default_rng(3)
+    rows = np.zeros(20_000, dtype=RP.EVENTS)
+    rows["us"] = np.sort(rng.integers(9 * 10 ** 14, 10 ** 15, len(rows)) // 10 ** 6 * 10 ** 6)
+    rows["txn"], rows["qty"], rows["avail"] = (rng.integers(0, n, len(rows)) for n in (10 ** 8, 50, 90))
+    rows["ok"] = rows["qty"] <= rows["avail"]
+    old = zlib.compress(b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in rows.dtype.names), 1)
+    new = RP._pack(rows)
+    assert len(new) < 0.8 * len(old)
+    for data in (old, new, bytearray(new)):
+        assert (RP._unpack(data, RP.EVENTS) == rows).all()
+    assert len(RP._unpack(RP._pack(rows[:0]), RP.EVENTS)) == 0
